@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .langid import fit_languages, language_of
 from .ngram_join import ngram_jaccard_join
+from .toxicity import fit_toxicity, toxicity_of
+
+
+def held_out(key: str = "doc_id") -> Column:
+    """Whether crc32 of the id as text leaves no rest mod 5."""
+    return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_ngram_jaccard_join": op1_ngram_jaccard_join}
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = fit_languages(docs.where(~held_out()))
+    said = docs.select("doc_id", held_out().alias("held_out"), language_of(model, "text").alias("p"))
+    return said.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), "p.score", "p.ambiguous")
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull())
+    judge = fit_toxicity(docs.join(labels, "doc_id"))
+    scored = docs.select("doc_id", held_out().alias("held_out"), toxicity_of(judge, "text").alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+QUERIES = {
+    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op3_language_id": op3_language_id,
+    "op4_toxicity": op4_toxicity,
+}
 ORACLES: dict[str, str] = {}
