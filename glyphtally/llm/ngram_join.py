@@ -26,15 +26,17 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, maybe_in, shingle_sets
+from .common import Scratch, connected, maybe_in, shingle_sets, without_ids
 
-GROUPS = 64
+GROUPS = 256
 WIDTH = 5
 #: Tokens counted as frequent, at most; a bound of the broadcast that orders tokens.
 FREQUENT = 1 << 16
 #: Points in one R-tree; larger buckets are dealt out in blocks of about so many.
 BLOCK = 4096
 LEAF, FAN = 16, 8
+#: Tokens of the documents whose pairs are verified together in one task, at most.
+TOGETHER = 4_000_000
 
 
 def needed(a, b, pct: int):
@@ -42,11 +44,17 @@ def needed(a, b, pct: int):
     return -((-pct * (a + b)) // (100 + pct))
 
 
+def summed_minima(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.minimum(a, b).sum(1, dtype=np.int64)
+
+
 class CountTree:
     """R-tree over count vectors, packed by sorting; a node keeps coordinate maxima and a size range."""
 
-    def __init__(self, points: np.ndarray):
-        self.points, size = points, points.sum(1)
+    def __init__(self, points: np.ndarray, size: np.ndarray | None = None, excess: np.ndarray | None = None):
+        """``points`` may hold counts cut at 255 as bytes; ``size`` and ``excess`` then say what they were."""
+        self.points, size = points, points.sum(1) if size is None else size
+        self.excess = np.zeros(len(points), np.int64) if excess is None else excess
         spread = int(np.argmax(points.var(0))) if len(points) > LEAF else 0
         slabs = max(1, int(np.sqrt(len(points) / LEAF)))
         by_size = np.argsort(size, kind="stable")
@@ -54,38 +62,40 @@ class CountTree:
         slab[by_size] = np.arange(len(points)) * slabs // max(1, len(points))
         self.order = np.lexsort((points[:, spread], slab))
         self.levels = []
-        high, low, top = points[self.order], size[self.order], size[self.order]
+        high, low, top, more = points[self.order], size[self.order], size[self.order], self.excess[self.order]
         width = LEAF
-        while len(high) > 1 or not self.levels:
+        while len(high) > LEAF:
             cuts = np.arange(0, len(high), width)
-            high, low, top = np.maximum.reduceat(high, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts)
-            self.levels.append((width, high, low, top))
+            high, more = np.maximum.reduceat(high, cuts), np.maximum.reduceat(more, cuts)
+            low, top = np.minimum.reduceat(low, cuts), np.maximum.reduceat(top, cuts)
+            self.levels.append((width, high, low, top, more))
             width = FAN
         self.size = size
 
-    def search(self, queries: np.ndarray, pct: int) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, pct: int, size: np.ndarray | None = None, excess: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Index pairs (query, point) whose summed minima reach the needed intersection."""
         if not len(queries) or not len(self.points):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        asked = queries.sum(1)
-        q, node = np.arange(len(queries)), np.zeros(len(queries), np.int64)
+        asked = queries.sum(1) if size is None else size
+        extra = np.zeros(len(queries), np.int64) if excess is None else excess
         below = [len(self.points), *(len(level[1]) for level in self.levels)]
+        q, node = np.repeat(np.arange(len(queries)), below[-1]), np.tile(np.arange(below[-1]), len(queries))
         for k in range(len(self.levels) - 1, -1, -1):
-            width, high, low, top = self.levels[k]
-            keep = self._pass(queries, asked, q, high, node, low, top, pct)
+            width, high, low, top, more = self.levels[k]
+            keep = self._pass(queries, asked, extra, q, high, node, low, top, more, pct)
             child = (node[keep][:, None] * width + np.arange(width)).ravel()
             q = np.repeat(q[keep], width)[child < below[k]]
             node = child[child < below[k]]
         point = self.order[node]
-        keep = self._pass(queries, asked, q, self.points, point, self.size, self.size, pct)
+        keep = self._pass(queries, asked, extra, q, self.points, point, self.size, self.size, self.excess, pct)
         return q[keep], point[keep]
 
     @staticmethod
-    def _pass(queries, asked, q, high, node, low, top, pct) -> np.ndarray:
+    def _pass(queries, asked, extra, q, high, node, low, top, more, pct) -> np.ndarray:
         n, near = asked[q], np.zeros(len(q), bool)
         sized = np.flatnonzero((100 * top[node] >= pct * n) & (pct * low[node] <= 100 * n))
         for at in np.array_split(sized, max(1, len(sized) * queries.shape[1] // (1 << 22))):
-            shared = np.minimum(queries[q[at]], high[node[at]]).sum(1)
+            shared = summed_minima(queries[q[at]], high[node[at]]) + np.minimum(extra[q[at]], more[node[at]])
             least = np.maximum(low[node[at]], -((-pct * n[at]) // 100))
             near[at] = shared >= needed(n[at], least, pct)
         return near
@@ -126,15 +136,16 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
             rows = []
             for s in shingle_sets(pdf["text"].tolist(), width):
                 n = len(s)
-                counts = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<u4")
+                counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                cut = np.minimum(counts, 255).astype(np.uint8)
                 common = np.zeros(n, bool)
                 if len(frequent) and len(at := np.flatnonzero(~seldom[s >> np.uint64(42)])):
                     k = np.minimum(np.searchsorted(frequent, s[at]), len(frequent) - 1)
                     common[at] = frequent[k] == s[at]
                 first = np.concatenate((s[~common], s[common]))[: n - -(-pct * n // 100) + 1 if n else 0]
                 m = s * np.uint64(0xD6E8FEB86659FD93)
-                rows.append((n, _signed(s.sum(keepdims=True))[0], _signed(np.bitwise_xor.reduce(m ^ (m >> np.uint64(32)), keepdims=True))[0] if n else 0, counts.tobytes(), _signed(first)))
-            out = pd.DataFrame(rows, columns=["n", "fa", "fb", "counts", "prefix"])
+                rows.append((n, _signed(s.sum(keepdims=True))[0], _signed(np.bitwise_xor.reduce(m ^ (m >> np.uint64(32)), keepdims=True))[0] if n else 0, cut.tobytes(), int(counts.sum() - cut.sum()), _signed(first)))
+            out = pd.DataFrame(rows, columns=["n", "fa", "fb", "counts", "excess", "prefix"])
             out.insert(0, "id", pdf["id"].to_numpy())
             yield out
 
@@ -144,63 +155,96 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"id": pdf["id"], "tokens": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
+            yield pd.DataFrame({"near": pdf["near"], "a": pdf["id"], "tokens": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
 
     return run
 
 
+def _points(counts: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), GROUPS)
+
+
 def _bounded(pct: int):
     """Pairs whose count vectors allow the needed intersection."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                a, b = (np.frombuffer(b"".join(pdf[c]), "<u4").reshape(len(pdf), GROUPS).astype(np.int64) for c in ("ca", "cb"))
-                yield pdf.loc[np.minimum(a, b).sum(1) >= needed(a.sum(1), b.sum(1), pct), ["a", "b"]]
+                shared = summed_minima(_points(pdf["ca"]), _points(pdf["cb"])) + np.minimum(pdf["xa"], pdf["xb"])
+                yield pdf.loc[shared >= needed(pdf["na"], pdf["nb"], pct), ["a", "b"]]
 
     return run
 
 
+def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
+    both = np.sort(np.concatenate((x, y)), kind="stable")
+    i = int((both[1:] == both[:-1]).sum())
+    return 100 * i >= pct * (len(x) + len(y) - i)
+
+
 def _verified(pct: int):
+    """Pairs that link, of pairs that come with both their sets."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            keep = []
-            for x, y in zip(pdf["ta"], pdf["tb"]):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = np.sort(np.concatenate((x, y)), kind="stable")
-                i = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * i >= pct * (len(x) + len(y) - i))
+            keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct) for x, y in zip(pdf["ta"], pdf["tb"])]
             yield pdf.loc[keep, ["a", "b"]]
 
     return run
 
 
+def _verified_together(pct: int):
+    """Pairs that link, of partitions sorted by neighbourhood in which its sets (b null) come before its pairs."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near, sets = None, {}
+        for pdf in batches:
+            links = []
+            for c, a, b, t in zip(pdf["near"], pdf["a"], pdf["b"], pdf["tokens"]):
+                if c != near:
+                    near, sets = c, {}
+                if t is not None:
+                    sets[a] = np.frombuffer(t, np.uint64)
+                elif _similar(sets[a], sets[b], pct):
+                    links.append((a, b))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
 def _buckets(pct: int):
     """Pairs across components in the buckets of a sorted partition, each bucket through its own R-tree."""
 
-    def pairs(g: pd.DataFrame) -> pd.DataFrame:
-        points = np.frombuffer(b"".join(g["counts"]), "<u4").reshape(len(g), GROUPS).astype(np.int64)
-        ids, comps, block = (g[c].to_numpy() for c in ("id", "component", "block"))
-        left = np.flatnonzero(block == g["bi"].iloc[0])
-        right = left if g["bi"].iloc[0] == g["bj"].iloc[0] else np.flatnonzero(block == g["bj"].iloc[0])
-        q, p = CountTree(points[right]).search(points[left], pct)
+    def pairs(lo: int, hi: int, points, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
+        left = right = np.arange(lo, hi)
+        if bi[lo] != bj[lo]:
+            left, right = left[block[lo:hi] == bi[lo]], right[block[lo:hi] == bj[lo]]
+        q, p = CountTree(points[right], sizes[right], excess[right]).search(points[left], pct, sizes[left], excess[left])
         q, p = left[q], right[p]
         keep = comps[q] != comps[p]
         a, b = ids[q[keep]], ids[p[keep]]
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+        return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            key = pdf[["token", "bi", "bj"]].to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            out = [pairs(pdf.iloc[lo:hi]) for lo, hi in zip(np.append(0, cuts[:-1]), cuts)] if len(cuts) else []
-            rest = pdf.iloc[cuts[-1] if len(cuts) else 0:]
-            if out:
-                yield pd.concat(out, ignore_index=True).drop_duplicates()
+            yield from searched(pdf, False)
+            rest = kept[0]
         if rest is not None and len(rest):
-            yield pairs(rest)
+            yield from searched(rest, True)
+
+    kept: list = [None]
+
+    def searched(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
+        key = pdf[["token", "bi", "bj"]].to_numpy()
+        cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)] if last else [])).astype(int)
+        columns = [_points(pdf["counts"]), *(pdf[c].to_numpy() for c in ("n", "excess", "id", "component", "block", "bi", "bj"))]
+        out = [pairs(lo, hi, *columns) for lo, hi in zip(cuts[:-1], cuts[1:])]
+        kept[0] = pdf.iloc[cuts[-1]:]
+        if out:
+            yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
     return run
 
@@ -214,43 +258,58 @@ def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
     often = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
     frequent = np.sort(often.select("token").toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
 
-    profiles = scratch.write(docs.mapInPandas(_profiles(width, pct, frequent), "id long, n long, fa long, fb long, counts binary, prefix array<long>"), "profiles")
-    reps = scratch.write(
-        profiles.where("n > 0 AND id IS NOT NULL").groupBy("fa", "fb", "n").agg(F.min(F.struct("id", "counts", "prefix")).alias("r"))
-        .select("fa", "fb", "n", "r.id", "r.counts", "r.prefix"), "reps")
+    profiles = scratch.write(docs.mapInPandas(
+        _profiles(width, pct, frequent), "id long, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
+    named = profiles.where("n > 0 AND id IS NOT NULL")
+    classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"))
+    classes = scratch.write(profiles.select("id", "n", "fa", "fb").join(classes, ["fa", "fb", "n"], "left").select("id", "n", "class_id"), "classes")
+    copies = classes.where("class_id <> id").select("id")
+    held = named.select("id", "n", "counts", "excess")
 
     # (token, class, first class of the token's bucket), for tokens of more than one class
-    rows = reps.select(F.explode("prefix").alias("token"), "id").repartition("token")
-    buckets = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("held")).where("lead < last")
+    rows = without_ids(named.select("id", "prefix"), "id", copies, "id")
+    rows = rows.select(F.explode("prefix").alias("token"), "id").repartition("token")
+    buckets = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
     rows = scratch.write(rows.join(buckets.drop("last"), "token"), "rows")
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        held = reps.select("id", "n", "counts")
-        wide = (pairs.join(held.toDF("a", "na", "ca"), "a").join(held.toDF("b", "nb", "cb"), "b")
-                .where(f"100 * na >= {pct} * nb AND 100 * nb >= {pct} * na").select("a", "b", "ca", "cb"))
-        pairs = scratch.write(wide.mapInPandas(_bounded(pct), "a long, b long"), f"{name}-pairs")
-        ids = pairs.select("a").union(pairs.select("b")).toDF("id").distinct()
-        sets = maybe_in(docs, "id", ids, "id").mapInPandas(_sets(width), "id long, tokens binary")
-        sets = scratch.write(sets.join(ids, "id", "left_semi").dropDuplicates(["id"]), f"{name}-sets")
-        return scratch.write(
-            pairs.join(sets.toDF("a", "ta"), "a").join(sets.toDF("b", "tb"), "b").mapInPandas(_verified(pct), "a long, b long"), f"{name}-links")
-
-    near = verified(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "first")
+        """The pairs that link. Each set goes once to its neighbourhood of candidate pairs; those of large ones go along with pairs."""
+        near = connected(scratch, pairs, "a", "b", f"{name}-near").toDF("id", "near")
+        near = near.join(classes.select("id", "n").distinct(), "id")
+        small = near.groupBy("near").agg(F.sum("n").alias("tokens")).select("near", (F.col("tokens") <= TOGETHER).alias("small"))
+        near = scratch.write(near.join(small, "near").select("id", "near", "small"), f"{name}-placed")
+        asked = maybe_in(docs, "id", near, "id").join(near, "id")
+        sets = asked.where("small").mapInPandas(_sets(width), "near long, a long, tokens binary")
+        both = pairs.join(near.toDF("a", "near", "small"), "a")
+        mixed = sets.select("near", F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "tokens").union(
+            both.where("small").select("near", F.lit(1), "a", "b", F.lit(None).cast("binary")))
+        links = mixed.repartition("near").sortWithinPartitions("near", "kind").drop("kind").mapInPandas(_verified_together(pct), "a long, b long")
+        if near.where("NOT small").limit(1).count():
+            sets = asked.where("NOT small").mapInPandas(_sets(width), "near long, a long, tokens binary").dropDuplicates(["a"])
+            sets = scratch.write(sets, f"{name}-sets")
+            wide = both.where("NOT small").select("a", "b").join(sets.select("a", F.col("tokens").alias("ta")), "a").join(sets.select(F.col("a").alias("b"), F.col("tokens").alias("tb")), "b")
+            links = links.union(wide.mapInPandas(_verified(pct), "a long, b long"))
+        return scratch.write(links.distinct(), f"{name}-links")
+
+    pairs = rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    pairs = (pairs.join(held.toDF("a", "na", "ca", "xa"), "a").join(held.toDF("b", "nb", "cb", "xb"), "b")
+             .where(f"100 * na >= {pct} * nb AND 100 * nb >= {pct} * na").mapInPandas(_bounded(pct), "a long, b long"))
+    near = verified(scratch.write(pairs, "first"), "first")
     comps = connected(scratch, near, "a", "b", "first-comp")
 
     placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.write(placed.select("token", "id", "held", "component"), "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
+    placed = scratch.write(placed.select("token", "id", "held", "members", "component"), "placed")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("held").alias("h"), F.first("members").alias("m"))
+    mixed = mixed.where("c0 < c1").groupBy("h", "m", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     placed = placed.join(mixed, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    dealt = placed.join(reps.select("id", "counts"), "id").select("token", "id", "component", "block", "bi", "bj", "counts")
+    dealt = placed.join(held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
     found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(_buckets(pct), "a long, b long").distinct()
-    links = near.union(verified(found, "second"))
+    links = near.union(verified(scratch.write(found, "second"), "second"))
     comps = connected(scratch, links, "a", "b", "comp")
 
-    classes = reps.select("fa", "fb", "n", F.col("id").alias("class_id")).join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    out = profiles.select("id", "n", "fa", "fb").join(classes, ["fa", "fb", "n"], "left")
+    out = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("component", "class_id", "id").alias("component_id"))

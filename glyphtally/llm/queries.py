@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .html_main import main_text_of
 from .langid import fit_languages, language_of
+from .line_dedup import dedup_page_lines
+from .line_dedup import oracle as line_oracle
+from .mixture import mix_sources
 from .ngram_join import ngram_jaccard_join
+from .shard_pack import pack_shards
 from .toxicity import fit_toxicity, toxicity_of
 
 
@@ -35,9 +40,32 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_page_lines(table(spark, sf_dir, "pages"))
+
+
+def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pack_shards(spark, table(spark, sf_dir, "documents"), shards=24)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text_of("html").alias("text"))
+    return pages.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mix_sources(spark, table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3)
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_shard_packing": op6_shard_packing,
+    "op8_html_main_text": op8_html_main_text,
+    "op10_source_mixture": op10_source_mixture,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle()}
