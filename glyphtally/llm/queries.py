@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import contaminated
 from .html_main import main_text_of
 from .langid import fit_languages, language_of
+from .lattice_dedup import near_duplicate_vectors
 from .line_dedup import dedup_page_lines
 from .line_dedup import oracle as line_oracle
 from .mixture import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .shard_pack import pack_shards
+from .token_order import materialise_training_order
 from .toxicity import fit_toxicity, toxicity_of
 
 
@@ -25,6 +28,12 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per document that holds a benchmark item and that item; clean documents have none."""
+    found = contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("contaminated", F.lit(True))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit_languages(docs.where(~held_out()))
@@ -49,11 +58,19 @@ def op6_shard_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op7_lattice_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(spark, table(spark, sf_dir, "embeddings"), limit=0.9)
+
+
 def op8_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", main_text_of("html").alias("text"))
     return pages.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op9_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialise_training_order(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix_sources(spark, table(spark, sf_dir, "documents"), weights=(5, 2, 1), epochs=3)
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
@@ -61,11 +78,14 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_language_id": op3_language_id,
     "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_shard_packing": op6_shard_packing,
+    "op7_lattice_near_dedup": op7_lattice_near_dedup,
     "op8_html_main_text": op8_html_main_text,
+    "op9_training_order": op9_training_order,
     "op10_source_mixture": op10_source_mixture,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle()}
