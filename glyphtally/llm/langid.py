@@ -40,23 +40,27 @@ def gram_counts(texts: list) -> Iterator[tuple[int, np.ndarray]]:
     """(first index, counts [text, cell]) of hashed byte 2- to 4-grams of whole lower-cased texts."""
     for lo, hi in chunks(texts, 1 << 19):
         raw = [(t or "").lower().encode("utf-8", "replace") + _PAD for t in texts[lo:hi]]
-        buf = _FOLD[np.frombuffer(b"".join(raw), np.uint8)].astype(np.uint32)
+        buf = _FOLD[np.frombuffer(b"".join(raw) + _PAD, np.uint8)].astype(np.uint32)
         doc = np.repeat(np.arange(len(raw)) * CELLS, [len(r) for r in raw])
+        inside = np.ones(len(doc), bool)  # not where a gram would reach into the next text
+        for k in (1, 2, 3):
+            inside[np.cumsum([len(r) for r in raw]) - k] = False
+        doc, inside = doc[inside], np.flatnonzero(inside)
         total = np.zeros(len(raw) * CELLS, np.int64)
         for n, factor in _GRAMS:
-            code = buf[:len(buf) - n + 1].copy()
+            code = buf[inside]
             for k in range(1, n):
-                code |= buf[k:len(buf) - n + 1 + k] << np.uint32(8 * k)
+                code |= buf[inside + k] << np.uint32(8 * k)
             cell = ((code * factor) >> np.uint32(19)).astype(np.int64)
-            total += np.bincount(doc[:len(cell)] + cell, minlength=len(total))
+            total += np.bincount(doc + cell, minlength=len(total))
         yield lo, total.reshape(len(raw), CELLS)
 
 
 def codewords(languages: int) -> np.ndarray:
     """[language, bit] in -1, 1: all splits for up to five languages, else seeded codes far apart."""
     if languages <= 5:
-        columns = [c for c in product((-1, 1), repeat=languages) if c[0] == 1 and -1 in c]
-        return np.array(columns, np.int8).T.reshape(languages, -1)
+        columns = [c for c in product((-1, 1), repeat=languages) if c and c[0] == 1 and -1 in c]
+        return np.array(columns, np.int8).reshape(len(columns), languages).T
     rng, best, apart = np.random.default_rng(7), None, -1
     bits = int(np.ceil(10 * np.log2(languages)))
     for _ in range(32):

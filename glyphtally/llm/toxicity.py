@@ -52,7 +52,7 @@ def _typical(toxic: list[str], ordinary: list[str]) -> list[str]:
             kept.add(sketch)
             n += 1
             seen.update({" " + w[:k] for w in words for k in range(4, 9) if k < len(w)} | {f" {w} " for w in words})
-        return seen, n
+        return seen, max(1, n)
 
     in_toxic, n1 = found(toxic)
     in_ordinary, n0 = found(ordinary)
