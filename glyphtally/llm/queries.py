@@ -44,7 +44,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(~held_out() & F.col("toxic").isNotNull())
-    judge = fit_toxicity(docs.join(labels, "doc_id"))
+    judge = fit_toxicity(docs, labels)
     scored = docs.select("doc_id", held_out().alias("held_out"), toxicity_of(judge, "text").alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

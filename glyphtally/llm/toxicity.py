@@ -109,15 +109,20 @@ class CompressionJudge:
         return 1 / (1 + np.exp(-np.clip(self.gains(texts) @ self.weights[:-1] + self.weights[-1], -30, 30)))
 
 
-def fit_toxicity(df: DataFrame, text_col: str = "text", label_col: str = "toxic", seed_col: str = "doc_id") -> CompressionJudge:
-    """Fit on a bounded sample of the labelled rows: SAMPLE documents of either kind, by the hash of ``seed_col``."""
-    rows = df.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label"), F.col(seed_col).alias("seed")).where("label IN (0, 1) AND text IS NOT NULL")
-    sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> CompressionJudge:
+    """Fit on a bounded sample of the labelled rows: about SAMPLE documents of either kind, by the hash of the id.
+
+    The ids are drawn from the labels alone; only the drawn ones are broadcast to fetch their texts.
+    """
+    known = labels.select(F.col(id_col).alias("seed"), F.col(label_col).cast("int").alias("label")).where("label IN (0, 1)")
+    sizes = {r[0]: r[1] for r in known.groupBy("label").count().collect()}
     if len(sizes) < 2:
         return CompressionJudge(b"", b"")
     part = F.pmod(F.xxhash64("seed"), F.lit(1_000_000))
     share = F.when(F.col("label") == 1, F.lit(int(1e6 * SAMPLE / sizes[1]))).otherwise(F.lit(int(1e6 * SAMPLE / sizes[0])))
-    got = rows.where(part < share).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "label", "seed").toPandas().sort_values("seed", kind="stable")
+    drawn = known.where(part < share).dropDuplicates(["seed"])
+    texts = docs.select(F.col(id_col).alias("seed"), F.substring(text_col, 1, SAMPLE_CHARS).alias("text")).where("text IS NOT NULL")
+    got = texts.join(F.broadcast(drawn), "seed").toPandas().sort_values(["seed", "text"], kind="stable")
     toxic, ordinary = (list(dict.fromkeys(got.loc[got["label"] == k, "text"])) for k in (1, 0))
 
     fit, tune = slice(0, None, 2), slice(1, None, 2)
