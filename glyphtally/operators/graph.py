@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the shared folder of spark.checkpoint.dir; make one only where none is set."""
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+from glyphtally.operators.lineage import cut
 
 
 def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
@@ -19,20 +13,19 @@ def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
 
     Rounds of a neighbourhood minimum and a jump to the label's own label, until nothing changes.
     """
-    spark = mask.sparkSession
-    ensure_checkpoints(spark)
     steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if diagonal or dy == 0 or dx == 0]
     offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])
     spot = F.col("y").cast("long") * F.lit(1 << 20) + F.col("x")
     nodes = mask.select("image_id", "y", "x", spot.alias("spot")).repartition("image_id")
     beside = nodes.select("image_id", "spot", F.explode(offsets).alias("o"), "y", "x").select("image_id", "spot", ((F.col("y") + F.col("o.dy")).cast("long") * F.lit(1 << 20) + F.col("x") + F.col("o.dx")).alias("other"))
-    edges = beside.join(nodes.select("image_id", F.col("spot").alias("other")), ["image_id", "other"]).checkpoint()
-    labels = nodes.withColumn("label", F.col("spot")).checkpoint()
+    edges = cut(beside.join(nodes.select("image_id", F.col("spot").alias("other")), ["image_id", "other"]))
+    labels = cut(nodes.withColumn("label", F.col("spot")))
     while True:
         low = edges.join(labels.select("image_id", F.col("spot").alias("other"), "label"), ["image_id", "other"]).groupBy("image_id", "spot").agg(F.min("label").alias("low"))
         step = labels.join(low, ["image_id", "spot"])
         heads = step.select("image_id", F.col("spot").alias("low"), F.col("low").alias("head"))
-        new = step.join(heads, ["image_id", "low"]).select("image_id", "y", "x", "spot", F.least("low", "head").alias("new"), "label").checkpoint()
+        new = step.join(heads, ["image_id", "low"]).select("image_id", "y", "x", "spot", F.least("low", "head").alias("new"), "label")
+        new = cut(new)
         changed = new.where("new <> label").limit(1).count()
         labels = new.select("image_id", "y", "x", "spot", F.col("new").alias("label"))
         if not changed:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glyphtally import settings as S
 from glyphtally.functions.numeric import margin
+from glyphtally.operators.lineage import cut
 
 
 def cells(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", keep: tuple = ()) -> DataFrame:
@@ -73,17 +74,14 @@ def settle(items: DataFrame, beats: DataFrame) -> DataFrame:
     An item is kept if no kept item beats it; else it belongs to the first that does (``kept_as``).
     Each round decides all items whose rivals are decided.
     """
-    from glyphtally.operators.graph import ensure_checkpoints
-
-    ensure_checkpoints(items.sparkSession)
-    beats = beats.checkpoint()
-    state = items.select("id", F.lit(None).cast(items.schema["id"].dataType).alias("kept_as")).checkpoint()
+    beats = cut(beats)
+    state = cut(items.select("id", F.lit(None).cast(items.schema["id"].dataType).alias("kept_as")))
     while True:
         rivals = beats.join(state.toDF("a", "as_"), "a").groupBy("b").agg(
             F.count_if(F.col("as_").isNull()).alias("open"), F.min(F.when(F.col("as_") == F.col("a"), F.col("a"))).alias("by"))
         new = state.join(rivals.withColumnRenamed("b", "id"), "id", "left")
         decided = F.when(F.coalesce("open", F.lit(0)) == 0, F.coalesce("by", "id"))
-        state = new.select("id", F.coalesce("kept_as", decided).alias("kept_as")).checkpoint()
+        state = cut(new.select("id", F.coalesce("kept_as", decided).alias("kept_as")))
         if not state.where("kept_as IS NULL").limit(1).count():
             return state
 
