@@ -129,6 +129,8 @@ def main_text(html: str | None) -> str:
                     break
                 if t in _WALL:
                     break
+        if tag in _BLOCK and away and tags[away] == "head":  # an unclosed head ends where the body begins
+            pop(stack.index(away))
         parent.append(stack[-1])
         tags.append(tag)
         good.append({"article": 10.0, "main": 8.0, "div": 5.0, "section": 4.0, "td": 3.0, "blockquote": 3.0}.get(tag, 0.0) + (5.0 if m[3] and _GOOD.search(m[3]) else 0.0))
