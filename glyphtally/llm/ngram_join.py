@@ -5,6 +5,9 @@ into one of GROUPS groups; the counts per group are the document's point. Two do
 share more tokens than the sum of their points' coordinate minima, so an R-tree over the points,
 whose nodes hold coordinate maxima and size ranges, finds all points that may share enough.
 
+Long texts have finer groups, which are summed for the tree and compared as they are where both
+sides have them.
+
 Documents meet in the buckets of their prefix tokens: of sets with similarity t or more, the
 first n - ceil(t n) + 1 tokens in any common order have one in common, so no link is lost. Frequent
 tokens come last in that order. Copies (equal sets) are one class throughout. A first round
@@ -36,7 +39,7 @@ FREQUENT = 1 << 16
 BLOCK = 4096
 LEAF, FAN = 16, 8
 #: Tokens of the documents whose pairs are verified together in one task, at most.
-TOGETHER = 4_000_000
+TOGETHER = 8_000_000
 
 
 def needed(a, b, pct: int):
@@ -136,7 +139,8 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
             rows = []
             for s in shingle_sets(pdf["text"].tolist(), width):
                 n = len(s)
-                counts = np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                groups = groups_for(n)
+                counts = np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
                 cut = np.minimum(counts, 255).astype(np.uint8)
                 common = np.zeros(n, bool)
                 if len(frequent) and len(at := np.flatnonzero(~seldom[s >> np.uint64(42)])):
@@ -160,8 +164,24 @@ def _sets(width: int):
     return run
 
 
+def groups_for(n: int) -> int:
+    """Groups for a set of n tokens: a power of two, so that a group holds about four tokens of a large set."""
+    return max(GROUPS, 1 << max(0, (n // 4).bit_length()))
+
+
 def _points(counts: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(counts), np.uint8).reshape(len(counts), GROUPS)
+    """Count vectors with finer groups summed to GROUPS."""
+    out = np.empty((len(counts), GROUPS), np.uint32)
+    for i, c in enumerate(counts):
+        out[i] = np.frombuffer(c, np.uint8).reshape(GROUPS, -1).sum(1, dtype=np.uint32) if len(c) > GROUPS else np.frombuffer(c, np.uint8)
+    return out
+
+
+def fine_minima(a: bytes, b: bytes) -> int:
+    """Sum of minima of two count vectors in the groups of the coarser one."""
+    a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    g = min(len(a), len(b))
+    return int(np.minimum(a.reshape(g, -1).sum(1, dtype=np.int64), b.reshape(g, -1).sum(1, dtype=np.int64)).sum())
 
 
 def _bounded(pct: int):
@@ -170,7 +190,7 @@ def _bounded(pct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                shared = summed_minima(_points(pdf["ca"]), _points(pdf["cb"])) + np.minimum(pdf["xa"], pdf["xb"])
+                shared = np.array([fine_minima(a, b) for a, b in zip(pdf["ca"], pdf["cb"])]) + np.minimum(pdf["xa"], pdf["xb"])
                 yield pdf.loc[shared >= needed(pdf["na"], pdf["nb"], pct), ["a", "b"]]
 
     return run
@@ -216,13 +236,15 @@ def _verified_together(pct: int):
 def _buckets(pct: int):
     """Pairs across components in the buckets of a sorted partition, each bucket through its own R-tree."""
 
-    def pairs(lo: int, hi: int, points, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
+    def pairs(lo: int, hi: int, points, counts, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
         left = right = np.arange(lo, hi)
         if bi[lo] != bj[lo]:
             left, right = left[block[lo:hi] == bi[lo]], right[block[lo:hi] == bj[lo]]
         q, p = CountTree(points[right], sizes[right], excess[right]).search(points[left], pct, sizes[left], excess[left])
         q, p = left[q], right[p]
-        keep = comps[q] != comps[p]
+        keep = (comps[q] != comps[p]) & ((ids[q] < ids[p]) | (bi[lo] != bj[lo]))
+        fine = np.flatnonzero(keep & (np.minimum(sizes[q], sizes[p]) >= 4 * GROUPS))  # long texts have finer groups
+        keep[fine] = [fine_minima(counts[i], counts[j]) + min(excess[i], excess[j]) >= needed(sizes[i], sizes[j], pct) for i, j in zip(q[fine], p[fine])]
         a, b = ids[q[keep]], ids[p[keep]]
         return np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
 
@@ -240,7 +262,7 @@ def _buckets(pct: int):
     def searched(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
         key = pdf[["token", "bi", "bj"]].to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)] if last else [])).astype(int)
-        columns = [_points(pdf["counts"]), *(pdf[c].to_numpy() for c in ("n", "excess", "id", "component", "block", "bi", "bj"))]
+        columns = [_points(pdf["counts"]), *(pdf[c].to_numpy() for c in ("counts", "n", "excess", "id", "component", "block", "bi", "bj"))]
         out = [pairs(lo, hi, *columns) for lo, hi in zip(cuts[:-1], cuts[1:])]
         kept[0] = pdf.iloc[cuts[-1]:]
         if out:
@@ -291,18 +313,26 @@ def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
             links = links.union(wide.mapInPandas(_verified(pct), "a long, b long"))
         return scratch.write(links.distinct(), f"{name}-links")
 
-    pairs = rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
-    pairs = (pairs.join(held.toDF("a", "na", "ca", "xa"), "a").join(held.toDF("b", "nb", "cb", "xb"), "b")
-             .where(f"100 * na >= {pct} * nb AND 100 * nb >= {pct} * na").mapInPandas(_bounded(pct), "a long, b long"))
-    near = verified(scratch.write(pairs, "first"), "first")
-    comps = connected(scratch, near, "a", "b", "first-comp")
-
-    placed = rows.join(comps.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = scratch.write(placed.select("token", "id", "held", "members", "component"), "placed")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.first("held").alias("h"), F.first("members").alias("m"))
-    mixed = mixed.where("c0 < c1").groupBy("h", "m", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
+    def bounded(pairs: DataFrame, name: str) -> DataFrame:
+        wide = (pairs.distinct().join(held.toDF("a", "na", "ca", "xa"), "a").join(held.toDF("b", "nb", "cb", "xb"), "b")
+                .where(f"100 * na >= {pct} * nb AND 100 * nb >= {pct} * na"))
+        return scratch.write(wide.mapInPandas(_bounded(pct), "a long, b long"), name)
+
+    def mixed(links: DataFrame, name: str) -> DataFrame:
+        """Rows of the buckets that hold more than one component, with the component."""
+        comps = connected(scratch, links, "a", "b", f"{name}-comp").withColumnRenamed("node", "id")
+        placed = rows.select("token", "id", "held", "members").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = scratch.write(placed, f"{name}-placed")
+        several = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
+        return scratch.write(placed.join(several, "token"), f"{name}-mixed")
+
+    # round 1: each class with the first class of its buckets
+    near = verified(bounded(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first"), "first")
+    # round 2: all pairs across components that the trees find
+    placed = mixed(near, "trees")
+    once = placed.groupBy("held", "members", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-    placed = placed.join(mixed, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.join(once, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     dealt = placed.join(held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
     found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(_buckets(pct), "a long, b long").distinct()
