@@ -110,11 +110,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list, size: int = 1 << 20):
-    """Index ranges of about ``size`` characters, so that numpy's temporaries stay small."""
+def chunks(texts: list, size: int = 1 << 20, most: int = 4096):
+    """Index ranges of about ``size`` characters and at most ``most`` texts, so that numpy's temporaries stay small."""
     start, held = 0, 0
     for i, t in enumerate(texts):
-        if held and held + len(t or "") > size:
+        if held and held + len(t or "") > size or i - start == most:
             yield start, i
             start, held = i, 0
         held += len(t or "")

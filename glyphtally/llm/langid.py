@@ -38,7 +38,7 @@ _PAD = b" " * 4
 
 def gram_counts(texts: list) -> Iterator[tuple[int, np.ndarray]]:
     """(first index, counts [text, cell]) of hashed byte 2- to 4-grams of whole lower-cased texts."""
-    for lo, hi in chunks(texts, 1 << 19):
+    for lo, hi in chunks(texts, 1 << 18, 128):
         raw = [(t or "").lower().encode("utf-8", "replace") + _PAD for t in texts[lo:hi]]
         buf = _FOLD[np.frombuffer(b"".join(raw) + _PAD, np.uint8)].astype(np.uint32)
         doc = np.repeat(np.arange(len(raw)) * CELLS, [len(r) for r in raw])
