@@ -1,20 +1,19 @@
 """Token ids in training order, as fixed-stride binary shards.
 
 Every document is tokenised whole, closed by an end token, and cut into sequences of ``length`` ids, the last
-padded with the end token. Sequences get dense numbers 0..N-1 in the order of the documents' ids; a
+padded with the end token. Sequences get dense numbers 0..N-1 in the order in which the table is read; a
 keyed Feistel network over the next power of four, walked along its cycle until it falls below N, maps
 each number to its global slot: a seeded shuffle that needs no sort and can be computed, or
 inverted, for any sequence alone. Slot s stands in shard s // per_shard at byte
 (s % per_shard) * 2 * length, so a reader can start, stop and resume anywhere.
 
 Nulls and empty texts: one sequence of end tokens, 0 tokens of text. Repeated rows have sequences of
-their own. An empty table gives no rows and no files. Rows with a null id come first.
+their own. An empty table gives no rows and no files. Rows with a null id keep it.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,13 +29,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's byte-level BPE splits text before merging: a fixed value of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 1 << 18
-_GAP = re.compile(r"\s\s")
+#: Documents tokenised, compressed and dealt out together.
+GROUP = 1000
 
 
 class Tokens:
-    """Whole-text encoder; words of texts without white-space runs are looked up before they are encoded."""
+    """Whole-text encoder."""
 
     def __init__(self, vocabulary: str):
         import tiktoken
@@ -44,48 +42,39 @@ class Tokens:
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.known: dict[str, list[int]] = {}
-
-    def __call__(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        if _GAP.search(text) or text[0].isspace() or text[-1].isspace():
-            return self.encode(text)
-        first, *words = text.split(" ")
-        out, known, encode = self.encode(first), self.known, self.encode
-        for w in words:
-            ids = known.get(w)
-            if ids is None:
-                ids = encode(" " + w)
-                if len(known) < REMEMBERED:
-                    known[w] = ids
-            out += ids
-        return out
-
-
-def _tokenised(vocabulary: str):
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return np.array(self.encode(text) if text else [], "<u2")
+
+
+def _tokenised(vocabulary: str, length: int):
+    """Groups of documents: their ids, token counts and tokens, and how many sequences of the task come before them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokens, squeeze = Tokens(vocabulary), zstandard.ZstdCompressor(level=1)
+        from pyspark import TaskContext
+
+        tokens, squeeze, ahead, task = Tokens(vocabulary), zstandard.ZstdCompressor(level=9), 0, TaskContext.get().partitionId()
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                own = [np.array(tokens(t), "<u2") for t in pdf["text"].iloc[lo:lo + 500]]
-                yield pd.DataFrame({
-                    "id": pdf["id"].iloc[lo:lo + 500].to_numpy(), "n": [len(x) for x in own], "crc": [zlib.crc32(x.tobytes()) for x in own],
-                    "ids": [squeeze.compress(x.tobytes()) for x in own]})
+            for lo in range(0, len(pdf), GROUP):
+                own = [tokens(t) for t in pdf["text"].iloc[lo:lo + GROUP]]
+                held = sum(len(x) // length + 1 for x in own)
+                ids = [None if i is None or i != i else int(i) for i in pdf["id"].iloc[lo:lo + GROUP]]
+                yield pd.DataFrame({"task": [task], "ahead": [ahead], "held": [held], "ids": [ids], "ns": [[len(x) for x in own]], "data": [squeeze.compress(np.concatenate(own).tobytes())]})
+                ahead += held
 
     return run
 
 
-def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6) -> np.ndarray:
-    """A keyed permutation of 0..n-1, by cycle-walking a Feistel network over the next power of four."""
+def feistel(x: np.ndarray, n: int, key: int, rounds: int = 6, inverse: bool = False) -> np.ndarray:
+    """A keyed permutation of 0..n-1 or its inverse, by cycle-walking a Feistel network over the next power of four."""
     half = np.uint64(max(1, (max(2, n) - 1).bit_length() + 1 >> 1))
     mask = (np.uint64(1) << half) - np.uint64(1)
     keys = mix64(np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(key))
     out, walking = x.astype(np.uint64), np.arange(len(x))
     while len(walking):
         left, right = out[walking] >> half, out[walking] & mask
-        for k in keys:
-            left, right = right, left ^ (mix64(right + k) & mask)
+        for k in keys[::-1] if inverse else keys:
+            left, right = (right ^ (mix64(left + k) & mask), left) if inverse else (right, left ^ (mix64(right + k) & mask))
         out[walking] = (left << half) | right
         walking = walking[out[walking] >= np.uint64(n)]
     return out.astype(np.int64)
@@ -99,92 +88,96 @@ def slot_of(number: Column | str, n: int, key: int) -> Column:
     return slot(number)
 
 
-def _sequences(length: int, n: int, key: int):
+def _sequences(length: int, per_shard: int, n: int, key: int):
+    """The sequences of a group, one row per shard that gets any."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        loosen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=1, write_checksum=False)
+        loosen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=9)
         for pdf in batches:
-            for lo in range(0, len(pdf), 500):
-                part = pdf.iloc[lo:lo + 500]
-                ids, numbers, places, held, payload = [], [], [], [], []
-                for i, first, parts, count, data in zip(part["id"], part["first"], part["parts"], part["n"], part["ids"]):
-                    tokens = np.full(parts * length, END, "<u2")
-                    tokens[:count] = np.frombuffer(loosen.decompress(data), "<u2") if count else []
-                    for k in range(parts):
-                        ids.append(i), numbers.append(first + k), places.append(k), held.append(max(0, min(length, count - k * length)))
-                        payload.append(squeeze.compress(tokens[k * length:(k + 1) * length].tobytes()))
-                yield pd.DataFrame({"id": ids, "sequence": numbers, "place": places, "n_tokens": held, "slot": feistel(np.array(numbers, np.int64), n, key), "data": payload})
+            for first, ids, ns, data in zip(pdf["first"], pdf["ids"], pdf["ns"], pdf["data"]):
+                ns = np.asarray(ns, np.int64)
+                parts, flat, at = ns // length + 1, np.frombuffer(loosen.decompress(data), "<u2"), 0
+                records, start = np.full((int(parts.sum()), length), END, "<u2"), np.cumsum(parts) - parts
+                for k, count in zip(start, ns):
+                    records.reshape(-1)[k * length:k * length + count] = flat[at:at + count]
+                    at += count
+                doc = np.repeat(np.arange(len(ns)), parts)
+                place = np.arange(len(doc)) - start[doc]
+                number = first + np.arange(len(doc))
+                slot = feistel(number, n, key)
+                order = np.argsort(slot)
+                shard = slot[order] // per_shard
+                cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
+                own = [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
+                yield pd.DataFrame({
+                    "shard": shard[cuts[:-1]], "slots": [(slot[k] % per_shard).astype(np.int32) for k in own], "docs": [[ids[j] for j in doc[k]] for k in own],
+                    "places": [place[k].astype(np.int32) for k in own], "counts": [np.clip(ns[doc[k]] - place[k] * length, 0, length).astype(np.int32) for k in own], "data": [squeeze.compress(records[k].tobytes()) for k in own]})
 
     return run
 
 
-def _written(root: str, length: int, per_shard: int):
-    """Write each shard of a partition sorted by slot; a file appears under its name only when whole."""
+def _written(root: str, length: int, per_shard: int, n: int, key: int):
+    """Write each shard of a partition sorted by shard; a file appears under its name only when whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(root)
-        task, loosen = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor()
-        shard, out = None, None
-
-        def close() -> None:
-            if out is not None:
-                out.close()
-                store.move(f"{base}/_{shard:08d}.{task}", f"{base}/{shard:08d}.bin")
+        task, loosen, held, shard = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor(), [], None
+
+        def written() -> pd.DataFrame:
+            records = np.full((min(per_shard, n - shard * per_shard), length), END, "<u2")
+            slots = np.concatenate([r[0] for r in held]).astype(np.int64) + shard * per_shard
+            for own, *_, data in held:
+                records[own] = np.frombuffer(loosen.decompress(data), "<u2").reshape(-1, length)
+            with store.open_output_stream(f"{base}/_{shard:08d}.{task}") as f:
+                f.write(records.tobytes())
+            store.move(f"{base}/_{shard:08d}.{task}", f"{base}/{shard:08d}.bin")
+            out = pd.DataFrame({"id": [i for r in held for i in r[1]], "place": np.concatenate([r[2] for r in held]), "sequence": feistel(slots, n, key, inverse=True), "slot": slots, "shard": shard,
+                                "byte_offset": slots % per_shard * 2 * length, "n_tokens": np.concatenate([r[3] for r in held])})
+            out["crc32"] = [zlib.crc32(records[s % per_shard].tobytes()) for s in slots]
+            held.clear()
+            return out.astype({"id": "Int64"})
 
         for pdf in batches:
-            crcs = []
-            for s, data in zip(pdf["shard"], pdf["data"]):
-                if s != shard:
-                    close()
-                    shard, out = s, store.open_output_stream(f"{base}/_{s:08d}.{task}")
-                record = loosen.decompress(data)
-                out.write(record)
-                crcs.append(zlib.crc32(record))
-            yield pd.DataFrame({
-                "id": pdf["id"], "place": pdf["place"], "sequence": pdf["sequence"], "slot": pdf["slot"], "shard": pdf["shard"],
-                "byte_offset": pdf["slot"] % per_shard * 2 * length, "n_tokens": pdf["n_tokens"], "crc32": crcs})
-        close()
+            for row in zip(pdf["shard"], pdf["slots"], pdf["docs"], pdf["places"], pdf["counts"], pdf["data"]):
+                if held and row[0] != shard:
+                    yield written()
+                shard = row[0]
+                held.append(row[1:])
+        if held:
+            yield written()
 
     return run
 
 
 def materialise_training_order(
-    spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, length: int = 256,
+    spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", root: str | None = None, length: int = 128,
     per_shard: int = 1 << 14, key: int = 20240229, vocabulary: str = VOCABULARY) -> DataFrame:
     """Write the shards under ``root`` (a URI all executors reach) and return one row per sequence:
     id, place in the document, sequence, slot, shard, byte_offset, n_tokens, crc32 of the record."""
+    from pyarrow import fs
+
     scratch = Scratch(spark, "token-order")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = docs.mapInPandas(_tokenised(vocabulary), "id long, n long, crc long, ids binary").withColumn("rid", F.monotonically_increasing_id())
+    tokens = docs.mapInPandas(_tokenised(vocabulary, length), "task int, ahead long, held long, ids array<long>, ns array<int>, data binary")
     tokens.write.option("compression", "none").parquet(scratch.path("tokens"))
     tokens = spark.read.schema(tokens.schema).parquet(scratch.path("tokens"))
 
-    # dense numbers in the order of ids: ranges of ids, a running sum within and over the ranges
-    parts = F.floor(F.col("n") / F.lit(length)).cast("long") + 1
-    narrow = tokens.select("id", "crc", "rid", parts.alias("parts"))
-    narrow = narrow.repartitionByRange(F.asc_nulls_first("id"), "crc", "rid").withColumn("range", F.spark_partition_id())
-    narrow = scratch.write(narrow, "narrow")
-    ranges = narrow.groupBy("range").agg(F.sum("parts").alias("held"))
-    total = ranges.agg(F.sum("held")).first()[0] or 0
-    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select("range", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("before"))
-    within = Window.partitionBy("range").orderBy(F.asc_nulls_first("id"), "crc", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = narrow.withColumn("ahead", F.coalesce(F.sum("parts").over(within), F.lit(0))).join(F.broadcast(ranges), "range")
-    firsts = firsts.select("rid", "parts", (F.col("before") + F.col("ahead")).alias("first"))
-
-    cut = tokens.join(firsts, "rid").select("id", "first", "parts", "n", "ids")
-    rows = cut.mapInPandas(_sequences(length, total, key), "id long, sequence long, place long, n_tokens long, slot long, data binary")
-    rows = rows.withColumn("shard", F.floor(F.col("slot") / F.lit(per_shard)).cast("long"))
-    root = root or scratch.path("shards")
-    from pyarrow import fs  # the folder, also where no row is
+    # dense numbers: one row per task of the first pass says where its numbers begin
+    tasks = tokens.groupBy("task").agg(F.sum("held").alias("own"))
+    total = tasks.agg(F.sum("own")).first()[0] or 0
+    ahead = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = tasks.select("task", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("before"))
+    groups = tokens.join(F.broadcast(tasks), "task").select((F.col("before") + F.col("ahead")).alias("first"), "ids", "ns", "data")
 
+    rows = groups.mapInPandas(_sequences(length, per_shard, total, key), "shard long, slots array<int>, docs array<long>, places array<int>, counts array<int>, data binary")
+    root = root or scratch.path("shards")
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base)
-    shards = max(1, -(-total // per_shard))
-    dealt = rows.repartition(shards, "shard").sortWithinPartitions("slot")
-    out = dealt.mapInPandas(_written(root, length, per_shard), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
+    dealt = rows.repartition(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard")
+    out = dealt.mapInPandas(_written(root, length, per_shard, total, key), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
