@@ -8,6 +8,10 @@ consistent: one value of the item always stands for the same value of the docume
 item if consistent diagonals cover at least COVER of the item's windows: `verbatim` if no slot
 changed, else `reparameterised`.
 
+Case decides what is a name, so copies in another letter case have other templates. Each text is therefore
+read a second time with names as words, letter case folded (in any script) and only numbers and units typed; windows
+of this reading are joined among themselves. A pair is reported for the reading that covers more of the item.
+
 A bitmap of the benchmark's window hashes, of fixed size, picks the document windows that are
 joined at all, so the corpus is not shuffled; the join itself is Spark's and holds for any benchmark.
 
@@ -18,6 +22,7 @@ matches counted once per id.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +38,10 @@ COVER = 0.5
 #: Words of a window that must be words, not placeholders.
 LITERAL = 4
 BITS = 24
+#: Keeps the windows of the two readings apart.
+_FOLDED = np.uint64(0x5851F42D4C957F2D)
+#: Letters whose case is folded before hashing; a table does it for the others.
+_OTHER_CASE = re.compile("[\u00b5\u00df\u0100-\U0010ffff]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.random.default_rng(99).integers(1, 1 << 63, WINDOW + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (0xA1B2C3D4E5F60718, 0x1F2E3D4C5B6A7988, 0x0123456789ABCDEF))
@@ -49,9 +58,14 @@ _STOP = np.zeros(256, bool)
 _STOP[[ord(c) for c in ".!?:;|"]] = True
 
 
+def _folded(text: str) -> str:
+    """``text`` with the case of its letters beyond Latin-1 folded, as well as those whose capital is beyond or two letters."""
+    return text if text.isascii() else _OTHER_CASE.sub(lambda m: m[0].casefold(), text)
+
+
 def _raw_words(texts: list):
     """(hash, digit first, capital first, opens a sentence) of the words that hold a letter or digit, and each text's bounds."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = [_folded(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
     word = ~_SPACE[buf]
@@ -88,6 +102,12 @@ _known_units = np.sort(_raw_words([" ".join(UNITS)])[0])
 
 def templates(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """(index, template token hashes, slot values or 0, whether a literal) of each text."""
+    for i, typed, _ in readings(texts):
+        yield i, *typed
+
+
+def readings(texts: list) -> Iterator[tuple[int, tuple, tuple]]:
+    """(index, template, folded template) of each text: token hashes, slot values or 0, whether a literal; the folded one types no names."""
     for lo, hi in chunks(texts):
         h, digit, capital, opens, bounds = _raw_words(texts[lo:hi])
         first = np.zeros(len(h) + 1, bool)
@@ -99,6 +119,8 @@ def templates(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
         name = capital & ~opens & ~digit & ~unit
         token = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
         literal = ~(digit | unit | name)
+        kept = ~(digit | unit)
+        plain, plain_bounds = (np.where(digit, NUMBER, np.where(unit, UNIT, h)), np.where(kept, np.uint64(0), h), kept), bounds
         # runs of names are one token, whose value is made of all of them
         follows = np.zeros(len(h), bool)
         follows[1:] = name[1:] & name[:-1] & ~first[1:]
@@ -110,8 +132,8 @@ def templates(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
             value = np.where(literal[heads], np.uint64(0), mix64(np.add.reduceat(value * (np.uint64(2) * place.astype(np.uint64) + np.uint64(1)), heads)))
             token, literal = token[heads], literal[heads]
             bounds = np.append(run, len(heads))[bounds] if len(h) else bounds
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:])):
-            yield lo + i, token[a:b], value[a:b], literal[a:b]
+        for i, (a, b, c, d) in enumerate(zip(bounds[:-1], bounds[1:], plain_bounds[:-1], plain_bounds[1:])):
+            yield lo + i, (token[a:b], value[a:b], literal[a:b]), tuple(x[c:d] for x in plain)
 
 
 def window_hashes(token: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,31 +148,35 @@ def window_hashes(token: np.ndarray, literal: np.ndarray, width: int) -> tuple[n
 
 
 def _windows(marked: np.ndarray | None, widths: list[int] | None):
-    """Windows of texts; only those marked in the bitmap, if there is one."""
+    """Windows of both readings of texts; only those marked in the bitmap, if there is one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, out = pdf["id"].to_numpy(), []
-            for i, token, value, literal in templates(pdf["text"].tolist()):
-                if len(token) < LEAST:
-                    continue
-                for width in widths or [min(WINDOW, len(token))]:
-                    at, h = window_hashes(token, literal, width)
-                    if marked is not None:
-                        cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
-                        hit = (marked[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
-                        at, h = at[hit], h[hit]
-                    if len(at):
-                        out.append((ids[i], width, at, h, [value[k:k + width].view(np.int64) for k in at]))
+            for i, *both in readings(pdf["text"].tolist()):
+                for folded, (token, value, literal) in enumerate(both):
+                    if len(token) < LEAST:
+                        continue
+                    for width in widths or [min(WINDOW, len(token))]:
+                        at, h = window_hashes(token, literal, width)
+                        if folded:
+                            h = h ^ _FOLDED
+                        if marked is not None:
+                            cell = (h >> np.uint64(64 - BITS)).astype(np.int64)
+                            hit = (marked[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
+                            at, h = at[hit], h[hit]
+                        if len(at):
+                            out.append((ids[i], bool(folded), width, at, h, [value[k:k + width].view(np.int64) for k in at]))
             if out:
+                n = [len(o[3]) for o in out]
                 yield pd.DataFrame({
-                    "id": np.repeat([o[0] for o in out], [len(o[2]) for o in out]), "width": np.repeat([o[1] for o in out], [len(o[2]) for o in out]),
-                    "pos": np.concatenate([o[2] for o in out]), "window": np.concatenate([o[3] for o in out]).view(np.int64), "slots": [x for o in out for x in o[4]]})
+                    "id": np.repeat([o[0] for o in out], n), "folded": np.repeat([o[1] for o in out], n), "width": np.repeat([o[2] for o in out], n),
+                    "pos": np.concatenate([o[3] for o in out]), "window": np.concatenate([o[4] for o in out]).view(np.int64), "slots": [x for o in out for x in o[5]]})
 
     return run
 
 
-_SCHEMA = "id long, width int, pos long, window long, slots array<long>"
+_SCHEMA = "id long, folded boolean, width int, pos long, window long, slots array<long>"
 
 
 def contaminated(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -168,17 +194,21 @@ def contaminated(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_co
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
     found = scratch.write(docs.mapInPandas(_windows(marked.view(np.uint8), widths), _SCHEMA), "found")
 
-    i, d = items.toDF("item", "w", "ipos", "window", "islots"), found.toDF("id", "width", "pos", "window", "dslots")
-    met = d.join(i, "window").select("id", "item", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "islots", "dslots")
+    i, d = items.toDF("item", "f", "w", "ipos", "window", "islots"), found.toDF("id", "folded", "width", "pos", "window", "dslots")
+    met = d.join(i, "window").where("f = folded").select("id", "item", "folded", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "islots", "dslots")
     met = scratch.write(met, "met")
-    diagonal = ["id", "item", "offset"]
+    diagonal = ["id", "item", "folded", "offset"]
     slots = met.select(*diagonal, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0 OR s.dslots <> 0").select(*diagonal, "s.islots", "s.dslots").distinct()
     slots = slots.groupBy(*diagonal, "islots").agg(F.count("*").alias("values"), F.max(F.col("islots") != F.col("dslots")).alias("changed"))
     slots = slots.groupBy(*diagonal).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
     steady = met.join(slots, diagonal, "left").where("coalesce(values, 1) = 1")
-    total = items.groupBy(F.col("id").alias("item")).agg(F.count("*").alias("windows"))
-    out = steady.groupBy("id", "item").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(total, "item")
-    out = out.withColumn("coverage", F.col("n_windows") / F.col("windows")).where(F.col("coverage") >= cover)
+    total = items.groupBy(F.col("id").alias("item"), "folded").agg(F.count("*").alias("windows"))
+    out = steady.groupBy("id", "item", "folded").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(total, ["item", "folded"])
+    out = out.withColumn("coverage", F.col("n_windows") / F.col("windows"))
+    # the reading that covers more; at a tie the one without changes, then the one with names
+    rank = F.struct("coverage", (~F.col("changed")).alias("same"), (~F.col("folded")).alias("named"))
+    out = out.groupBy("id", "item").agg(F.max_by(F.struct("n_windows", "coverage", "changed"), rank).alias("best")).select("id", "item", "best.*")
+    out = out.where(F.col("coverage") >= cover)
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "coverage",
         F.when(F.col("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim")).alias("kind"))

@@ -118,6 +118,18 @@ def test_decontamination(spark):
     assert dec.contaminated(spark, docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("names", ["Maria Lopez", "Łucja Straße"])
+def test_decontamination_in_any_case(spark, names):
+    item = ITEM.replace("from", "with Ana Ruiz from").replace("Maria Lopez", "Then " + names)
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    other = item.replace("12 km", "55 miles").replace("40 euros", "7 dollars")
+    texts = {1: words(1, 30) + " " + item.upper() + " " + words(2, 30), 2: item.lower(), 3: item.title(), 4: words(3, 30) + "\n" + other.upper(), 5: other.lower(), 6: words(4, 90).upper(), 7: item}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.coverage) for r in dec.contaminated(spark, docs, bench).collect()}
+    assert {k: got[k] for k in (1, 2, 3, 7)} == {k: ("verbatim", 1.0) for k in (1, 2, 3, 7)}
+    assert {k: v[0] for k, v in got.items() if k not in (1, 2, 3, 7)} == {4: "reparameterised", 5: "reparameterised"}
+
+
 def test_templates():
     (_, token, value, literal), = dec.templates(["We met Anna Maria in 2020. The 5 kg bag"])
     assert list(literal) == [True, True, False, True, False, True, False, False, True] and (value[literal] == 0).all()
