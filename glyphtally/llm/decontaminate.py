@@ -11,12 +11,15 @@ changed, else `reparameterised`.
 Case decides what is a name, so copies in another letter case have other templates. Each text is therefore
 read a second time with names as words, letter case folded (in any script) and only numbers and units typed; windows
 of this reading are joined among themselves. A pair is reported for the reading that covers more of the item.
+Windows of fewer than LITERAL words would match anything with changed slots: the first reading leaves them out, the second
+joins them by their very words. So it holds all windows, and a run of RUN words of an item, word for word, is a
+contamination (`verbatim`) however small a part of the item it is.
 
 A bitmap of the benchmark's window hashes, of fixed size, picks the document windows that are
 joined at all, so the corpus is not shuffled; the join itself is Spark's and holds for any benchmark.
 
-Nulls, empty texts and texts below LEAST tokens hold and leak nothing. Items of LEAST to WINDOW-1
-tokens are one window of their own length. Equal items each get their rows. Repeated documents give repeated
+Nulls, empty texts and texts below ``least`` words hold and leak nothing. Items of ``least`` to WINDOW-1
+words are one window of their own length. Equal items each get their rows. Repeated documents give repeated
 matches counted once per id.
 """
 
@@ -27,19 +30,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import _BYTE, _SPACE, Scratch, chunks, mix64, without_ids
 
 WINDOW = 8
+#: Words of an item, at least: shorter ones are phrases of any text. With 1, all items are looked for.
 LEAST = 5
 COVER = 0.5
-#: Words of a window that must be words, not placeholders.
+#: Running words of an item, word for word, that contaminate a document at any coverage.
+RUN = 13
+#: Words of a window that must be words, not placeholders, if slots may change.
 LITERAL = 4
 BITS = 24
 #: Keeps the windows of the two readings apart.
-_FOLDED = np.uint64(0x5851F42D4C957F2D)
+_FOLDED, _EXACT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Letters whose case is folded before hashing; a table does it for the others.
 _OTHER_CASE = re.compile("[\u00b5\u00df\u0100-\U0010ffff]+")
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -107,7 +113,7 @@ def templates(texts: list) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.nda
 
 
 def readings(texts: list) -> Iterator[tuple[int, tuple, tuple]]:
-    """(index, template, folded template) of each text: token hashes, slot values or 0, whether a literal; the folded one types no names."""
+    """(index, template, folded template) of each text: token hashes, slot values or 0, whether a literal; the folded one types no names and has the words' hashes too."""
     for lo, hi in chunks(texts):
         h, digit, capital, opens, bounds = _raw_words(texts[lo:hi])
         first = np.zeros(len(h) + 1, bool)
@@ -120,7 +126,7 @@ def readings(texts: list) -> Iterator[tuple[int, tuple, tuple]]:
         token = np.where(digit, NUMBER, np.where(unit, UNIT, np.where(name, NAME, h)))
         literal = ~(digit | unit | name)
         kept = ~(digit | unit)
-        plain, plain_bounds = (np.where(digit, NUMBER, np.where(unit, UNIT, h)), np.where(kept, np.uint64(0), h), kept), bounds
+        plain, plain_bounds = (np.where(digit, NUMBER, np.where(unit, UNIT, h)), np.where(kept, np.uint64(0), h), kept, h), bounds
         # runs of names are one token, whose value is made of all of them
         follows = np.zeros(len(h), bool)
         follows[1:] = name[1:] & name[:-1] & ~first[1:]
@@ -136,29 +142,40 @@ def readings(texts: list) -> Iterator[tuple[int, tuple, tuple]]:
             yield lo + i, (token[a:b], value[a:b], literal[a:b]), tuple(x[c:d] for x in plain)
 
 
-def window_hashes(token: np.ndarray, literal: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and hashes of the windows that hold enough words."""
+def _rolled(token: np.ndarray, width: int) -> np.ndarray:
+    n = len(token) - width + 1
+    return sum((token[k:k + n] * _PLACE[k] for k in range(1, width)), token[:n] * _PLACE[0] + np.uint64(width))
+
+
+def window_hashes(token: np.ndarray, literal: np.ndarray, width: int, exact: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the windows that hold enough words; with ``exact``, the words' hashes, also of the others, by their words."""
     n = len(token) - width + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h = sum((token[k:k + n] * _PLACE[k] for k in range(1, width)), token[:n] * _PLACE[0] + np.uint64(width))
+    h = _rolled(token, width)
     words = np.cumsum(np.concatenate(([0], literal)))
-    at = np.flatnonzero(words[width:] - words[:n] >= min(LITERAL, width - 1))
-    return at, mix64(h[at])
+    enough = words[width:] - words[:n] >= min(LITERAL, width - 1)
+    if exact is None:
+        at = np.flatnonzero(enough)
+        return at, mix64(h[at])
+    if width < LEAST or not enough.all():
+        enough &= width >= LEAST
+        h = np.where(enough, h, _rolled(exact, width) ^ _EXACT)
+    return np.arange(n), mix64(h)
 
 
-def _windows(marked: np.ndarray | None, widths: list[int] | None):
+def _windows(marked: np.ndarray | None, widths: list[int] | None, least: int):
     """Windows of both readings of texts; only those marked in the bitmap, if there is one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             ids, out = pdf["id"].to_numpy(), []
             for i, *both in readings(pdf["text"].tolist()):
-                for folded, (token, value, literal) in enumerate(both):
-                    if len(token) < LEAST:
+                for folded, (token, value, literal, *exact) in enumerate(both):
+                    if len(token) < (max(1, least) if folded else max(LEAST, least)):
                         continue
                     for width in widths or [min(WINDOW, len(token))]:
-                        at, h = window_hashes(token, literal, width)
+                        at, h = window_hashes(token, literal, width, *exact)
                         if folded:
                             h = h ^ _FOLDED
                         if marked is not None:
@@ -180,19 +197,23 @@ _SCHEMA = "id long, folded boolean, width int, pos long, window long, slots arra
 
 
 def contaminated(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER) -> DataFrame:
-    """One row per contaminated document and item: id, item, n_windows, coverage, kind."""
+                 item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER,
+                 run: int = RUN, least: int = LEAST) -> DataFrame:
+    """One row per contaminated document and item: id, item, n_windows, coverage, kind.
+
+    A document is contaminated by ``cover`` of an item's windows or by ``run`` of its running words (WINDOW at least).
+    """
     scratch = Scratch(spark, "decontaminate")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
     items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    items = scratch.write(items.mapInPandas(_windows(None, None), _SCHEMA), "items")
+    items = scratch.write(items.mapInPandas(_windows(None, None, least), _SCHEMA), "items")
     # the bitmap: at most 2**BITS / 64 words reach the driver, whatever the benchmark
     cell = F.shiftrightunsigned("window", 64 - BITS)
     words = items.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits")).toPandas()
     marked = np.zeros(1 << BITS - 6, np.int64)
     marked[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    found = scratch.write(docs.mapInPandas(_windows(marked.view(np.uint8), widths), _SCHEMA), "found")
+    found = scratch.write(docs.mapInPandas(_windows(marked.view(np.uint8), widths, least), _SCHEMA), "found")
 
     i, d = items.toDF("item", "f", "w", "ipos", "window", "islots"), found.toDF("id", "folded", "width", "pos", "window", "dslots")
     met = d.join(i, "window").where("f = folded").select("id", "item", "folded", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "islots", "dslots")
@@ -201,14 +222,19 @@ def contaminated(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_co
     slots = met.select(*diagonal, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0 OR s.dslots <> 0").select(*diagonal, "s.islots", "s.dslots").distinct()
     slots = slots.groupBy(*diagonal, "islots").agg(F.count("*").alias("values"), F.max(F.col("islots") != F.col("dslots")).alias("changed"))
     slots = slots.groupBy(*diagonal).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
-    steady = met.join(slots, diagonal, "left").where("coalesce(values, 1) = 1")
+    # windows without a change count on any diagonal
+    steady = met.join(slots, diagonal, "left").where("coalesce(values, 1) = 1 OR islots = dslots").withColumn("changed", F.expr("changed AND values = 1"))
     total = items.groupBy(F.col("id").alias("item"), "folded").agg(F.count("*").alias("windows"))
     out = steady.groupBy("id", "item", "folded").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(total, ["item", "folded"])
     out = out.withColumn("coverage", F.col("n_windows") / F.col("windows"))
     # the reading that covers more; at a tie the one without changes, then the one with names
     rank = F.struct("coverage", (~F.col("changed")).alias("same"), (~F.col("folded")).alias("named"))
     out = out.groupBy("id", "item").agg(F.max_by(F.struct("n_windows", "coverage", "changed"), rank).alias("best")).select("id", "item", "best.*")
-    out = out.where(F.col("coverage") >= cover)
+    same = met.where(F.col("folded") & (F.col("islots") == F.col("dslots")) & (F.size("islots") == WINDOW)).select("id", "item", "offset", "ipos").distinct()
+    same = same.withColumn("start", F.col("ipos") - F.row_number().over(Window.partitionBy("id", "item", "offset").orderBy("ipos")))
+    runs = same.groupBy("id", "item", "offset", "start").count().where(F.col("count") + WINDOW - 1 >= run).select("id", "item", F.lit(True).alias("ran")).distinct()
+    out = out.join(runs, ["id", "item"], "left").where((F.col("coverage") >= cover) | F.col("ran"))
+    out = out.withColumn("changed", F.col("changed") & (F.col("coverage") >= cover))
     return out.select(
         F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "coverage",
         F.when(F.col("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim")).alias("kind"))

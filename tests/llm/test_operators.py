@@ -130,6 +130,20 @@ def test_decontamination_in_any_case(spark, names):
     assert {k: v[0] for k, v in got.items() if k not in (1, 2, 3, 7)} == {4: "reparameterised", 5: "reparameterised"}
 
 
+def test_decontamination_of_parts_and_numbers(spark):
+    long = words(21, 59)
+    sums, people = "12 + 7 = 19 and 19 - 4 = 15 so 15 x 3 = 45", "Ana Ruiz Maria Lopez Bo Chen Eva Lind Ian Moe"
+    bench = spark.createDataFrame([(1, long), (2, sums), (3, people), (4, "Oslo Rome Lima"), (5, "77")], "item_id long, text string")
+    part = " ".join(long.split()[10:40])
+    texts = {1: words(22, 30) + " " + part + " " + words(23, 30), 2: words(24, 30) + " " + sums + " " + words(25, 9), 3: "There were " + people + " " + words(26, 9),
+             4: " ".join(long.split()[5:17]) + " " + words(27, 9), 5: sums.replace("7", "8").replace("19", "20"), 6: "We saw Oslo, Rome, Lima."}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in dec.contaminated(spark, docs, bench).collect()}
+    assert got == {(1, 1): "verbatim", (2, 2): "verbatim", (3, 3): "verbatim"}
+    assert {(r.doc_id, r.item_id) for r in dec.contaminated(spark, docs, bench, least=1).collect()} == set(got) | {(6, 4)}
+    assert (4, 1) in {(r.doc_id, r.item_id) for r in dec.contaminated(spark, docs, bench, run=12).collect()}
+
+
 def test_templates():
     (_, token, value, literal), = dec.templates(["We met Anna Maria in 2020. The 5 kg bag"])
     assert list(literal) == [True, True, False, True, False, True, False, False, True] and (value[literal] == 0).all()
