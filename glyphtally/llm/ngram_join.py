@@ -10,11 +10,15 @@ sides have them.
 
 Documents meet in the buckets of their prefix tokens: of sets with similarity t or more, the
 first n - ceil(t n) + 1 tokens in any common order have one in common, so no link is lost. Frequent
-tokens come last in that order. Copies (equal sets) are one class throughout. A first round
-compares each class only with the first class of its buckets; it joins large groups of near copies by
+tokens come last in that order. Copies (equal sets) are one class throughout.
+
+All links: the R-trees of all buckets are searched, every pair of classes that a bound lets through is verified on
+the whole sets, and each document's links are counted (copies, and the rows of linked classes).
+`ngram_jaccard_links` returns the pairs of classes. Their number, and so time and space, grows with the links there are.
+
+Components alone (``count_links=False``, for deduplication) have a shorter way, which skips links inside a component: a first round compares each class only with the first class of its buckets; it joins large groups of near copies by
 a number of comparisons in proportion to their tokens. The second round builds the R-trees, for the buckets that
-then hold more than one component, and searches pairs across components. Every pair that a
-bound lets through is verified on the whole sets.
+then hold more than one component, and searches pairs across components.
 
 Nulls, empty texts: empty set, no links, a component of their own. Repeated rows: one result row
 each. Rows without id are dropped from linking. Other columns of the input are not looked at.
@@ -233,8 +237,8 @@ def _verified_together(pct: int):
     return run
 
 
-def _buckets(pct: int):
-    """Pairs across components in the buckets of a sorted partition, each bucket through its own R-tree."""
+def _buckets(pct: int, across: bool):
+    """Pairs, only those across components if ``across``, in the buckets of a sorted partition, each bucket through its own R-tree."""
 
     def pairs(lo: int, hi: int, points, counts, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
         left = right = np.arange(lo, hi)
@@ -242,7 +246,8 @@ def _buckets(pct: int):
             left, right = left[block[lo:hi] == bi[lo]], right[block[lo:hi] == bj[lo]]
         q, p = CountTree(points[right], sizes[right], excess[right]).search(points[left], pct, sizes[left], excess[left])
         q, p = left[q], right[p]
-        keep = (comps[q] != comps[p]) & ((ids[q] < ids[p]) | (bi[lo] != bj[lo]))
+        keep = (comps[q] != comps[p]) if across else ids[q] != ids[p]
+        keep &= (ids[q] < ids[p]) | (bi[lo] != bj[lo])
         fine = np.flatnonzero(keep & (np.minimum(sizes[q], sizes[p]) >= 4 * GROUPS))  # long texts have finer groups
         keep[fine] = [fine_minima(counts[i], counts[j]) + min(excess[i], excess[j]) >= needed(sizes[i], sizes[j], pct) for i, j in zip(q[fine], p[fine])]
         a, b = ids[q[keep]], ids[p[keep]]
@@ -271,8 +276,31 @@ def _buckets(pct: int):
     return run
 
 
-def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, class_id (smallest id with an equal set), component_id."""
+def ngram_jaccard_links(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75) -> DataFrame:
+    """All links between different sets, as pairs (a, b) of class ids with a < b."""
+    return _classes_and_links(spark, df, id_col, text_col, width, pct, True)[2]
+
+
+def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75, count_links: bool = False) -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, class_id (smallest id with an equal set), component_id.
+
+    With ``count_links`` also n_links, the number of other rows whose set is similar or equal, from a search for all links.
+    """
+    scratch, classes, links = _classes_and_links(spark, df, id_col, text_col, width, pct, count_links)
+    comps = connected(scratch, links, "a", "b", "comp")
+    out = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")]
+    if count_links:
+        sizes = scratch.write(classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members")), "sizes")
+        ends = links.select("a", "b").union(links.select("b", "a")).toDF("class_id", "other")
+        far = ends.join(sizes.toDF("other", "weight"), "other").groupBy("class_id").agg(F.sum("weight").alias("far"))
+        out = out.join(sizes.join(far, "class_id", "left").select("class_id", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("near")), "class_id", "left")
+        columns.append(F.coalesce("near", F.lit(0)).cast("long").alias("n_links"))
+    return out.select(*columns)
+
+
+def _classes_and_links(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, width: int, pct: int, every: bool) -> tuple[Scratch, DataFrame, DataFrame]:
+    """Classes (id, n, class_id), and links (a, b) between them: every one, or enough to join the components."""
     scratch = Scratch(spark, "ngram-join")
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
 
@@ -327,19 +355,15 @@ def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id
         return scratch.write(placed.join(several, "token"), f"{name}-mixed")
 
     # round 1: each class with the first class of its buckets
-    near = verified(bounded(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first"), "first")
-    # round 2: all pairs across components that the trees find
-    placed = mixed(near, "trees")
-    once = placed.groupBy("held", "members", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
+    near = None if every else verified(bounded(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first"), "first")
+    # round 2: all pairs (across components, after round 1) that the trees find
+    placed = rows.select("token", "id", "held", "members").withColumn("component", F.col("id")) if every else mixed(near, "trees")
+    alike = ["held", "members"] if every else ["held", "members", "c0", "c1"]
+    once = placed.groupBy(*alike).agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
     blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
     placed = placed.join(once, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
     dealt = placed.join(held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
-    found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(_buckets(pct), "a long, b long").distinct()
-    links = near.union(verified(scratch.write(found, "second"), "second"))
-    comps = connected(scratch, links, "a", "b", "comp")
-
-    out = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"),
-        F.coalesce("component", "class_id", "id").alias("component_id"))
+    found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(_buckets(pct, not every), "a long, b long").distinct()
+    links = verified(scratch.write(found, "second"), "second")
+    return scratch, classes, links if every else near.union(links)

@@ -25,7 +25,7 @@ def held_out(key: str = "doc_id") -> Column:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"))
+    return ngram_jaccard_join(spark, table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,6 +75,21 @@ def test_ngram_join(spark, docs, rows, together, monkeypatch):
     assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]) for r in got)
 
 
+@pytest.mark.parametrize("together", [ng.TOGETHER, 1])
+def test_ngram_join_counts_all_links(spark, docs, rows, together, monkeypatch):
+    monkeypatch.setattr(ng, "TOGETHER", together)
+    monkeypatch.setattr(ng, "BLOCK", 4)
+    sets = {r[0]: shingles(r[1]) for r in rows}
+    near = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
+    want = {i: sum(near(s, sets[r[0]]) for r in rows) - bool(s) for i, s in sets.items()}
+    got = ng.ngram_jaccard_join(spark, docs, count_links=True).collect()
+    assert len(got) == len(rows) and {r.doc_id: r.n_links for r in got} == want and max(want.values()) > 5
+    assert {r.doc_id: r.component_id for r in got} == linked(sets)
+    first = {k: min(i for i in sets if sets[i] == sets[k]) for k in sets if sets[k]}
+    pairs = {(a, b) for a in set(first.values()) for b in set(first.values()) if a < b and near(sets[a], sets[b])}
+    assert {tuple(r) for r in ng.ngram_jaccard_links(spark, docs).collect()} == pairs
+
+
 def test_ngram_join_empty(spark, docs):
     assert ng.ngram_jaccard_join(spark, docs.where("false")).count() == 0
     assert [r.component_id for r in ng.ngram_jaccard_join(spark, docs.where("text IS NULL")).collect()] == [0]
