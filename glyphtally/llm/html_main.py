@@ -1,7 +1,9 @@
 """Main-text extraction from HTML by tree scoring.
 
 A page is read once into a tree of elements; menus, page headers, footers, asides, forms, scripts, styles,
-adverts, notices and comment threads are left out by element, role, class or id. Every paragraph
+adverts, notices and comment threads are left out by element, role, class or id. Names that only say how a page is laid
+out (has-sidebar, no-ads, ad-free) do not count, and what is left out by class or id stays if it holds an article or main
+element where no other is left, or more than half of the points of the page (comment threads: nine tenths). Every paragraph
 passes points for its length and commas to its parent, half to the next ancestor and a third to the one
 above. A container's points are discounted by its link density; the best container is kept, together with
 siblings that score near it or are plain paragraphs. If it stands in an <article> or <main>, that whole element is kept.
@@ -38,34 +40,49 @@ _AWAY = re.compile(_WORD % (
     r"ads?|adbox|adsense|adslot|advert\w*|sponsor\w*|promo\w*|banner|comments?|commentlist|comment\w*|disqus\w*|replies|respond|reader-?comments|sidebar\w*|menu\w*|navbar|navigation|nav|breadcrumbs?|"
     r"footer|cookie\w*|consent|gdpr|notices?|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|share|sharing|social\w*|related|recommend\w*|"
     r"widgets?|toolbar|pager|pagination|skip\w*|alert|masthead|site-?header|page-?header|top-?bar|search\w*|paywall|tags|byline-?tools"), re.I)
+#: Names that say what an element has or lacks, not what it is.
+_LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:has|with|without|no)[_-]\S+|[^\s_-]+[_-]free(?=[\s_-]|$)", re.I)
+#: A thread of comments may be longer than its article, so it must hold nearly all points to be taken for a wrapper.
+_THREAD = re.compile(r"comment|disqus|repl|respond", re.I)
 _SIDE = re.compile(_WORD % "header|side|top|aside|left|right|info|meta", re.I)
 _GOOD = re.compile(r"article|content|main|story|entry|post|body|text", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _unwanted(tag: str, attrs: str, in_article: bool) -> bool:
+def _unwanted(tag: str, attrs: str, in_article: bool) -> int:
+    """0: wanted, 1: left out for its class or id, 2: left out for good."""
     if tag in _DROP or (tag == "header" and not in_article):
-        return True
+        return 2
     if not attrs or tag in ("html", "body"):
-        return False
+        return 0
     got = {m[1].lower(): (m[2] or "").strip("\"'") for m in _ATTR.finditer(attrs)}
     if "hidden" in got or got.get("aria-hidden") == "true" or _NONE.search(got.get("style", "")) or got.get("role", "").lower() in _ROLES:
-        return True
+        return 2
     if tag in ("article", "main"):
-        return bool(re.search(_WORD % r"comments?", got.get("class", ""), re.I))
-    names = f"{got.get('class', '')} {got.get('id', '')}"
-    return bool(_AWAY.search(names)) or (tag in ("div", "section", "ul") and bool(_SIDE.search(names)) and not _GOOD.search(names))
+        return 2 * bool(re.search(_WORD % r"comments?", got.get("class", ""), re.I))
+    names = _LAYOUT.sub("", f"{got.get('class', '')} {got.get('id', '')}")
+    return int(bool(_AWAY.search(names)) or (tag in ("div", "section", "ul") and bool(_SIDE.search(names)) and not _GOOD.search(names)))
 
 
 def main_text(html: str | None) -> str:
     """The article of one page: blocks in page order, joined by two line feeds."""
     if not html:
         return ""
+    text, doubted = _read(html, frozenset(), False)
+    if doubted and (spared := _read(html, frozenset(), True)[1]):
+        text = _read(html, spared, False)[0]
+    return text
+
+
+def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
+    """The article, and the elements left out for their class or id. A trial leaves none of them out and gives those to be spared."""
     parent, tags, good = [-1], ["#"], [0.0]
     stack = [0]
     blocks: list[tuple[int, str, int]] = []  # owner, text, characters in links
     words: list[str] = []
+    doubted: dict[int, float] = {}  # elements unwanted for their class or id: share of the points beyond which they stay
+    articled: list[int] = []  # article and main elements that are wanted
     links = away = articles = 0  # away: node whose subtree is left out
 
     def flush() -> None:
@@ -136,17 +153,25 @@ def main_text(html: str | None) -> str:
         good.append({"article": 10.0, "main": 8.0, "div": 5.0, "section": 4.0, "td": 3.0, "blockquote": 3.0}.get(tag, 0.0) + (5.0 if m[3] and _GOOD.search(m[3]) else 0.0))
         stack.append(len(tags) - 1)
         articles += tag == "article"
-        if not away and _unwanted(tag, m[3], articles > 0):
-            away = len(tags) - 1
+        if not away:
+            n, unwanted = len(tags) - 1, _unwanted(tag, m[3], articles > 0)
+            if unwanted == 1:
+                doubted[n] = 0.9 if _THREAD.search(m[3]) else 0.5
+            if unwanted == 2 or (unwanted and not trial and n not in spared):
+                away = n
+            elif tag in ("article", "main"):
+                articled.append(n)
     flush()
+    if trial:
+        return "", _spared(doubted, articled, parent, blocks)
     if not blocks:
-        return ""
+        return "", frozenset(doubted)
     count = len(tags)
     chars, linked, points = [0] * count, [0] * count, [0.0] * count
     for owner, text, in_links in blocks:
         chars[owner] += len(text)
         linked[owner] += in_links
-        worth = (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
+        worth = _worth(text, in_links)
         n = parent[owner] if tags[owner] in _PARAGRAPH and owner else owner
         for share in (1, 2, 3):
             if n <= 0:
@@ -175,7 +200,28 @@ def main_text(html: str | None) -> str:
                 kept[k] = k == best or score[k] >= least or plain
     for k in range(1, count):
         kept[k] = kept[k] or kept[parent[k]]
-    return "\n\n".join(text for owner, text, _ in blocks if kept[owner])
+    return "\n\n".join(text for owner, text, _ in blocks if kept[owner]), frozenset(doubted)
+
+
+def _worth(text: str, in_links: int) -> float:
+    return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
+
+
+def _spared(doubted: dict[int, float], articled: list[int], parent: list[int], blocks: list[tuple[int, str, int]]) -> frozenset:
+    """The doubted elements that hold the page's articles or most of its points."""
+    points, holds = [0.0] * len(parent), [False] * len(parent)
+    for owner, text, in_links in blocks:
+        points[owner] += _worth(text, in_links)
+    for n in articled:
+        holds[n] = True
+    under = [False] * len(parent)  # in a doubted element
+    for n in range(1, len(parent)):
+        under[n] = n in doubted or under[parent[n]]
+    for n in range(len(parent) - 1, 0, -1):
+        points[parent[n]] += points[n]
+        holds[parent[n]] |= holds[n]
+    lost = bool(articled) and all(under[n] for n in articled)
+    return frozenset(n for n, share in doubted.items() if points[n] > share * points[0] or (lost and holds[n]))
 
 
 def main_text_of(html: Column | str) -> Column:

@@ -301,6 +301,21 @@ def test_html(spark):
     assert [r.t for r in df.collect()] == [want, ""]
 
 
+def test_html_keeps_wrappers():
+    text = "<p>First para, with commas, and more.</p><p>Second, longer para, as it goes.</p>"
+    want = "First para, with commas, and more.\n\nSecond, longer para, as it goes."
+    side = '<div class="sidebar"><p>side, side</p></div>'
+    for name in ("layout has-sidebar", "content with-sidebar", "no-sidebar", "post-body ad-free", "page_no-ads", "widget", "share-box"):
+        assert html_main.main_text(f'<body><div class="{name}">{text}{side}</div></body>') == want, name
+        assert html_main.main_text(f'<body><div id="{name}"><div><article>{text}</article></div>{side}</div><p>{"x, " * 40}</p></body>').startswith(want), name  # the article holds fewer points
+    many = "<p>" + "Nice, really, very, much, so</p><p>" * 6 + "Yes, yes</p>"
+    for name in ("comments", "sidebar with-icons", "ad no-border"):
+        out = html_main.main_text(f'<body><div class="text">{text * 6}</div><div class="{name}"><p>Nice, really, very, much</p></div></body>')
+        assert "Nice" not in out and out.startswith(want), name
+    assert html_main.main_text(f'<body><div class="text">{text}</div><div id="comments">{many}</div></body>') == want
+    assert html_main.main_text(f'<body><div class="text">{text}</div><div id="comments"><article class="comment">{many}</article></div></body>') == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 64, 1000])
 def test_feistel(n):
     there = to.feistel(np.arange(n), n, 5)
