@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Number of cells of an id filter. Its broadcast has at most so many longs, whatever the input.
 FILTER_CELLS = 1 << 20
+#: Bytes of one Arrow batch of texts, about.
+BATCH_BYTES = 8 << 20
 
 
 class Scratch:
     """A folder for written intermediate tables, in the shared folder of ``spark.checkpoint.dir``.
 
     Tables are cut from their lineage by being written and read again, so a lost executor
-    costs no recomputation. Only where the setting is unset (tests) a local folder is made.
+    costs no recomputation. Only a local master may leave the setting unset: one process then sees
+    the temporary folder that is made. On a cluster that is an error, as executors share no local folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="spark-scratch-")
-            spark.conf.set("spark.checkpoint.dir", base)
         self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def path(self, name: str) -> str:
@@ -37,6 +44,33 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(where)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let no Arrow batch hold much more than BATCH_BYTES: texts may be long, and a worker holds a batch several times over."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(setting).rstrip("bB")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(setting, f"{BATCH_BYTES}b")
+
+
+def tidy(run):
+    """A ``mapInPandas`` function that gives freed memory back when its task ends, since Python workers live on between tasks."""
+
+    def tidied(batches):
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+def give_back() -> None:
+    """Return what the allocators of this process hold unused to the system, where they can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library: it keeps its free pages
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

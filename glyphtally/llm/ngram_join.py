@@ -12,16 +12,18 @@ Documents meet in the buckets of their prefix tokens: of sets with similarity t
 first n - ceil(t n) + 1 tokens in any common order have one in common, so no link is lost. Frequent
 tokens come last in that order. Copies (equal sets) are one class throughout.
 
-All links: the R-trees of all buckets are searched, every pair of classes that a bound lets through is verified on
-the whole sets, and each document's links are counted (copies, and the rows of linked classes).
-`ngram_jaccard_links` returns the pairs of classes. Their number, and so time and space, grows with the links there are.
+Components come first: each class is compared with the first class of its buckets, which joins large groups of near copies by
+a number of comparisons in proportion to their tokens; then the R-trees of the buckets that still hold several components are
+searched for pairs across them. Every pair that the bounds let through is verified on the whole sets.
 
-Components alone (``count_links=False``, for deduplication) have a shorter way, which skips links inside a component: a first round compares each class only with the first class of its buckets; it joins large groups of near copies by
-a number of comparisons in proportion to their tokens. The second round builds the R-trees, for the buckets that
-then hold more than one component, and searches pairs across components.
+All links lie inside components, so links are counted there (``count_links``): a component's classes are dealt out in
+blocks, an R-tree over each block finds the pairs of blocks that may be similar, and the whole sets decide. A class's count
+weighs linked classes by their rows, so copies are not expanded into pairs. `ngram_jaccard_links` gives the pairs of classes themselves; comparisons grow with the square of a
+component's classes, as its links do.
 
 Nulls, empty texts: empty set, no links, a component of their own. Repeated rows: one result row
-each. Rows without id are dropped from linking. Other columns of the input are not looked at.
+each, and links with each other. Rows without id have their n_shingles, but no class, component or links, and leave other rows as they are. Ties: of equal
+sets, and in a component, the smallest id names it. Very long texts are read whole. An empty table gives no rows. Other columns of the input are not looked at.
 """
 
 from __future__ import annotations
@@ -33,17 +35,21 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, maybe_in, shingle_sets, without_ids
+from .common import Scratch, bounded_batches, connected, maybe_in, shingle_sets, tidy, without_ids
 
 GROUPS = 256
 WIDTH = 5
 #: Tokens counted as frequent, at most; a bound of the broadcast that orders tokens.
 FREQUENT = 1 << 16
 #: Points in one R-tree; larger buckets are dealt out in blocks of about so many.
-BLOCK = 4096
+BLOCK = 1024
 LEAF, FAN = 16, 8
-#: Tokens of the documents whose pairs are verified together in one task, at most.
-TOGETHER = 8_000_000
+#: Pairs with one document that are verified together.
+PARTNERS = 256
+#: Sets and tokens in one block of a component, about.
+BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20
+#: Tokens of the texts in which `_frequent` looks for recurring ones at once.
+COUNTED = 1 << 20
 
 
 def needed(a, b, pct: int):
@@ -117,6 +123,7 @@ def _frequent(width: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[np.ndarray] = []
+        size = 0
 
         def flush():
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -125,9 +132,11 @@ def _frequent(width: int):
         for pdf in batches:
             for s in shingle_sets(pdf["text"].tolist(), width):
                 held.append(s)
-                if len(held) >= 2048:
+                size += len(s)
+                if size >= COUNTED:
                     yield flush()
                     held.clear()
+                    size = 0
         if held:
             yield flush()
 
@@ -155,6 +164,7 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
                 rows.append((n, _signed(s.sum(keepdims=True))[0], _signed(np.bitwise_xor.reduce(m ^ (m >> np.uint64(32)), keepdims=True))[0] if n else 0, cut.tobytes(), int(counts.sum() - cut.sum()), _signed(first)))
             out = pd.DataFrame(rows, columns=["n", "fa", "fb", "counts", "excess", "prefix"])
             out.insert(0, "id", pdf["id"].to_numpy())
+            out.insert(1, "none", pdf["none"].to_numpy())
             yield out
 
     return run
@@ -163,7 +173,7 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
 def _sets(width: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"near": pdf["near"], "a": pdf["id"], "tokens": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
+            yield pd.DataFrame({"id": pdf["id"], "tokens": [s.tobytes() for s in shingle_sets(pdf["text"].tolist(), width)]})
 
     return run
 
@@ -207,38 +217,85 @@ def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
 
 
 def _verified(pct: int):
-    """Pairs that link, of pairs that come with both their sets."""
+    """Pairs that link, of partitions sorted by (a, part, first) in which a's set comes before those of its partners b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
         for pdf in batches:
-            keep = [_similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), pct) for x, y in zip(pdf["ta"], pdf["tb"])]
-            yield pdf.loc[keep, ["a", "b"]]
+            links = []
+            for a, b, first, tokens in zip(pdf["a"], pdf["b"], pdf["kind"] == 0, pdf["tokens"]):
+                if first:
+                    own = np.frombuffer(tokens, np.uint64)
+                elif _similar(own, np.frombuffer(tokens, np.uint64), pct):
+                    links.append((a, b))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
 
     return run
 
 
-def _verified_together(pct: int):
-    """Pairs that link, of partitions sorted by neighbourhood in which its sets (b null) come before its pairs."""
+def _similar_pairs(left: list, right: list, pct: int, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar sets of two blocks: an R-tree over the points of one finds those that may be, the whole sets decide."""
+    points = [np.array([np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=GROUPS) for s in side]) for side in (left, right)]
+    q, p = CountTree(points[1]).search(points[0], pct)
+    if same:
+        q, p = q[q < p], p[q < p]
+    if not len(q):
+        return q, p
+    # sizes of all intersections: products of 0/1 matrices over the tokens that more than one set holds
+    sizes = [np.array([len(s) for s in side]) for side in (left, right)]
+    sides = left if same else left + right
+    _, column, held = np.unique(np.concatenate(sides), return_inverse=True, return_counts=True)
+    several = held > 1
+    place = np.cumsum(several) - 1
+    keep = several[column]
+    column, row = place[column[keep]], np.repeat(np.arange(len(sides)), [len(s) for s in sides])[keep]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    shared, width = np.zeros((len(left), len(right)), np.float32), max(1, (1 << 22) // len(sides))
+    for lo in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, (lo, lo + width))
+        matrix = np.zeros((len(sides), width), np.float32)
+        matrix[row[a:b], column[a:b] - lo] = 1
+        shared += matrix[:len(left)] @ (matrix if same else matrix[len(left):]).T
+    both = shared[q, p].astype(np.int64)
+    link = 100 * both >= pct * (sizes[0][q] + sizes[1][p] - both)
+    return q[link], p[link]
+
+
+def _within(pct: int, counted: bool):
+    """The links inside components, of partitions sorted by pair of blocks: how many each class has, or the pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        near, sets = None, {}
+        key, held = None, []
+
+        def found() -> pd.DataFrame:
+            left, right = ([r for r in held if r[0] == k] for k in key[1:])
+            if not left or not right:  # a block that got no class
+                return pd.DataFrame({c: np.zeros(0, np.int64) for c in (("id", "far") if counted else ("a", "b"))})
+            q, p = _similar_pairs([r[3] for r in left], [r[3] for r in right], pct, key[1] == key[2])
+            a, b = (np.array([r[1] for r in side], np.int64) for side in (left, right))
+            if not counted:
+                return pd.DataFrame({"a": np.minimum(a[q], b[p]), "b": np.maximum(a[q], b[p])})
+            m, n = (np.array([r[2] for r in side], np.float64) for side in (left, right))
+            out = pd.DataFrame({"id": np.concatenate([a, b]), "far": np.concatenate([np.bincount(q, n[p], len(a)), np.bincount(p, m[q], len(b))]).astype(np.int64)})
+            return out[out["far"] > 0]
+
         for pdf in batches:
-            links = []
-            for c, a, b, t in zip(pdf["near"], pdf["a"], pdf["b"], pdf["tokens"]):
-                if c != near:
-                    near, sets = c, {}
-                if t is not None:
-                    sets[a] = np.frombuffer(t, np.uint64)
-                elif _similar(sets[a], sets[b], pct):
-                    links.append((a, b))
-            if links:
-                yield pd.DataFrame(links, columns=["a", "b"])
+            for row in zip(pdf["component"], pdf["bi"], pdf["bj"], pdf["block"], pdf["id"], pdf["members"], pdf["tokens"]):
+                if row[:3] != key:
+                    if held:
+                        yield found()
+                    key, held = row[:3], []
+                held.append((*row[3:6], np.frombuffer(row[6], np.uint64)))
+        if held:
+            yield found()
 
     return run
 
 
-def _buckets(pct: int, across: bool):
-    """Pairs, only those across components if ``across``, in the buckets of a sorted partition, each bucket through its own R-tree."""
+def _buckets(pct: int):
+    """Pairs across components in the buckets of a sorted partition, each bucket through its own R-tree."""
 
     def pairs(lo: int, hi: int, points, counts, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
         left = right = np.arange(lo, hi)
@@ -246,8 +303,7 @@ def _buckets(pct: int, across: bool):
             left, right = left[block[lo:hi] == bi[lo]], right[block[lo:hi] == bj[lo]]
         q, p = CountTree(points[right], sizes[right], excess[right]).search(points[left], pct, sizes[left], excess[left])
         q, p = left[q], right[p]
-        keep = (comps[q] != comps[p]) if across else ids[q] != ids[p]
-        keep &= (ids[q] < ids[p]) | (bi[lo] != bj[lo])
+        keep = (comps[q] != comps[p]) & ((ids[q] < ids[p]) | (bi[lo] != bj[lo]))
         fine = np.flatnonzero(keep & (np.minimum(sizes[q], sizes[p]) >= 4 * GROUPS))  # long texts have finer groups
         keep[fine] = [fine_minima(counts[i], counts[j]) + min(excess[i], excess[j]) >= needed(sizes[i], sizes[j], pct) for i, j in zip(q[fine], p[fine])]
         a, b = ids[q[keep]], ids[p[keep]]
@@ -278,92 +334,121 @@ def _buckets(pct: int, across: bool):
 
 def ngram_jaccard_links(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75) -> DataFrame:
     """All links between different sets, as pairs (a, b) of class ids with a < b."""
-    return _classes_and_links(spark, df, id_col, text_col, width, pct, True)[2]
+    join = _Join(spark, df, id_col, text_col, width, pct)
+    return join.within(join.components(), False)
 
 
 def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75, count_links: bool = False) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, class_id (smallest id with an equal set), component_id.
 
-    With ``count_links`` also n_links, the number of other rows whose set is similar or equal, from a search for all links.
+    With ``count_links`` also n_links, the number of other rows whose set is similar or equal.
     """
-    scratch, classes, links = _classes_and_links(spark, df, id_col, text_col, width, pct, count_links)
-    comps = connected(scratch, links, "a", "b", "comp")
-    out = classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
+    join = _Join(spark, df, id_col, text_col, width, pct)
+    comps = join.components()
+    out = join.classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
     columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")]
     if count_links:
-        sizes = scratch.write(classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members")), "sizes")
-        ends = links.select("a", "b").union(links.select("b", "a")).toDF("class_id", "other")
-        far = ends.join(sizes.toDF("other", "weight"), "other").groupBy("class_id").agg(F.sum("weight").alias("far"))
-        out = out.join(sizes.join(far, "class_id", "left").select("class_id", (F.col("members") - 1 + F.coalesce("far", F.lit(0))).alias("near")), "class_id", "left")
+        far = join.within(comps, True).groupBy("id").agg(F.sum("far").alias("far")).withColumnRenamed("id", "class_id")
+        near = join.sizes.where("members > 1").join(far, "class_id", "full").select("class_id", (F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("far", F.lit(0))).alias("near"))
+        out = out.join(near, "class_id", "left")
         columns.append(F.coalesce("near", F.lit(0)).cast("long").alias("n_links"))
     return out.select(*columns)
 
 
-def _classes_and_links(spark: SparkSession, df: DataFrame, id_col: str, text_col: str, width: int, pct: int, every: bool) -> tuple[Scratch, DataFrame, DataFrame]:
-    """Classes (id, n, class_id), and links (a, b) between them: every one, or enough to join the components."""
-    scratch = Scratch(spark, "ngram-join")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-
-    counted = docs.select("text").mapInPandas(_frequent(width), "token long, n long")
-    often = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
-    frequent = np.sort(often.select("token").toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
-
-    profiles = scratch.write(docs.mapInPandas(
-        _profiles(width, pct, frequent), "id long, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
-    named = profiles.where("n > 0 AND id IS NOT NULL")
-    classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"))
-    classes = scratch.write(profiles.select("id", "n", "fa", "fb").join(classes, ["fa", "fb", "n"], "left").select("id", "n", "class_id"), "classes")
-    copies = classes.where("class_id <> id").select("id")
-    held = named.select("id", "n", "counts", "excess")
-
-    # (token, class, first class of the token's bucket), for tokens of more than one class
-    rows = without_ids(named.select("id", "prefix"), "id", copies, "id")
-    rows = rows.select(F.explode("prefix").alias("token"), "id").repartition("token")
-    buckets = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
-    rows = scratch.write(rows.join(buckets.drop("last"), "token"), "rows")
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link. Each set goes once to its neighbourhood of candidate pairs; those of large ones go along with pairs."""
-        near = connected(scratch, pairs, "a", "b", f"{name}-near").toDF("id", "near")
-        near = near.join(classes.select("id", "n").distinct(), "id")
-        small = near.groupBy("near").agg(F.sum("n").alias("tokens")).select("near", (F.col("tokens") <= TOGETHER).alias("small"))
-        near = scratch.write(near.join(small, "near").select("id", "near", "small"), f"{name}-placed")
-        asked = maybe_in(docs, "id", near, "id").join(near, "id")
-        sets = asked.where("small").mapInPandas(_sets(width), "near long, a long, tokens binary")
-        both = pairs.join(near.toDF("a", "near", "small"), "a")
-        mixed = sets.select("near", F.lit(0).alias("kind"), "a", F.lit(0).cast("long").alias("b"), "tokens").union(
-            both.where("small").select("near", F.lit(1), "a", "b", F.lit(None).cast("binary")))
-        links = mixed.repartition("near").sortWithinPartitions("near", "kind").drop("kind").mapInPandas(_verified_together(pct), "a long, b long")
-        if near.where("NOT small").limit(1).count():
-            sets = asked.where("NOT small").mapInPandas(_sets(width), "near long, a long, tokens binary").dropDuplicates(["a"])
-            sets = scratch.write(sets, f"{name}-sets")
-            wide = both.where("NOT small").select("a", "b").join(sets.select("a", F.col("tokens").alias("ta")), "a").join(sets.select(F.col("a").alias("b"), F.col("tokens").alias("tb")), "b")
-            links = links.union(wide.mapInPandas(_verified(pct), "a long, b long"))
-        return scratch.write(links.distinct(), f"{name}-links")
-
-    def bounded(pairs: DataFrame, name: str) -> DataFrame:
-        wide = (pairs.distinct().join(held.toDF("a", "na", "ca", "xa"), "a").join(held.toDF("b", "nb", "cb", "xb"), "b")
-                .where(f"100 * na >= {pct} * nb AND 100 * nb >= {pct} * na"))
-        return scratch.write(wide.mapInPandas(_bounded(pct), "a long, b long"), name)
-
-    def mixed(links: DataFrame, name: str) -> DataFrame:
-        """Rows of the buckets that hold more than one component, with the component."""
-        comps = connected(scratch, links, "a", "b", f"{name}-comp").withColumnRenamed("node", "id")
-        placed = rows.select("token", "id", "held", "members").join(comps, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = scratch.write(placed, f"{name}-placed")
+class _Join:
+    """The steps of one join over written tables: `classes` (id, n, class_id) of the rows, `sizes` (class_id, members)."""
+
+    def __init__(self, spark: SparkSession, df: DataFrame, id_col: str, text_col: str, width: int, pct: int):
+        bounded_batches(spark)
+        self.spark, self.width, self.pct, self.scratch = spark, width, pct, Scratch(spark, "ngram-join")
+        # a null id would turn the ids of its whole batch into floats, so it goes along as a mark
+        key = F.col(id_col).cast("long")
+        docs = df.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("none"), F.col(text_col).alias("text"))
+        self.named = docs.where("NOT none").select("id", "text")
+
+        counted = docs.select("text").mapInPandas(tidy(_frequent(width)), "token long, n long")
+        often = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
+        frequent = np.sort(often.select("token").toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
+        self.profiles = self.scratch.write(docs.mapInPandas(tidy(_profiles(width, pct, frequent)), "id long, none boolean, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
+        named = self.profiles.where("n > 0 AND NOT none")
+        classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"))
+        rows = self.profiles.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n", "fa", "fb")
+        classes = rows.join(classes, ["fa", "fb", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+        self.classes = self.scratch.write(classes, "classes")
+        self.sizes = self.scratch.write(self.classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members"), F.first("n").alias("n")), "sizes")
+        self.held = named.select("id", "n", "counts", "excess")
+
+    def sets(self, ids: DataFrame) -> DataFrame:
+        """(id, tokens) of the documents with these ids, from their texts."""
+        asked = maybe_in(self.named, "id", ids, "id").join(ids, "id")
+        return asked.mapInPandas(tidy(_sets(self.width)), "id long, tokens binary").dropDuplicates(["id"])
+
+    def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs whose count vectors allow a link."""
+        wide = (pairs.distinct().join(self.held.toDF("a", "na", "ca", "xa").dropDuplicates(["a"]), "a").join(self.held.toDF("b", "nb", "cb", "xb").dropDuplicates(["b"]), "b")
+                .where(f"100 * na >= {self.pct} * nb AND 100 * nb >= {self.pct} * na"))
+        return self.scratch.write(wide.mapInPandas(tidy(_bounded(self.pct)), "a long, b long"), f"{name}-bounded")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """The pairs that link. The set of b comes with each pair, that of a once for PARTNERS pairs, so no task holds more than one set."""
+        parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("parts"))
+        placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("part"))
+        placed = self.scratch.write(placed, f"{name}-placed")
+        roles = placed.select("a", "part", F.lit(1).alias("kind"), "b", F.col("b").alias("id")).unionByName(
+            placed.select("a", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), F.col("a").alias("id")).distinct())
+        both = roles.join(self.sets(roles.select("id").distinct()), "id").drop("id")
+        links = both.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInPandas(tidy(_verified(self.pct)), "a long, b long")
+        return self.scratch.write(links, f"{name}-links")
+
+    def components(self) -> DataFrame:
+        """(node, component) of the linked classes: exact, though links inside a component found so far are not looked for."""
+        scratch = self.scratch
+        # (token, class, first class of the token's bucket), for tokens of more than one class
+        copies = self.classes.where("class_id <> id").select("id")
+        rows = without_ids(self.profiles.where("n > 0 AND NOT none").select("id", "prefix"), "id", copies, "id")
+        rows = rows.select(F.explode("prefix").alias("token"), "id").repartition("token")
+        buckets = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
+        rows = scratch.write(rows.join(buckets.drop("last"), "token"), "rows")
+
+        # each class with the first class of its buckets: that of most of them, then those of other components
+        leads = scratch.write(rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("often")), "leads")
+        best = leads.groupBy("id").agg(F.max_by("lead", F.struct("often", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))
+        comps = connected(scratch, self.verified(self.bounded(best, "best"), "best"), "a", "b", "best-comp")
+        comps = scratch.write(comps, "best-comps")
+        rest = leads.select(F.col("lead").alias("a"), F.col("id").alias("b"))
+        for end in ("a", "b"):
+            rest = rest.join(comps.toDF(end, f"c{end}"), end, "left")
+        rest = rest.where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        links = self.verified(self.bounded(rest, "leads"), "leads")
+        comps = connected(scratch, comps.toDF("a", "b").union(links), "a", "b", "leads-comp")
+
+        # all pairs across components that the trees of the buckets with several components find
+        comps = scratch.write(comps, "leads-comps")
+        placed = rows.select("token", "id", "held", "members").join(comps.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = scratch.write(placed, "placed")
         several = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        return scratch.write(placed.join(several, "token"), f"{name}-mixed")
-
-    # round 1: each class with the first class of its buckets
-    near = None if every else verified(bounded(rows.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")), "first"), "first")
-    # round 2: all pairs (across components, after round 1) that the trees find
-    placed = rows.select("token", "id", "held", "members").withColumn("component", F.col("id")) if every else mixed(near, "trees")
-    alike = ["held", "members"] if every else ["held", "members", "c0", "c1"]
-    once = placed.groupBy(*alike).agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
-    blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-    placed = placed.join(once, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-    dealt = placed.join(held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
-    found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(_buckets(pct, not every), "a long, b long").distinct()
-    links = verified(scratch.write(found, "second"), "second")
-    return scratch, classes, links if every else near.union(links)
+        placed = scratch.write(placed.join(several, "token"), "mixed")
+        once = placed.groupBy("held", "members", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
+        blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
+        placed = placed.join(once, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+        dealt = placed.join(self.held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
+        found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(tidy(_buckets(self.pct)), "a long, b long")
+        links = self.verified(scratch.write(found.distinct(), "found"), "trees")
+        return scratch.write(connected(scratch, comps.toDF("a", "b").union(links), "a", "b", "all-comp"), "comps")
+
+    def within(self, comps: DataFrame, counted: bool) -> DataFrame:
+        """The links of each component: (id, far), the rows that a class is linked with per pair of blocks, or pairs (a, b).
+
+        A component's classes are dealt out in blocks, and every pair of blocks is searched through an R-tree and verified by itself.
+        """
+        own = comps.join(self.sizes.withColumnRenamed("class_id", "node"), "node").withColumnRenamed("node", "id")
+        total = own.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / F.lit(BLOCK_SETS)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("int").alias("blocks"))
+        own = self.scratch.write(own.join(total, "component").select("id", "component", "members", "blocks", F.pmod(F.hash("id"), "blocks").alias("block")), "within")
+        sets = own.join(self.sets(own.select("id")), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        sets = sets.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
+        # the pairs of blocks of a component go to partitions in turn
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        turn = F.pmod(F.hash("component").cast("long") + F.col("bi") + F.expr("bj * (bj + 1L) div 2"), F.lit(parts)).cast("int")
+        dealt = sets.select("component", "bi", "bj", "block", "id", "members", "tokens").repartitionById(parts, turn).sortWithinPartitions("component", "bi", "bj")
+        return dealt.mapInPandas(tidy(_within(self.pct, counted)), "id long, far long" if counted else "a long, b long")

@@ -64,10 +64,15 @@ def linked(sets):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("together", [ng.TOGETHER, 1])
-def test_ngram_join(spark, docs, rows, together, monkeypatch):
-    monkeypatch.setattr(ng, "TOGETHER", together)
-    monkeypatch.setattr(ng, "BLOCK", 4)
+def small_blocks(monkeypatch):
+    for name, size in (("BLOCK", 4), ("PARTNERS", 2), ("BLOCK_SETS", 5), ("BLOCK_TOKENS", 3000)):
+        monkeypatch.setattr(ng, name, size)
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join(spark, docs, rows, small, monkeypatch):
+    if small:
+        small_blocks(monkeypatch)
     sets = {r[0]: shingles(r[1]) for r in rows}
     want = linked(sets)
     got = ng.ngram_jaccard_join(spark, docs).collect()
@@ -75,10 +80,10 @@ def test_ngram_join(spark, docs, rows, together, monkeypatch):
     assert all((r.n_shingles, r.component_id) == (len(sets[r.doc_id]), want[r.doc_id]) for r in got)
 
 
-@pytest.mark.parametrize("together", [ng.TOGETHER, 1])
-def test_ngram_join_counts_all_links(spark, docs, rows, together, monkeypatch):
-    monkeypatch.setattr(ng, "TOGETHER", together)
-    monkeypatch.setattr(ng, "BLOCK", 4)
+@pytest.mark.parametrize("small", [False, True])
+def test_ngram_join_counts_all_links(spark, docs, rows, small, monkeypatch):
+    if small:
+        small_blocks(monkeypatch)
     sets = {r[0]: shingles(r[1]) for r in rows}
     near = lambda x, y: bool(x & y) and 100 * len(x & y) >= 75 * len(x | y)
     want = {i: sum(near(s, sets[r[0]]) for r in rows) - bool(s) for i, s in sets.items()}
@@ -90,6 +95,38 @@ def test_ngram_join_counts_all_links(spark, docs, rows, together, monkeypatch):
     assert {tuple(r) for r in ng.ngram_jaccard_links(spark, docs).collect()} == pairs
 
 
+BIG = 1 << 60
+
+
+def with_null_ids(spark, values, name):
+    """Rows whose ids do not fit a double, with a null id between them, all in one partition."""
+    rows = [(BIG + 1, values[0]), (None, values[1]), (BIG + 3, values[2]), (BIG + 5, values[0])]
+    return spark.createDataFrame(rows, f"{name}").coalesce(1)
+
+
+def test_null_ids_leave_other_ids_alone(spark):
+    base, long = words(1, 120), words(2, 150)
+    docs = with_null_ids(spark, [base, base, long], "doc_id long, text string").union(spark.createDataFrame([(BIG + 7, edited(base, 1, 3))], "doc_id long, text string")).coalesce(1)
+    got = {r.doc_id: (r.component_id, r.n_links, r.n_shingles) for r in ng.ngram_jaccard_join(spark, docs, count_links=True).collect()}
+    assert got == {BIG + 1: (BIG + 1, 2, 116), None: (None, 0, 116), BIG + 3: (BIG + 3, 0, 146), BIG + 5: (BIG + 1, 2, 116), BIG + 7: (BIG + 1, 2, 116)}
+
+
+def test_null_ids_leave_other_vectors_alone(spark):
+    v = [float(x) for x in np.random.default_rng(5).standard_normal(16)]
+    df = with_null_ids(spark, [v, v, [x + 0.01 for x in v]], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in lat.near_duplicate_vectors(spark, df).collect()}
+    assert got == {BIG + 1: (2, BIG + 1), None: (0, None), BIG + 3: (2, BIG + 1), BIG + 5: (2, BIG + 1)}
+
+
+def test_null_ids_leave_other_sequences_alone(spark, tmp_path):
+    df = with_null_ids(spark, ["one two", "three", "four five six"], "doc_id long, text string")
+    count = {}
+    for r in to.materialise_training_order(spark, df, root=f"file://{tmp_path}/s", length=2, per_shard=3).collect():
+        count.setdefault(r.doc_id, []).append(r.n_tokens)
+    assert count.keys() == {BIG + 1, None, BIG + 3, BIG + 5} and sum(count[BIG + 1]) == sum(count[BIG + 5]) == len(to.Tokens(to.VOCABULARY)("one two"))
+    assert sum(count[BIG + 3]) == len(to.Tokens(to.VOCABULARY)("four five six"))
+
+
 def test_ngram_join_empty(spark, docs):
     assert ng.ngram_jaccard_join(spark, docs.where("false")).count() == 0
     assert [r.component_id for r in ng.ngram_jaccard_join(spark, docs.where("text IS NULL")).collect()] == [0]
