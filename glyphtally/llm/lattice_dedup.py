@@ -9,7 +9,8 @@ Equal vectors are one class. Cells with many vectors are dealt out in blocks, an
 own cells of several tables is reported by the first.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
-vectors of different lengths with each other. Repeated ids are separate vectors with one id. An empty table gives no rows.
+vectors of different lengths with each other, and vectors without id, which leave other rows as they are. Repeated ids are separate vectors with one id. An empty table gives no rows.
+Ties: a cosine of exactly the limit links; of equal vectors, and in a component, the smallest id names it. Only the id and the vector are looked at.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected, mix64
+from .common import Scratch, bounded_batches, connected, mix64, tidy
 
 TABLES = 10
 BLOCKS = 2
@@ -163,25 +164,27 @@ def _linked(limit: float):
 
 def near_duplicate_vectors(spark: SparkSession, df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", limit: float = 0.9) -> DataFrame:
     """One row per vector: id, n_links, component_id, kept."""
+    bounded_batches(spark)
     scratch = Scratch(spark, "lattice")
     v = F.col(vector_col).cast("array<double>")
     sound = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
-    rows = df.select(F.col(id_col).cast("long").alias("vid"), F.when(F.coalesce(sound, F.lit(False)), v).alias("v"))
+    key = F.col(id_col).cast("long")
+    rows = df.select(key.alias("vid"), F.when(F.coalesce(sound, F.lit(False)) & key.isNotNull(), v).alias("v"))
     rows = rows.withColumn("ha", F.xxhash64("v")).withColumn("hb", F.hash("v"))
     classes = rows.where("v IS NOT NULL").groupBy("ha", "hb").agg(F.min("vid").alias("id"), F.count("*").alias("copies"), F.min("v").alias("v"))
     classes = scratch.write(classes, "classes")
 
     dealt = classes.select("id", "v").repartition(F.col("id"))  # a small table in few files: let every core hash
-    asked = scratch.write(dealt.mapInPandas(_hashed, "cell long, id long, own boolean"), "asked")
+    asked = scratch.write(dealt.mapInPandas(tidy(_hashed), "cell long, id long, own boolean"), "asked")
     met = asked.groupBy("cell").agg(F.count_if("own").alias("held"), F.min("id").alias("i"), F.max("id").alias("j")).where("held > 0 AND i < j")
     asked = asked.join(met.select("cell", "held"), "cell").dropDuplicates(["cell", "id", "own"])
     blocks = F.ceil(F.col("held") / F.lit(CELL_BLOCK)).cast("int")
     mine = asked.where("own").withColumn("block", F.pmod(F.hash("id"), blocks))
     split = asked.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).where(~F.col("own") | (F.pmod(F.hash("id"), blocks) != F.col("block")))
     split = split.withColumn("own", F.lit(False)).unionByName(mine)
-    units = scratch.write(dealt.mapInPandas(_with_cells, "id long, unit binary, cells array<long>"), "units")
+    units = scratch.write(dealt.mapInPandas(tidy(_with_cells), "id long, unit binary, cells array<long>"), "units")
     split = split.join(units, "id").repartition("cell", "block").sortWithinPartitions("cell", "block")
-    links = split.select("cell", "block", "id", "own", "unit", "cells").mapInPandas(_linked(limit), "a long, b long").distinct()
+    links = split.select("cell", "block", "id", "own", "unit", "cells").mapInPandas(tidy(_linked(limit)), "a long, b long").distinct()
     links = scratch.write(links, "links")
 
     comps = connected(scratch, links, "a", "b", "comp").toDF("id", "component")
