@@ -7,13 +7,18 @@ each number to its global slot: a seeded shuffle that needs no sort and can be c
 inverted, for any sequence alone. Slot s stands in shard s // per_shard at byte
 (s % per_shard) * 2 * length, so a reader can start, stop and resume anywhere.
 
-Nulls and empty texts: one sequence of end tokens, 0 tokens of text. Repeated rows have sequences of
-their own. An empty table gives no rows and no files. Rows with a null id keep it.
+Sequences go to the writers in range partitions of consecutive shards. What travels is the tokens, and once per piece
+the documents they are of; a writer finds the numbers and slots of its sequences by the inverse permutation.
+
+Nulls and empty texts: one sequence of end tokens, 0 tokens of text. Repeated rows, and rows with equal ids, have sequences of
+their own. An empty table gives no rows and no files. Rows with a null id keep it and leave other ids as they are. Very long texts are
+tokenised whole and have as many sequences as they need. Ties cannot arise: slots are a permutation. Only the id and the text are looked at.
 """
 
 from __future__ import annotations
 
 import base64
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +28,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix64
+from .common import Scratch, bounded_batches, mix64, tidy
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's byte-level BPE splits text before merging: a fixed value of that vocabulary.
@@ -31,6 +36,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = 50256
 #: Documents tokenised, compressed and dealt out together.
 GROUP = 1000
+#: Consecutive shards that one task writes, at most.
+RANGE = 64
+#: Tasks of the first pass whose beginnings are broadcast, at most.
+BROADCAST = 1_000_000
 
 
 class Tokens:
@@ -39,6 +48,8 @@ class Tokens:
     def __init__(self, vocabulary: str):
         import tiktoken
 
+        if not os.path.exists(vocabulary):
+            raise FileNotFoundError(f"{vocabulary}: every executor needs the vocabulary at the path given as `vocabulary`")
         with open(vocabulary, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
@@ -58,8 +69,8 @@ def _tokenised(vocabulary: str, length: int):
             for lo in range(0, len(pdf), GROUP):
                 own = [tokens(t) for t in pdf["text"].iloc[lo:lo + GROUP]]
                 held = sum(len(x) // length + 1 for x in own)
-                ids = [None if i is None or i != i else int(i) for i in pdf["id"].iloc[lo:lo + GROUP]]
-                yield pd.DataFrame({"task": [task], "ahead": [ahead], "held": [held], "ids": [ids], "ns": [[len(x) for x in own]], "data": [squeeze.compress(np.concatenate(own).tobytes())]})
+                ids, none = (pdf[c].iloc[lo:lo + GROUP].tolist() for c in ("id", "none"))
+                yield pd.DataFrame({"task": [task], "ahead": [ahead], "held": [held], "ids": [ids], "none": [none], "ns": [[len(x) for x in own]], "data": [squeeze.compress(np.concatenate(own).tobytes())]})
                 ahead += held
 
     return run
@@ -89,29 +100,28 @@ def slot_of(number: Column | str, n: int, key: int) -> Column:
 
 
 def _sequences(length: int, per_shard: int, n: int, key: int):
-    """The sequences of a group, one row per shard that gets any."""
+    """The sequences of a group, one row per shard that gets any: their records by number, and their documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loosen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=9)
         for pdf in batches:
-            for first, ids, ns, data in zip(pdf["first"], pdf["ids"], pdf["ns"], pdf["data"]):
-                ns = np.asarray(ns, np.int64)
+            for first, ids, none, ns, data in zip(pdf["first"], pdf["ids"], pdf["none"], pdf["ns"], pdf["data"]):
+                ids, none, ns = (np.asarray(x, np.int64) for x in (ids, none, ns))
                 parts, flat, at = ns // length + 1, np.frombuffer(loosen.decompress(data), "<u2"), 0
                 records, start = np.full((int(parts.sum()), length), END, "<u2"), np.cumsum(parts) - parts
                 for k, count in zip(start, ns):
                     records.reshape(-1)[k * length:k * length + count] = flat[at:at + count]
                     at += count
                 doc = np.repeat(np.arange(len(ns)), parts)
-                place = np.arange(len(doc)) - start[doc]
-                number = first + np.arange(len(doc))
-                slot = feistel(number, n, key)
-                order = np.argsort(slot)
-                shard = slot[order] // per_shard
-                cuts = np.concatenate(([0], np.flatnonzero(shard[1:] != shard[:-1]) + 1, [len(shard)]))
+                shard = feistel(first + np.arange(len(doc)), n, key) // per_shard
+                order = np.argsort(shard, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]))
                 own = [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
+                docs = [np.unique(doc[k]) for k in own]
                 yield pd.DataFrame({
-                    "shard": shard[cuts[:-1]], "slots": [(slot[k] % per_shard).astype(np.int32) for k in own], "docs": [[ids[j] for j in doc[k]] for k in own],
-                    "places": [place[k].astype(np.int32) for k in own], "counts": [np.clip(ns[doc[k]] - place[k] * length, 0, length).astype(np.int32) for k in own], "data": [squeeze.compress(records[k].tobytes()) for k in own]})
+                    "shard": shard[order[cuts[:-1]]], "first": first, "held": len(doc),
+                    "docs": [squeeze.compress(np.stack([ids[d], none[d], first + start[d], ns[d]]).tobytes()) for d in docs],
+                    "data": [squeeze.compress(records[k].tobytes()) for k in own]})
 
     return run
 
@@ -127,21 +137,27 @@ def _written(root: str, length: int, per_shard: int, n: int, key: int):
         task, loosen, held, shard = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor(), [], None
 
         def written() -> pd.DataFrame:
-            records = np.full((min(per_shard, n - shard * per_shard), length), END, "<u2")
-            slots = np.concatenate([r[0] for r in held]).astype(np.int64) + shard * per_shard
-            for own, *_, data in held:
+            slots = np.arange(shard * per_shard, min(n, (shard + 1) * per_shard))
+            numbers = feistel(slots, n, key, inverse=True)
+            order = np.argsort(numbers)
+            records, out = np.empty((len(slots), length), "<u2"), []
+            for first, count, docs, data in held:
+                own = order[slice(*np.searchsorted(numbers[order], (first, first + count)))]
                 records[own] = np.frombuffer(loosen.decompress(data), "<u2").reshape(-1, length)
+                ids, none, start, ns = np.frombuffer(loosen.decompress(docs), np.int64).reshape(4, -1)
+                doc = np.searchsorted(start, numbers[own], side="right") - 1
+                place = numbers[own] - start[doc]
+                out.append(pd.DataFrame({
+                    "id": pd.arrays.IntegerArray(ids[doc], none[doc] > 0), "place": place, "sequence": numbers[own], "slot": slots[own], "shard": shard,
+                    "byte_offset": slots[own] % per_shard * 2 * length, "n_tokens": np.clip(ns[doc] - place * length, 0, length), "crc32": [zlib.crc32(records[k].tobytes()) for k in own]}))
             with store.open_output_stream(f"{base}/_{shard:08d}.{task}") as f:
                 f.write(records.tobytes())
             store.move(f"{base}/_{shard:08d}.{task}", f"{base}/{shard:08d}.bin")
-            out = pd.DataFrame({"id": [i for r in held for i in r[1]], "place": np.concatenate([r[2] for r in held]), "sequence": feistel(slots, n, key, inverse=True), "slot": slots, "shard": shard,
-                                "byte_offset": slots % per_shard * 2 * length, "n_tokens": np.concatenate([r[3] for r in held])})
-            out["crc32"] = [zlib.crc32(records[s % per_shard].tobytes()) for s in slots]
             held.clear()
-            return out.astype({"id": "Int64"})
+            return pd.concat(out, ignore_index=True)
 
         for pdf in batches:
-            for row in zip(pdf["shard"], pdf["slots"], pdf["docs"], pdf["places"], pdf["counts"], pdf["data"]):
+            for row in zip(pdf["shard"], pdf["first"], pdf["held"], pdf["docs"], pdf["data"]):
                 if held and row[0] != shard:
                     yield written()
                 shard = row[0]
@@ -159,25 +175,29 @@ def materialise_training_order(
     id, place in the document, sequence, slot, shard, byte_offset, n_tokens, crc32 of the record."""
     from pyarrow import fs
 
+    bounded_batches(spark)
     scratch = Scratch(spark, "token-order")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    tokens = docs.mapInPandas(_tokenised(vocabulary, length), "task int, ahead long, held long, ids array<long>, ns array<int>, data binary")
+    own = F.col(id_col).cast("long")
+    docs = df.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(text_col).alias("text"))
+    tokens = docs.mapInPandas(tidy(_tokenised(vocabulary, length)), "task int, ahead long, held long, ids array<long>, none array<boolean>, ns array<int>, data binary")
     tokens.write.option("compression", "none").parquet(scratch.path("tokens"))
     tokens = spark.read.schema(tokens.schema).parquet(scratch.path("tokens"))
 
     # dense numbers: one row per task of the first pass says where its numbers begin
     tasks = tokens.groupBy("task").agg(F.sum("held").alias("own"))
-    total = tasks.agg(F.sum("own")).first()[0] or 0
+    total, made = tasks.agg(F.coalesce(F.sum("own"), F.lit(0)), F.count("*")).first()
     ahead = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     tasks = tasks.select("task", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("before"))
-    groups = tokens.join(F.broadcast(tasks), "task").select((F.col("before") + F.col("ahead")).alias("first"), "ids", "ns", "data")
+    groups = tokens.join(F.broadcast(tasks) if made <= BROADCAST else tasks, "task").select((F.col("before") + F.col("ahead")).alias("first"), "ids", "none", "ns", "data")
 
-    rows = groups.mapInPandas(_sequences(length, per_shard, total, key), "shard long, slots array<int>, docs array<long>, places array<int>, counts array<int>, data binary")
+    rows = groups.mapInPandas(tidy(_sequences(length, per_shard, total, key)), "shard long, first long, held long, docs binary, data binary")
     root = root or scratch.path("shards")
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base)
-    dealt = rows.repartition(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("shard")
-    out = dealt.mapInPandas(_written(root, length, per_shard, total, key), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
+    shards = max(1, -(-total // per_shard))
+    ranges = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // RANGE)))
+    dealt = rows.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {shards}L AS int)")).sortWithinPartitions("shard")
+    out = dealt.mapInPandas(tidy(_written(root, length, per_shard, total, key)), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 
