@@ -5,33 +5,35 @@ capacity that still holds them, found in a balanced tree over the remaining capa
 given capacity this minimises the number of shards; for a given number of shards the least capacity
 that suffices is found by bisection.
 
-At scale only the large groups are packed one by one. Groups smaller than a 1/FINE part of a
-shard are first put together in bundles by their hash, so the packing sees at most 3 * FINE * shards
-items whatever the input. The item of a row is a function of its group, so groups stay whole.
+At scale the packing sees sizes, not groups: best fit depends on nothing else, and of equal groups the tightest bin takes as
+many as it holds before the next one is asked. So the driver gets one row per distinct size of a group (at most the square
+root of twice the total size, far fewer in texts) and gives back how many groups of each size go to which shard; every group is placed as if packed
+one by one. Groups of one size are told apart by their rank in the order of their hashes, which is counted in parts.
 
 Nulls: a null text has size 8 (no bytes, plus 8) and the crc of nothing; all null texts are one group.
-Empty texts are another. Repeated rows: equal texts, same shard, own slots. An empty table gives
-no rows. Rows of a group larger than the capacity raise the capacity to its size.
+Empty texts are another. Repeated rows: equal texts, same shard, own slots. Ties: of bins with equal room the one opened first, of equal groups
+the smaller hash. Very long texts count whole, and other columns are not looked at. An empty table gives
+no rows. A group larger than the capacity raises the capacity to its size.
 """
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
-FINE = 512
-#: Rows of an item that are numbered in one window.
+#: Rows, or groups of one size, that are numbered in one window.
 RUN = 10_000
+#: Rows of the plan that are broadcast, at most.
+BROADCAST = 2_000_000
 
 
 class CapacityTree:
-    """Complete binary tree over bins in order of opening; a node holds the largest capacity left below it.
+    """Bins by (capacity left, order of opening) in a treap: a search tree kept balanced by random ranks.
 
-    ``best`` walks a treap of (capacity left, bin) instead of scanning bins: the tightest that fits.
+    ``take`` cuts it at the size asked for; the least bin of the upper part is the tightest that fits.
     """
 
     def __init__(self):
@@ -77,32 +79,38 @@ class CapacityTree:
         return key
 
 
-def best_fit_decreasing(sizes: list[int], capacity: int, most: int | None = None) -> list[int] | None:
-    """Bin of each item, sizes in falling order; None if more than ``most`` bins are needed."""
+def best_fit_decreasing(sizes: list[tuple[int, int]], capacity: int, most: int | None = None) -> list[tuple[int, int, int]] | None:
+    """(size, bin, how many) runs for (size, how many) groups in falling order of size; None if more than ``most`` bins are needed.
+
+    The bin that takes one group is the tightest for the next of that size as well, while it holds one.
+    """
     tree, bins, out = CapacityTree(), 0, []
-    for size in sizes:
-        found = tree.take(size)
-        if found is None:
-            if size > capacity or (most is not None and bins == most):
-                return None
-            found, bins = (capacity, bins), bins + 1
-        out.append(found[1])
-        tree.add(found[0] - size, found[1])
+    for size, count in sizes:
+        while count:
+            found = tree.take(size)
+            if found is None:
+                if size > capacity or (most is not None and bins == most):
+                    return None
+                found, bins = (capacity, bins), bins + 1
+            taken = min(count, found[0] // size)
+            out.append((size, found[1], taken))
+            count -= taken
+            tree.add(found[0] - taken * size, found[1])
     return out
 
 
-def pack_evenly(sizes: list[int], shards: int) -> list[int]:
-    """Bins 0 to shards-1 of items in falling order, by the least capacity (bisected) for which best fit needs no more."""
-    total = sum(sizes)
-    low, high = max(-(-total // shards), max(sizes, default=0)), 2 * max(-(-total // shards), max(sizes, default=0)) + 1
-    best = best_fit_decreasing(sizes, low, shards)
-    if best is None:
-        step = max(1, total // (shards * 20_000))
-        while low + step < high:
-            middle = (low + high) // 2
-            got = best_fit_decreasing(sizes, middle, shards)
-            low, high, best = (low, middle, got) if got is not None else (middle, high, best)
-        best = best or best_fit_decreasing(sizes, high, shards)
+def pack_evenly(sizes: list[tuple[int, int]], shards: int) -> list[tuple[int, int, int]]:
+    """Runs in bins 0 to shards-1 by the least capacity (bisected) for which best fit needs no more."""
+    total, largest = sum(s * n for s, n in sizes), max((s for s, _ in sizes), default=0)
+    low = max(-(-total // shards), largest)
+    best, high, step = best_fit_decreasing(sizes, low, shards), low, max(1, low // 1_000_000)
+    while best is None:  # widen until it suffices
+        low, high, step = high, high + step, 2 * step
+        best = best_fit_decreasing(sizes, high, shards)
+    while high - low > max(1, high // 100_000):
+        middle = (low + high) // 2
+        got = best_fit_decreasing(sizes, middle, shards)
+        low, high, best = (low, middle, got) if got is not None else (middle, high, best)
     return best
 
 
@@ -122,34 +130,35 @@ def pack_shards(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
         F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.xxhash64(text_col)).alias("hash"), F.col(text_col).isNull().alias("none"))
     rows = scratch.write(rows, "rows")
     group = ["hash", "crc", "size", "none"]
-    groups = scratch.write(rows.groupBy(*group).agg(F.sum("size").alias("bytes"), F.count("*").alias("n")), "groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    part = max(1, (capacity or -(-total // (shards or 1))) // FINE)
-    bundles = max(1, -(-total // part))
-    # items: a large group by itself (its hash), or a bundle of small ones
-    large = F.col("bytes") > part
-    item = F.when(large, F.xxhash64(*group)).otherwise(F.pmod(F.xxhash64("hash", "crc", "size"), F.lit(bundles)))
-    groups = groups.withColumn("large", large).withColumn("item", item)
-    items = groups.groupBy("large", "item").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n"))
-    # bounded: at most total / part bundles, and fewer large groups than that
-    held = items.toPandas().sort_values(["bytes", "large", "item"], ascending=[False, True, True], kind="stable")
-    sizes = [int(x) for x in held["bytes"]]
+    groups = scratch.write(rows.groupBy(*group).agg(F.sum("size").alias("bytes")), "groups")
+    per_size = groups.groupBy("bytes").agg(F.count("*").alias("n"))
+    sizes = [tuple(r) for r in sorted(per_size.collect(), reverse=True)]
     if capacity:
-        held["shard"] = best_fit_decreasing(sizes, max(capacity, sizes[0] if sizes else 0)) if sizes else []
+        runs = best_fit_decreasing(sizes, max(capacity, sizes[0][0] if sizes else 0))
     else:
-        held["shard"] = pack_evenly(sizes, shards) if sizes else []
-    held["shard"] = held["shard"].astype("int32")
-    held = held.sort_values(["shard", "bytes", "large", "item"], ascending=[True, False, True, True], kind="stable")
-    held["first"] = held.groupby("shard")["n"].cumsum() - held["n"] if len(held) else pd.Series(dtype="int64")
-    placed = spark.createDataFrame(held[["large", "item", "shard", "first", "n"]].astype({"item": np.int64, "first": np.int64, "n": np.int64}), "large boolean, item long, shard int, first long, n long")
-
-    groups = scratch.write(groups.select(*group, "large", "item").join(F.broadcast(placed), ["large", "item"]), "placed")
-    # number rows inside an item in runs of about RUN rows, so that a large group is not sorted in one task
-    keyed = rows.join(groups, group).withColumn("run", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / F.lit(RUN)).cast("int")))
-    keyed = scratch.write(keyed.select("id", "size", "crc", "large", "item", "shard", "first", "run"), "keyed")
-    runs = keyed.groupBy("large", "item", "run").agg(F.count("*").alias("held"))
-    before = F.sum("held").over(Window.partitionBy("large", "item").orderBy("run").rowsBetween(Window.unboundedPreceding, -1))
-    runs = runs.select("large", "item", "run", F.coalesce(before, F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("large", "item", "run").orderBy("id", "size", "crc"))
-    return keyed.withColumn("place", place).join(runs, ["large", "item", "run"]).select(
-        F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", (F.col("first") + F.col("before") + F.col("place") - 1).alias("slot"))
+        runs = pack_evenly(sizes, shards)
+    plan = pd.DataFrame(runs, columns=["bytes", "shard", "taken"], dtype="int64")
+    plan["first"] = plan.groupby("bytes")["taken"].cumsum() - plan["taken"]
+    plan = spark.createDataFrame(plan[["bytes", "shard", "first", "taken"]], "bytes long, shard int, first long, taken long")
+
+    # the rank of each group among those of its size, in parts of about RUN groups by the hash
+    part = F.pmod(F.shiftright("hash", 7), F.ceil(F.col("n") / F.lit(RUN)).cast("long"))
+    ranked = groups.join(per_size, "bytes").withColumn("part", part)
+    ranked = _numbered(ranked, ["bytes", "part"], "bytes", "part", ["hash", "crc", "none"], "rank")
+    ranked = ranked.join(F.broadcast(plan) if len(runs) <= BROADCAST else plan, "bytes").where("rank >= first AND rank < first + taken")
+    placed = scratch.write(ranked.select(*group, "shard"), "placed")
+
+    # slots: rows of a shard, in parts of about RUN rows by the id
+    keyed = scratch.write(rows.join(placed, group).select("id", "size", "crc", "shard"), "keyed")
+    held = keyed.groupBy("shard").agg(F.count("*").alias("n"))
+    keyed = keyed.join(F.broadcast(held) if len(runs) <= BROADCAST else held, "shard").withColumn("part", F.pmod(F.xxhash64("id", "crc"), F.ceil(F.col("n") / F.lit(RUN)).cast("long")))
+    return _numbered(keyed, ["shard", "part"], "shard", "part", ["id", "size", "crc"], "slot").select(F.col("id").alias(id_col), "size", F.col("crc").alias("text_crc32"), "shard", "slot")
+
+
+def _numbered(df: DataFrame, keys: list[str], whole: str, part: str, order: list[str], name: str) -> DataFrame:
+    """``df`` with gapless numbers from 0 within ``whole``: a window inside each part, after the counts of the parts before it."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("held"))
+    before = F.coalesce(F.sum("held").over(Window.partitionBy(whole).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, before.alias("before"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return df.withColumn("place", place).join(counts, keys).withColumn(name, F.col("before") + F.col("place") - 1).drop("before", "place")
