@@ -6,9 +6,13 @@ again among the others by weight, until none is above. A source's whole repetiti
 every document; the fractional one takes documents in a seeded order up to the target, the last
 of them in part.
 
+The order is cut into buckets of about RUN documents of the whole table, so that no more than that is sorted anywhere: a bucket before the
+target is taken whole, one after it not at all, and only the one in which the target falls is sorted.
+
 Nulls: a null text has size 0; null sources are one source, which comes last. Documents of size 0 take
 0. A source of size 0 has target 0. An empty table gives no rows. Repeated rows are taken like any
-other; equal rows may swap places in the order without effect.
+other; equal rows may swap places in the order without effect, and ties in the order go by id and size. Very long texts are counted whole.
+Only the id, the text and the source are looked at.
 """
 
 from __future__ import annotations
@@ -18,8 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-#: Buckets of the seeded order per source; only the bucket in which the target falls is sorted.
-BUCKETS = 1024
+#: Documents in one bucket of the seeded order, about, and buckets at least.
+RUN, BUCKETS = 50_000, 1024
+#: Sources whose plan is broadcast, at most.
+PLAN = 100_000
 
 
 def water_fill(sizes: list[float], weights: list[float], total: float, epochs: float) -> list[float]:
@@ -48,12 +54,14 @@ def mix_sources(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
                 weights: tuple = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
     """(id, source, size, source_size, target, taken) of every row; ``weights`` repeat over the sources in order.
 
-    The distinct sources and their sizes are the only thing gathered; there must be few of them.
+    The driver gathers one row per source, and broadcasts that plan only up to PLAN sources.
     """
     scratch = Scratch(spark, "mixture")
     rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"))
     order = F.xxhash64("id", F.lit(seed))
-    rows = scratch.write(rows.withColumn("order", order).withColumn("bucket", F.shiftrightunsigned("order", 64 - BUCKETS.bit_length() + 1).cast("int")), "rows")
+    rows = scratch.write(rows.withColumn("order", order), "rows")
+    bits = max(BUCKETS, rows.count() // RUN).bit_length() - 1
+    rows = rows.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
     sums = scratch.write(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "sums")
     sources = sorted(sums.groupBy("source").agg(F.sum("size").alias("size")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in sources]
@@ -62,14 +70,16 @@ def mix_sources(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     for r, target in zip(sources, targets):
         whole = int(min(epochs, target // r["size"])) if r["size"] else 0
         plan.append((r["source"], r["size"], float(target), whole, round(target) - whole * r["size"]))
-    plan = F.broadcast(spark.createDataFrame(plan, "source string, source_size long, target double, whole int, part long"))
+    held = len(plan)
+    plan = spark.createDataFrame(plan, "source string, source_size long, target double, whole int, part long")
+    plan = F.broadcast(plan) if held <= PLAN else plan
 
     by_bucket = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source", "bucket", F.col("size").alias("held"), F.coalesce(F.sum("size").over(by_bucket), F.lit(0)).alias("before"))
     sums = sums.join(plan, sums["source"].eqNullSafe(plan["source"])).select(
         sums["source"], "bucket", "source_size", "target", "whole",
         F.greatest(F.lit(0), F.least("held", F.col("part") - F.col("before"))).alias("room"), "held")
-    if len(sources) * BUCKETS <= 250_000:
+    if len(sources) << bits <= 250_000:
         sums = F.broadcast(sums)
     both = rows.alias("r").join(sums.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & (F.col("r.bucket") == F.col("s.bucket")))
     both = both.select("r.id", "r.source", "r.size", "order", "r.bucket", "source_size", "target", "whole", "room", "held")
