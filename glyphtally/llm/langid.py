@@ -6,9 +6,11 @@ on. Decoding sums, per codeword, the logistic losses of the bits, weighted by ho
 training holds that bit's sides; the codeword with the least loss wins. The n-gram counts per language are
 counted by Spark over all training rows.
 
-Nulls, empty texts and texts without letters: `und`, score 0, not ambiguous. Rows whose label is
-null teach nothing. With no training rows at all every text is `und`. Ties in decoding go to the first
-language by code point. Repeated rows count as often as they stand.
+A text is rejected if it is `und`, or if its bits speak as much against the nearest codeword as for it (a loss of ln 2 or more, that of no evidence).
+
+Nulls, empty texts and texts without letters: `und`, score 0, not ambiguous, rejected. Rows whose label is
+null teach nothing. With no training rows at all, as in an empty table, every text is `und`. Ties in decoding go to the first
+language by code point. Repeated rows count as often as they stand. Very long texts are counted whole. Only the text and, in training, the label are looked at.
 """
 
 from __future__ import annotations
@@ -22,11 +24,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks, give_back, tidy
 
 CELLS = 1 << 13
-#: Languages a model may hold; codes and counts of so many fit a task and the driver.
-MOST_LANGUAGES = 512
 #: Share of the loss by which the second codeword must be worse, else the text is ambiguous.
 CLEAR = 0.1
 _LETTER = re.compile(r"[^\W\d_]")
@@ -91,17 +91,17 @@ class LanguageCodes:
         self.loss_weight = self.scale / self.scale.sum() if bits else self.scale
         self.weights = self.weights.astype(np.float32)
 
-    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Indices of languages, scores and ambiguity of texts with these counts."""
+    def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Indices of languages, scores, ambiguity and rejection of texts with these counts."""
         if len(self.languages) == 1:
-            return np.zeros(len(counts), int), np.ones(len(counts)), np.zeros(len(counts), bool)
+            return np.zeros(len(counts), int), np.ones(len(counts)), np.zeros(len(counts), bool), np.zeros(len(counts), bool)
         mean = (counts.astype(np.float32) @ self.weights) / np.maximum(counts.sum(1, keepdims=True), 1)
         margin = np.clip((mean - self.middle) / self.scale, -4, 4)
         loss = np.einsum("tlb,b->tl", np.logaddexp(0, -2 * margin[:, None, :] * self.code[None]), self.loss_weight)
         best = loss.argmin(1)
         ordered = np.sort(loss, 1)
         weight = np.exp(-8 * (loss - ordered[:, :1]))
-        return best, 1 / weight.sum(1), ordered[:, 1] - ordered[:, 0] < CLEAR * ordered[:, 1]
+        return best, 1 / weight.sum(1), ordered[:, 1] - ordered[:, 0] < CLEAR * ordered[:, 1], ordered[:, 0] >= np.log(2)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,12 +118,14 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def fit_languages(df: DataFrame, label_col: str = "lang", text_col: str = "text") -> LanguageCodes:
-    """Count n-grams per label over all rows and build the codes from the counts."""
+    """Count n-grams per label over all rows and build the codes from the counts.
+
+    The driver gets CELLS counts per label, whatever the number of rows; labels are languages, of which there are thousands at most.
+    """
+    bounded_batches(df.sparkSession)
     rows = df.select(F.col(label_col).alias("label"), F.col(text_col).alias("text")).where("label IS NOT NULL AND text IS NOT NULL")
-    sums = rows.mapInPandas(_counted, "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
-    languages = sorted(r[0] for r in rows.select("label").distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(languages) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} labels")
+    sums = rows.mapInPandas(tidy(_counted), "label string, cell int, n long").groupBy("label", "cell").agg(F.sum("n").alias("n"))
+    languages = sorted(r[0] for r in rows.select("label").distinct().collect())
     got = sums.toPandas()
     counts = np.zeros((len(languages), CELLS))
     counts[got["label"].map({x: i for i, x in enumerate(languages)}).to_numpy(dtype=int), got["cell"].to_numpy(dtype=int)] = got["n"].to_numpy()
@@ -131,20 +133,21 @@ def fit_languages(df: DataFrame, label_col: str = "lang", text_col: str = "text"
 
 
 def language_of(model: LanguageCodes, text: Column | str) -> Column:
-    """struct(lang string, score double, ambiguous boolean) of a text column."""
+    """struct(lang string, score double, ambiguous boolean, rejected boolean) of a text column."""
 
-    @F.pandas_udf("lang string, score double, ambiguous boolean")
+    @F.pandas_udf("lang string, score double, ambiguous boolean, rejected boolean")
     def predicted(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
             texts = s.tolist()
-            lang, score, vague = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool)
+            lang, score, vague, far = np.full(len(texts), "und", object), np.zeros(len(texts)), np.zeros(len(texts), bool), np.ones(len(texts), bool)
             lettered = np.array([bool(t) and _LETTER.search(t) is not None for t in texts], bool)
             for lo, counts in gram_counts(texts) if model.languages else ():
                 own = lettered[lo:lo + len(counts)]
-                best, sure, open_ = model.decode(counts)
+                best, sure, open_, off = model.decode(counts)
                 at = lo + np.flatnonzero(own)
                 lang[at] = np.array(model.languages, object)[best[own]]
-                score[at], vague[at] = sure[own], open_[own]
-            yield pd.DataFrame({"lang": lang, "score": score, "ambiguous": vague})
+                score[at], vague[at], far[at] = sure[own], open_[own], off[own]
+            yield pd.DataFrame({"lang": lang, "score": score, "ambiguous": vague, "rejected": far})
+        give_back()
 
     return predicted(text)
