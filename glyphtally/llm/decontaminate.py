@@ -20,7 +20,9 @@ joined at all, so the corpus is not shuffled; the join itself is Spark's and hol
 
 Nulls, empty texts and texts below ``least`` words hold and leak nothing. Items of ``least`` to WINDOW-1
 words are one window of their own length. Equal items each get their rows. Repeated documents give repeated
-matches counted once per id.
+matches counted once per id; documents without id go by the hash of their text, so equal ones share a row. Items without id leak nothing. An empty
+table, of documents or items, gives no rows. Very long texts are read whole. Ties between the readings go to the one without changes, then
+to the one with names. Only ids and texts are looked at, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _SPACE, Scratch, chunks, mix64, without_ids
+from .common import _BYTE, _SPACE, Scratch, bounded_batches, chunks, mix64, tidy, without_ids
 
 WINDOW = 8
 #: Words of an item, at least: shorter ones are phrases of any text. With 1, all items are looked for.
@@ -169,7 +171,7 @@ def _windows(marked: np.ndarray | None, widths: list[int] | None, least: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            ids, out = pdf["id"].to_numpy(), []
+            ids, nones, out = pdf["id"].to_numpy(), pdf["none"].to_numpy(), []
             for i, *both in readings(pdf["text"].tolist()):
                 for folded, (token, value, literal, *exact) in enumerate(both):
                     if len(token) < (max(1, least) if folded else max(LEAST, least)):
@@ -183,64 +185,69 @@ def _windows(marked: np.ndarray | None, widths: list[int] | None, least: int):
                             hit = (marked[cell >> 3] >> (cell & 7).astype(np.uint8)) & 1 > 0
                             at, h = at[hit], h[hit]
                         if len(at):
-                            out.append((ids[i], bool(folded), width, at, h, [value[k:k + width].view(np.int64) for k in at]))
+                            out.append((ids[i], bool(folded), width, at, h, [value[k:k + width].view(np.int64) for k in at], nones[i]))
             if out:
                 n = [len(o[3]) for o in out]
                 yield pd.DataFrame({
-                    "id": np.repeat([o[0] for o in out], n), "folded": np.repeat([o[1] for o in out], n), "width": np.repeat([o[2] for o in out], n),
+                    "id": np.repeat([o[0] for o in out], n), "none": np.repeat([o[6] for o in out], n), "folded": np.repeat([o[1] for o in out], n), "width": np.repeat([o[2] for o in out], n),
                     "pos": np.concatenate([o[3] for o in out]), "window": np.concatenate([o[4] for o in out]).view(np.int64), "slots": [x for o in out for x in o[5]]})
 
     return run
 
 
-_SCHEMA = "id long, folded boolean, width int, pos long, window long, slots array<long>"
+_SCHEMA = "id long, none boolean, folded boolean, width int, pos long, window long, slots array<long>"
 
 
 def contaminated(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", cover: float = COVER,
                  run: int = RUN, least: int = LEAST) -> DataFrame:
-    """One row per contaminated document and item: id, item, n_windows, coverage, kind.
+    """One row per contaminated document and item: id, item, n_windows, coverage, kind, text_hash (of documents without id, else null).
 
     A document is contaminated by ``cover`` of an item's windows or by ``run`` of its running words (WINDOW at least).
     """
     scratch = Scratch(spark, "decontaminate")
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
-    items = scratch.write(items.mapInPandas(_windows(None, None, least), _SCHEMA), "items")
+    bounded_batches(spark)
+    key = F.col(id_col).cast("long")
+    docs = df.select(F.coalesce(key, F.xxhash64(text_col)).alias("id"), key.isNull().alias("none"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.lit(False).alias("none"), F.col(item_text_col).alias("text")).where("id IS NOT NULL AND text IS NOT NULL")
+    items = scratch.write(items.mapInPandas(tidy(_windows(None, None, least)), _SCHEMA), "items")
     # the bitmap: at most 2**BITS / 64 words reach the driver, whatever the benchmark
     cell = F.shiftrightunsigned("window", 64 - BITS)
     words = items.select(cell.alias("cell")).groupBy(F.shiftright("cell", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(cell & 63 AS int)))").alias("bits")).toPandas()
     marked = np.zeros(1 << BITS - 6, np.int64)
     marked[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     widths = sorted(r[0] for r in items.select("width").distinct().collect())
-    found = scratch.write(docs.mapInPandas(_windows(marked.view(np.uint8), widths, least), _SCHEMA), "found")
+    found = scratch.write(docs.mapInPandas(tidy(_windows(marked.view(np.uint8), widths, least)), _SCHEMA), "found")
 
-    i, d = items.toDF("item", "f", "w", "ipos", "window", "islots"), found.toDF("id", "folded", "width", "pos", "window", "dslots")
-    met = d.join(i, "window").where("f = folded").select("id", "item", "folded", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "islots", "dslots")
+    i, d = items.toDF("item", "o", "f", "w", "ipos", "window", "islots"), found.toDF("id", "none", "folded", "width", "pos", "window", "dslots")
+    met = d.join(i, "window").where("f = folded").select("id", "none", "item", "folded", (F.col("pos") - F.col("ipos")).alias("offset"), "ipos", "islots", "dslots")
     met = scratch.write(met, "met")
-    diagonal = ["id", "item", "folded", "offset"]
+    diagonal = ["id", "none", "item", "folded", "offset"]
     slots = met.select(*diagonal, F.explode(F.arrays_zip("islots", "dslots")).alias("s")).where("s.islots <> 0 OR s.dslots <> 0").select(*diagonal, "s.islots", "s.dslots").distinct()
     slots = slots.groupBy(*diagonal, "islots").agg(F.count("*").alias("values"), F.max(F.col("islots") != F.col("dslots")).alias("changed"))
     slots = slots.groupBy(*diagonal).agg(F.max("values").alias("values"), F.max("changed").alias("changed"))
     # windows without a change count on any diagonal
     steady = met.join(slots, diagonal, "left").where("coalesce(values, 1) = 1 OR islots = dslots").withColumn("changed", F.expr("changed AND values = 1"))
     total = items.groupBy(F.col("id").alias("item"), "folded").agg(F.count("*").alias("windows"))
-    out = steady.groupBy("id", "item", "folded").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(total, ["item", "folded"])
+    out = steady.groupBy("id", "none", "item", "folded").agg(F.countDistinct("ipos").alias("n_windows"), F.max(F.coalesce("changed", F.lit(False))).alias("changed")).join(total, ["item", "folded"])
     out = out.withColumn("coverage", F.col("n_windows") / F.col("windows"))
     # the reading that covers more; at a tie the one without changes, then the one with names
     rank = F.struct("coverage", (~F.col("changed")).alias("same"), (~F.col("folded")).alias("named"))
-    out = out.groupBy("id", "item").agg(F.max_by(F.struct("n_windows", "coverage", "changed"), rank).alias("best")).select("id", "item", "best.*")
-    same = met.where(F.col("folded") & (F.col("islots") == F.col("dslots")) & (F.size("islots") == WINDOW)).select("id", "item", "offset", "ipos").distinct()
-    same = same.withColumn("start", F.col("ipos") - F.row_number().over(Window.partitionBy("id", "item", "offset").orderBy("ipos")))
-    runs = same.groupBy("id", "item", "offset", "start").count().where(F.col("count") + WINDOW - 1 >= run).select("id", "item", F.lit(True).alias("ran")).distinct()
-    out = out.join(runs, ["id", "item"], "left").where((F.col("coverage") >= cover) | F.col("ran"))
+    out = out.groupBy("id", "none", "item").agg(F.max_by(F.struct("n_windows", "coverage", "changed"), rank).alias("best")).select("id", "none", "item", "best.*")
+    same = met.where(F.col("folded") & (F.col("islots") == F.col("dslots")) & (F.size("islots") == WINDOW)).select("id", "none", "item", "offset", "ipos").distinct()
+    same = same.withColumn("start", F.col("ipos") - F.row_number().over(Window.partitionBy("id", "none", "item", "offset").orderBy("ipos")))
+    runs = same.groupBy("id", "none", "item", "offset", "start").count().where(F.col("count") + WINDOW - 1 >= run).select("id", "none", "item", F.lit(True).alias("ran")).distinct()
+    out = out.join(runs, ["id", "none", "item"], "left").where((F.col("coverage") >= cover) | F.col("ran"))
     out = out.withColumn("changed", F.col("changed") & (F.col("coverage") >= cover))
     return out.select(
-        F.col("id").alias(id_col), F.col("item").alias(item_col), "n_windows", "coverage",
-        F.when(F.col("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim")).alias("kind"))
+        F.when(~F.col("none"), F.col("id")).alias(id_col), F.col("item").alias(item_col), "n_windows", "coverage",
+        F.when(F.col("changed"), F.lit("reparameterised")).otherwise(F.lit("verbatim")).alias("kind"), F.when(F.col("none"), F.col("id")).alias("text_hash"))
 
 
-def decontaminate(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **names) -> DataFrame:
+def decontaminate(spark: SparkSession, df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **names) -> DataFrame:
     """``df`` without its contaminated documents."""
-    bad = Scratch(spark, "decontaminated").write(contaminated(spark, df, benchmark, id_col, **names).select(F.col(id_col).alias("bad")).distinct(), "bad")
-    return without_ids(df, id_col, bad, "bad")
+    found = contaminated(spark, df, benchmark, id_col, text_col, **names).select(F.col(id_col).cast("long").alias("bad"), "text_hash").distinct()
+    bad = Scratch(spark, "decontaminated").write(found, "bad")
+    kept = without_ids(df.where(F.col(id_col).isNotNull()), id_col, bad.select("bad"), "bad")
+    nameless = df.where(F.col(id_col).isNull()).withColumn("__hash", F.xxhash64(text_col))
+    return kept.unionByName(without_ids(nameless, "__hash", bad.select("text_hash"), "text_hash").drop("__hash"))
