@@ -2,7 +2,10 @@
 
 import random
 import re
+import tempfile
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -170,6 +173,13 @@ def test_decontamination(spark):
     assert dec.contaminated(spark, docs, bench.where("false")).count() == 0
 
 
+def test_decontamination_of_documents_without_id(spark):
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = spark.createDataFrame([(BIG + 1, ITEM), (None, ITEM), (None, words(4, 60)), (BIG + 3, words(5, 60))], "doc_id long, text string").coalesce(1)
+    assert [(r.doc_id, r.item_id) for r in dec.contaminated(spark, docs, bench).orderBy("doc_id").collect()] == [(None, 1), (BIG + 1, 1)]
+    assert {r.text for r in dec.decontaminate(spark, docs, bench).collect()} == {words(4, 60), words(5, 60)}
+
+
 @pytest.mark.parametrize("names", ["Maria Lopez", "Łucja Straße"])
 def test_decontamination_in_any_case(spark, names):
     item = ITEM.replace("from", "with Ana Ruiz from").replace("Maria Lopez", "Then " + names)
@@ -210,6 +220,8 @@ def test_language(spark, docs):
     model = langid.fit_languages(docs)
     got = {r.doc_id: r.p for r in docs.select("doc_id", langid.language_of(model, "text").alias("p")).collect()}
     assert [got[k].lang for k in (0, 1, 2)] == ["und"] * 3 and got[0].score == 0 and got[3].lang in ("en", "de")
+    assert [got[k].rejected for k in (0, 1, 2, 3)] == [True] * 3 + [False]
+    assert Q.op3_language_id(spark, DATA).where("held_out IS NULL OR (rejected AND lang_pred <> 'und')").count() == 0
     none = langid.fit_languages(docs.where("false"))
     assert {r[0] for r in docs.select(langid.language_of(none, "text")["lang"]).collect()} == {"und"}
 
@@ -230,9 +242,9 @@ def test_toxicity(spark, docs):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
     text = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
-    got = Q.op4_toxicity(spark, sf).join(labels, "doc_id").join(text, "doc_id").where("lang = 'en'").toPandas()
+    got = Q.op4_toxicity(spark, sf).join(labels, "doc_id").join(text, "doc_id").where("held_out").toPandas()
     clean, bad = got[got.toxic == 0], got[got.toxic == 1]
-    assert (clean.score < 0.5).mean() >= 0.95 and got.score.between(0, 1).all() and (bad.score >= 0.5).mean() >= 0.6
+    assert (clean.score < 0.5).mean() >= 0.9 and got.score.between(0, 1).all() and (bad.score >= 0.5).mean() >= 0.6
     blank = toxicity.fit_toxicity(docs, docs.select("doc_id", F.lit(0).alias("toxic")))
     assert {r[0] for r in docs.select(toxicity.toxicity_of(blank, "text")).collect()} == {0.0}
     tiny = toxicity.fit_toxicity(docs, docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic")))
@@ -270,20 +282,43 @@ def brute_best_fit(sizes, capacity):
     return out
 
 
-def test_best_fit():
-    r = random.Random(3)
-    for _ in range(20):
-        sizes = sorted((r.randint(1, 60) for _ in range(200)), reverse=True)
-        assert sp.best_fit_decreasing(sizes, 100) == brute_best_fit(sizes, 100)
-    bins = sp.pack_evenly(sizes, 7)
-    held = [sum(s for s, b in zip(sizes, bins) if b == k) for k in range(7)]
-    assert max(held) - min(held) <= 60 and sum(held) == sum(sizes)
+def one_by_one(runs):
+    """Bins of groups of each size in the order in which they are taken."""
+    return [(size, bin_) for size, bin_, taken in runs for _ in range(taken)]
 
 
-@pytest.mark.parametrize("fine", [sp.FINE, 2])
-def test_shards(spark, docs, rows, fine, monkeypatch):
-    monkeypatch.setattr(sp, "FINE", fine)
+def test_best_fit():
+    r = random.Random(3)
+    for most in (60, 9, 100):
+        for _ in range(10):
+            sizes = sorted((r.randint(1, most) for _ in range(200)), reverse=True)
+            runs = sp.best_fit_decreasing(sorted(Counter(sizes).items(), reverse=True), 100)
+            assert one_by_one(runs) == list(zip(sizes, brute_best_fit(sizes, 100)))
+    runs = sp.pack_evenly(sorted(Counter(sizes).items(), reverse=True), 7)
+    held = Counter()
+    for size, bin_, taken in runs:
+        held[bin_] += size * taken
+    assert max(held.values()) - min(held.values()) <= 100 and sum(held.values()) == sum(sizes) and set(held) <= set(range(7))
+
+
+def test_every_group_is_packed_by_best_fit(spark, monkeypatch):
     monkeypatch.setattr(sp, "RUN", 3)
+    texts = ["x" * (k % 13) + str(k) for k in range(90)] + ["same text"] * 20 + [None, None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sp.pack_shards(spark, docs, shards=None, capacity=200).toPandas()
+    groups = {}
+    for t in texts:
+        groups[t] = groups.get(t, 0) + len((t or "").encode()) + 8
+    sizes = sorted(groups.values(), reverse=True)
+    bins = brute_best_fit(sizes, max(sizes[0], 200))
+    want = Counter(zip(bins, sizes))
+    shard = dict(zip(got.doc_id, got["shard"]))
+    assert Counter((shard[texts.index(t)], n) for t, n in groups.items()) == want
+
+
+@pytest.mark.parametrize("run", [sp.RUN, 3])
+def test_shards(spark, docs, rows, run, monkeypatch):
+    monkeypatch.setattr(sp, "RUN", run)
     got = sp.pack_shards(spark, docs, shards=4).toPandas()
     assert sorted(got.doc_id) == sorted(r[0] for r in rows)
     text = {r[0]: r[1] for r in rows}
@@ -338,6 +373,32 @@ def test_html(spark):
     assert [r.t for r in df.collect()] == [want, ""]
 
 
+@pytest.mark.parametrize("piece", ['<a "', "<a b='", "<", "</script", "<a x='>", "<b><p>"])
+def test_html_reads_broken_pages_in_one_pass(piece):
+    began = time.process_time()
+    html_main.main_text(piece * (200_000 // len(piece)))
+    assert time.process_time() - began < 4
+
+
+def test_html_keeps_what_only_sounds_alike():
+    page = '<body><main><div class="info"><p>Facts, here.</p></div><div class="share-price"><p>Up, by two.</p></div><div class="search-results-study"><p>A, b.</p></div><div class="share-buttons"><p>tweet</p></div></main></body>'
+    assert html_main.main_text(page) == "Facts, here.\n\nUp, by two.\n\nA, b."
+    assert html_main.main_text("<p title=it's>one</p><p>two it's</p>") == "one\n\ntwo it's"
+
+
+def test_html_of_made_pages():
+    """Pages put together from blocks of known kinds: the article's blocks come back, in order, and nothing else."""
+    r = random.Random(11)
+    junk = ["<nav><a href=/>{}</a></nav>", "<div class=ad>{}</div>", "<aside><p>{}</p></aside>", '<div class="cookie-notice"><p>{}</p></div>', "<form><p>{}</p></form>", "<script>{}</script>", "<!-- {} -->", '<section id="comments"><p>{}</p></section>']
+    for k in range(60):
+        own = [f"{words(1000 * k + j, r.randint(12, 40))}, and more, {j}." for j in range(r.randint(2, 6))]
+        body = "".join(f"<p>{x}</p>" + (r.choice(junk).format(words(j, 6)) if r.random() < 0.5 else "") for j, x in enumerate(own))
+        around = [r.choice(junk).format(words(500 + j, 6)) for j in range(4)]
+        wrap = r.choice(["<article>{}</article>", "<main>{}</main>", '<div class="content">{}</div>', '<div class="layout has-sidebar"><article>{}</article></div>'])
+        page = f"<html><head><title>t</title></head><body><header>site</header>{around[0]}{around[1]}{wrap.format(body)}{around[2]}{around[3]}<footer>foot</footer></body></html>"
+        assert html_main.main_text(page) == "\n\n".join(own), page
+
+
 def test_html_keeps_wrappers():
     text = "<p>First para, with commas, and more.</p><p>Second, longer para, as it goes.</p>"
     want = "First para, with commas, and more.\n\nSecond, longer para, as it goes."
@@ -384,7 +445,10 @@ def test_tokens_equal_plain_encoding():
         assert list(t(text)) == t.encode(text)
 
 
-def test_mixture(spark, docs, rows):
+@pytest.mark.parametrize("run", [mixture.RUN, 1])
+def test_mixture(spark, docs, rows, run, monkeypatch):
+    monkeypatch.setattr(mixture, "RUN", run)
+    monkeypatch.setattr(mixture, "BUCKETS", 4)
     got = mixture.mix_sources(spark, docs).toPandas()
     assert len(got) == len(rows) and (got.taken <= 3 * got["size"]).all()
     by = got.groupby("source", dropna=False).agg(taken=("taken", "sum"), target=("target", "first"), size=("size", "sum"), held=("source_size", "first"))
@@ -401,14 +465,46 @@ def test_water_filling():
 
 
 def test_pipeline(spark, docs, rows):
+    """Each stage against what brute force makes of its input."""
     import corpus_pipeline as P
-    sf, data, counts = DATA, docs, []
+    items = [(1, " ".join(words(6, 60).split()[:40]))]
+    sf = tempfile.mkdtemp(prefix="spark-bench-")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    data, kept = docs, {}
     for name, stage in P.STAGES:
+        before = data.collect()
         out = stage(spark, data, sf)
         if name != P.STAGES[-1][0]:
             assert out.columns == docs.columns
-        counts.append(out.count())
         data = common.Scratch(spark, "p").write(out, "out")
-    kept = [r for r in rows if re.search("[a-z]", r[1] or "", re.I)]
-    assert counts[0] == len(kept) and counts[1] <= counts[0] and counts[4] == counts[3]
-    assert all(P.run(spark, DATA).columns == c for c in [["doc_id", "size", "text_crc32", "shard", "slot"]])
+        kept[name] = (before, data.collect())
+    ids = lambda got: Counter(r.doc_id for r in got)
+    before, after = kept["language_id"]
+    assert ids(after) == Counter(r[0] for r in rows if re.search(r"[^\W\d_]", r[1] or "")) and all(r.lang for r in after)
+    before, after = kept["ngram_jaccard_join"]
+    root = linked({r.doc_id: shingles(r.text) for r in before})
+    assert ids(after) == Counter(r.doc_id for r in before if root[r.doc_id] == r.doc_id) and len(after) < len(before)
+    before, after = kept["benchmark_decontamination"]
+    leaks = lambda t: any(" ".join(item.split()[k:k + 13]) in t for _, item in items for k in range(len(item.split()) - 12))
+    assert ids(after) == Counter(r.doc_id for r in before if not leaks(r.text)) and len(after) < len(before)
+    before, after = kept["source_mixture"]
+    size, held, taken = Counter(), Counter(r.source for r in before), Counter()
+    for r in before:
+        size[r.source] += len(r.text.split())
+    for r in after:
+        taken[r.source] += len(r.text.split())
+    order = sorted(held, key=lambda x: (x is None, x or ""))
+    target = mixture.water_fill([size[x] for x in order], [(5, 2, 1)[k % 3] for k in range(len(order))], sum(size.values()), 3)
+    largest = max(len(r.text.split()) for r in before)
+    assert all(abs(taken[x] - t) <= largest for x, t in zip(order, target)) and max(ids(after).values()) <= 3 * max(ids(before).values())
+    before, after = kept["shard_packing"]
+    assert ids(after) == ids(before) and Counter((r.shard, r.slot) for r in after).most_common(1)[0][1] == 1
+
+
+def test_pipeline_of_nothing(spark, docs):
+    import corpus_pipeline as P
+    data = docs.where("false")
+    for _, stage in P.STAGES:
+        data = stage(spark, data, DATA)
+    assert data.columns == ["doc_id", "size", "text_crc32", "shard", "slot"] and data.count() == 0
+    assert P.run(spark, DATA).columns == data.columns
