@@ -2,6 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``.
+
+Any column may hold nulls, and an empty table passes all stages as one. Texts of any length are read whole. Rows without doc_id pass the stages
+that tell documents by id (near copies, mixing) once each, and the others like any row. Columns of other names are carried along.
 """
 
 from __future__ import annotations
@@ -18,28 +21,32 @@ from glyphtally.llm.shard_pack import pack_shards
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without an identifiable language (`und`: no text or no letters in it)."""
+    """Drops documents that the language codes reject, and gives those without ``lang`` the language found.
+
+    Rejected are texts without letters, null and empty ones among them, and texts whose nearest codeword has as much against it as for it.
+    """
     model = fit_languages(docs)
-    said = docs.withColumn("__language", language_of(model, "text"))
-    return said.where(F.col("__language")["lang"] != "und").drop("__language")
+    said = docs.withColumn("__language", language_of(model, "text")).where(~F.col("__language")["rejected"])
+    return said.withColumn("lang", F.coalesce("lang", F.col("__language")["lang"])).drop("__language")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
+    """Keeps the document with the smallest doc_id of each group of near copies; of repeated rows with that id, all."""
     scratch = Scratch(spark, "near-copies")
     groups = scratch.write(ngram_jaccard_join(spark, docs), "groups")
     return without_ids(docs, "doc_id", groups.where("doc_id <> component_id"), "doc_id")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark, those without doc_id as well."""
     return decontaminate(spark, docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it, as rows of their own.
 
-    The one document per source that the mix takes in part counts as taken where that part is at least half.
+    The one document per source that the mix takes in part counts as taken where that part is at least half. Documents
+    without words are not taken.
     """
     plan = Scratch(spark, "mix").write(mix_sources(spark, docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("__times")), "plan")
     none = plan.where("__times = 0").select("__id")
@@ -50,7 +57,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The shard and slot of every row."""
+    """The shard and slot of every row; repeated rows share the shard and have slots of their own."""
     return pack_shards(spark, docs, shards=24)
 
 
