@@ -7,7 +7,7 @@ each number to its global slot: a seeded shuffle that needs no sort and can be c
 inverted, for any sequence alone. Slot s stands in shard s // per_shard at byte
 (s % per_shard) * 2 * length, so a reader can start, stop and resume anywhere.
 
-Sequences go to the writers in range partitions of consecutive shards. What travels is the tokens, and once per piece
+Sequences go to the writers in range partitions of consecutive shards, one piece per group of documents and range. What travels is the tokens, and once per piece
 the documents they are of; a writer finds the numbers and slots of its sequences by the inverse permutation.
 
 Nulls and empty texts: one sequence of end tokens, 0 tokens of text. Repeated rows, and rows with equal ids, have sequences of
@@ -34,10 +34,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the vocabulary's byte-level BPE splits text before merging: a fixed value of that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
-#: Documents tokenised, compressed and dealt out together.
-GROUP = 1000
-#: Consecutive shards that one task writes, at most.
-RANGE = 64
+#: Documents, or tokens, that are compressed and dealt out together, about.
+GROUP, GROUP_TOKENS = 4000, 1 << 22
+#: Consecutive shards that a task holds and writes at once, at most.
+RANGE = 8
 #: Tasks of the first pass whose beginnings are broadcast, at most.
 BROADCAST = 1_000_000
 
@@ -65,13 +65,23 @@ def _tokenised(vocabulary: str, length: int):
         from pyspark import TaskContext
 
         tokens, squeeze, ahead, task = Tokens(vocabulary), zstandard.ZstdCompressor(level=9), 0, TaskContext.get().partitionId()
+        ids, nones, own, size = [], [], [], 0
+
+        def group() -> pd.DataFrame:
+            return pd.DataFrame({
+                "task": [task], "ahead": [ahead], "held": [sum(len(x) // length + 1 for x in own)], "ids": [ids], "none": [nones],
+                "ns": [[len(x) for x in own]], "data": [squeeze.compress(np.concatenate(own).tobytes())]})
+
         for pdf in batches:
-            for lo in range(0, len(pdf), GROUP):
-                own = [tokens(t) for t in pdf["text"].iloc[lo:lo + GROUP]]
-                held = sum(len(x) // length + 1 for x in own)
-                ids, none = (pdf[c].iloc[lo:lo + GROUP].tolist() for c in ("id", "none"))
-                yield pd.DataFrame({"task": [task], "ahead": [ahead], "held": [held], "ids": [ids], "none": [none], "ns": [[len(x) for x in own]], "data": [squeeze.compress(np.concatenate(own).tobytes())]})
-                ahead += held
+            for i, none, text in zip(pdf["id"].tolist(), pdf["none"], pdf["text"]):
+                ids.append(i), nones.append(none), own.append(tokens(text))
+                size += len(own[-1])
+                if len(own) >= GROUP or size >= GROUP_TOKENS:
+                    yield (out := group())
+                    ahead += int(out["held"].iloc[0])
+                    ids, nones, own, size = [], [], [], 0
+        if own:
+            yield group()
 
     return run
 
@@ -99,8 +109,8 @@ def slot_of(number: Column | str, n: int, key: int) -> Column:
     return slot(number)
 
 
-def _sequences(length: int, per_shard: int, n: int, key: int):
-    """The sequences of a group, one row per shard that gets any: their records by number, and their documents."""
+def _sequences(length: int, per_range: int, n: int, key: int):
+    """The sequences of a group, one row per range of slots that gets any: their records by number, and their documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         loosen, squeeze = zstandard.ZstdDecompressor(), zstandard.ZstdCompressor(level=9)
@@ -113,57 +123,59 @@ def _sequences(length: int, per_shard: int, n: int, key: int):
                     records.reshape(-1)[k * length:k * length + count] = flat[at:at + count]
                     at += count
                 doc = np.repeat(np.arange(len(ns)), parts)
-                shard = feistel(first + np.arange(len(doc)), n, key) // per_shard
-                order = np.argsort(shard, kind="stable")
-                cuts = np.concatenate(([0], np.flatnonzero(np.diff(shard[order])) + 1, [len(shard)]))
+                span = feistel(first + np.arange(len(doc)), n, key) // per_range
+                order = np.argsort(span, kind="stable")
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(span[order])) + 1, [len(span)]))
                 own = [order[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
                 docs = [np.unique(doc[k]) for k in own]
                 yield pd.DataFrame({
-                    "shard": shard[order[cuts[:-1]]], "first": first, "held": len(doc),
+                    "span": span[order[cuts[:-1]]], "first": first, "held": len(doc),
                     "docs": [squeeze.compress(np.stack([ids[d], none[d], first + start[d], ns[d]]).tobytes()) for d in docs],
                     "data": [squeeze.compress(records[k].tobytes()) for k in own]})
 
     return run
 
 
-def _written(root: str, length: int, per_shard: int, n: int, key: int):
-    """Write each shard of a partition sorted by shard; a file appears under its name only when whole."""
+def _written(root: str, length: int, per_shard: int, per_range: int, n: int, key: int):
+    """Write the shards of each range of a sorted partition; a file appears under its name only when whole."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
         from pyspark import TaskContext
 
         store, base = fs.FileSystem.from_uri(root)
-        task, loosen, held, shard = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor(), [], None
+        task, loosen, held, span = TaskContext.get().taskAttemptId(), zstandard.ZstdDecompressor(), [], None
 
-        def written() -> pd.DataFrame:
-            slots = np.arange(shard * per_shard, min(n, (shard + 1) * per_shard))
+        def written() -> Iterator[pd.DataFrame]:
+            start = span * per_range
+            slots = np.arange(start, min(n, start + per_range))
             numbers = feistel(slots, n, key, inverse=True)
             order = np.argsort(numbers)
-            records, out = np.empty((len(slots), length), "<u2"), []
+            records = np.empty((len(slots), length), "<u2")
             for first, count, docs, data in held:
                 own = order[slice(*np.searchsorted(numbers[order], (first, first + count)))]
                 records[own] = np.frombuffer(loosen.decompress(data), "<u2").reshape(-1, length)
-                ids, none, start, ns = np.frombuffer(loosen.decompress(docs), np.int64).reshape(4, -1)
-                doc = np.searchsorted(start, numbers[own], side="right") - 1
-                place = numbers[own] - start[doc]
-                out.append(pd.DataFrame({
-                    "id": pd.arrays.IntegerArray(ids[doc], none[doc] > 0), "place": place, "sequence": numbers[own], "slot": slots[own], "shard": shard,
-                    "byte_offset": slots[own] % per_shard * 2 * length, "n_tokens": np.clip(ns[doc] - place * length, 0, length), "crc32": [zlib.crc32(records[k].tobytes()) for k in own]}))
-            with store.open_output_stream(f"{base}/_{shard:08d}.{task}") as f:
-                f.write(records.tobytes())
-            store.move(f"{base}/_{shard:08d}.{task}", f"{base}/{shard:08d}.bin")
+                ids, none, begin, ns = np.frombuffer(loosen.decompress(docs), np.int64).reshape(4, -1)
+                doc = np.searchsorted(begin, numbers[own], side="right") - 1
+                place = numbers[own] - begin[doc]
+                yield pd.DataFrame({
+                    "id": pd.arrays.IntegerArray(ids[doc], none[doc] > 0), "place": place, "sequence": numbers[own], "slot": slots[own], "shard": slots[own] // per_shard,
+                    "byte_offset": slots[own] % per_shard * 2 * length, "n_tokens": np.clip(ns[doc] - place * length, 0, length), "crc32": [zlib.crc32(records[k].tobytes()) for k in own]})
+            for lo in range(0, len(slots), per_shard):
+                shard = (start + lo) // per_shard
+                with store.open_output_stream(f"{base}/_{shard:08d}.{task}") as f:
+                    f.write(records[lo:lo + per_shard].tobytes())
+                store.move(f"{base}/_{shard:08d}.{task}", f"{base}/{shard:08d}.bin")
             held.clear()
-            return pd.concat(out, ignore_index=True)
 
         for pdf in batches:
-            for row in zip(pdf["shard"], pdf["first"], pdf["held"], pdf["docs"], pdf["data"]):
-                if held and row[0] != shard:
-                    yield written()
-                shard = row[0]
+            for row in zip(pdf["span"], pdf["first"], pdf["held"], pdf["docs"], pdf["data"]):
+                if held and row[0] != span:
+                    yield from written()
+                span = row[0]
                 held.append(row[1:])
         if held:
-            yield written()
+            yield from written()
 
     return run
 
@@ -190,14 +202,14 @@ def materialise_training_order(
     tasks = tasks.select("task", F.coalesce(F.sum("own").over(ahead), F.lit(0)).alias("before"))
     groups = tokens.join(F.broadcast(tasks) if made <= BROADCAST else tasks, "task").select((F.col("before") + F.col("ahead")).alias("first"), "ids", "none", "ns", "data")
 
-    rows = groups.mapInPandas(tidy(_sequences(length, per_shard, total, key)), "shard long, first long, held long, docs binary, data binary")
+    shards = max(1, -(-total // per_shard))
+    per_range = per_shard * max(1, min(RANGE, shards // int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    rows = groups.mapInPandas(tidy(_sequences(length, per_range, total, key)), "span long, first long, held long, docs binary, data binary")
     root = root or scratch.path("shards")
     store, base = fs.FileSystem.from_uri(root)
     store.create_dir(base)
-    shards = max(1, -(-total // per_shard))
-    ranges = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // RANGE)))
-    dealt = rows.repartitionById(ranges, F.expr(f"cast(shard * {ranges}L div {shards}L AS int)")).sortWithinPartitions("shard")
-    out = dealt.mapInPandas(tidy(_written(root, length, per_shard, total, key)), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
+    dealt = rows.repartitionById(max(1, -(-total // per_range)), F.col("span").cast("int")).sortWithinPartitions("span")
+    out = dealt.mapInPandas(tidy(_written(root, length, per_shard, per_range, total, key)), "id long, place long, sequence long, slot long, shard long, byte_offset long, n_tokens long, crc32 long")
     return out.withColumnRenamed("id", id_col)
 
 

@@ -420,7 +420,9 @@ def test_feistel(n):
     assert sorted(there) == list(range(n)) and list(to.feistel(there, n, 5, inverse=True)) == list(range(n))
 
 
-def test_training_order(spark, docs, rows, tmp_path):
+@pytest.mark.parametrize("group", [to.GROUP, 5])
+def test_training_order(spark, docs, rows, tmp_path, group, monkeypatch):
+    monkeypatch.setattr(to, "GROUP", group)
     root = f"file://{tmp_path}/shards"
     got = to.materialise_training_order(spark, docs, root=root, length=16, per_shard=32).toPandas()
     encode = to.Tokens(to.VOCABULARY).encode
