@@ -23,13 +23,15 @@ def margin(best: Column, second: Column) -> Column:
 
 
 def group_band(number: Column, sharpness: Column, gap: Column, count: Column) -> Column:
-    return (F.when(number.isNull() | (sharpness < 0.35) | (gap < 0.08), "review")
-            .when((sharpness < 0.6) | (gap < 0.2) | (count < S.MIN_MEMBERS), "medium").otherwise("high"))
+    (blurred, soft), (close, near) = S.GROUP_BANDS
+    return (F.when(number.isNull() | (sharpness < blurred) | (gap < close), "review")
+            .when((sharpness < soft) | (gap < near) | (count < S.MIN_MEMBERS), "medium").otherwise("high"))
 
 
 def match_band(number: Column, distance: Column, gap: Column) -> Column:
-    return (F.when(number.isNull() | (distance > 1.4) | (gap < 0.05), "review")
-            .when((distance > 0.9) | (gap < 0.15), "medium").otherwise("high"))
+    (far, off), (close, near) = S.MATCH_BANDS
+    return (F.when(number.isNull() | (distance > far) | (gap < close), "review")
+            .when((distance > off) | (gap < near), "medium").otherwise("high"))
 
 
 def hole_penalty(holes: Column, expected: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glyphtally.operators.lineage import cut
@@ -11,25 +11,44 @@ from glyphtally.operators.lineage import cut
 def components(mask: DataFrame, diagonal: bool = True) -> DataFrame:
     """(image_id, y, x) of ink with ``label``: the least raster position of its component.
 
-    Rounds of a neighbourhood minimum and a jump to the label's own label, until nothing changes.
+    Ink is gathered into runs along the rows by windows; runs that touch in adjacent rows are connected, and only runs go through rounds.
     """
-    steps = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if diagonal or dy == 0 or dx == 0]
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in steps])
-    spot = F.col("y").cast("long") * F.lit(1 << 20) + F.col("x")
-    nodes = mask.select("image_id", "y", "x", spot.alias("spot")).repartition("image_id")
-    beside = nodes.select("image_id", "spot", F.explode(offsets).alias("o"), "y", "x").select("image_id", "spot", ((F.col("y") + F.col("o.dy")).cast("long") * F.lit(1 << 20) + F.col("x") + F.col("o.dx")).alias("other"))
-    edges = cut(beside.join(nodes.select("image_id", F.col("spot").alias("other")), ["image_id", "other"]))
-    labels = cut(nodes.withColumn("label", F.col("spot")))
+    row = Window.partitionBy("image_id", "y").orderBy("x")
+    starts = (F.col("x") != F.lag("x", 1).over(row) + 1) | F.lag("x", 1).over(row).isNull()
+    ink = mask.select("image_id", "y", "x").withColumn("x0", F.max(F.when(starts, F.col("x"))).over(row.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = cut(ink.groupBy("image_id", "y", "x0").agg(F.max("x").alias("x1")).withColumn("spot", _spot(F.col("y"), F.col("x0"))))
+    below = runs.select("image_id", (F.col("y") + 1).alias("y"), F.col("x0").alias("u0"), F.col("x1").alias("u1"), F.col("spot").alias("other"))
+    reach = 1 if diagonal else 0
+    edges = runs.join(below, ["image_id", "y"]).where((F.col("x0") <= F.col("u1") + reach) & (F.col("x1") >= F.col("u0") - reach))
+    heads = connected(edges.select("image_id", F.col("spot").alias("a"), F.col("other").alias("b")), "image_id")
+    named = runs.join(heads, ["image_id", "spot"], "left").select("image_id", "spot", "x1", F.coalesce("head", "spot").alias("label"))
+    return ink.withColumn("spot", _spot(F.col("y"), F.col("x0"))).join(named.drop("x1"), ["image_id", "spot"]).select("image_id", "y", "x", "label")
+
+
+def _spot(y: Column, x: Column) -> Column:
+    return y.cast("long") * F.lit(1 << 20) + x
+
+
+def connected(edges: DataFrame, group: str) -> DataFrame:
+    """(group, spot, head): the least node reachable over the edges (group, a, b), for each node that has one.
+
+    Every round hangs the larger neighbours of a node, then the node itself, on the least of them, until all edges lead to heads; their number
+    falls with the logarithm of the longest path.
+    """
+    held = cut(edges.select(group, F.greatest("a", "b").alias("n"), F.least("a", "b").alias("m")).where("n <> m").distinct())
     while True:
-        low = edges.join(labels.select("image_id", F.col("spot").alias("other"), "label"), ["image_id", "other"]).groupBy("image_id", "spot").agg(F.min("label").alias("low"))
-        step = labels.join(low, ["image_id", "spot"])
-        heads = step.select("image_id", F.col("spot").alias("low"), F.col("low").alias("head"))
-        new = step.join(heads, ["image_id", "low"]).select("image_id", "y", "x", "spot", F.least("low", "head").alias("new"), "label")
-        new = cut(new)
-        changed = new.where("new <> label").limit(1).count()
-        labels = new.select("image_id", "y", "x", "spot", F.col("new").alias("label"))
-        if not changed:
-            return labels.select("image_id", "y", "x", "label")
+        both = held.union(held.select(group, "m", "n")).toDF(group, "n", "m")
+        least = both.groupBy(group, "n").agg(F.least(F.col("n"), F.min("m")).alias("head"))
+        large = cut(both.where("m > n").join(least, [group, "n"]).select(group, F.col("m").alias("n"), F.col("head").alias("m")).distinct())
+        least = large.groupBy(group, "n").agg(F.min("m").alias("head"))
+        small = large.join(least, [group, "n"]).where("m <> head").select(group, F.col("m").alias("n"), F.col("head").alias("m"))
+        new = cut(least.select(group, "n", F.col("head").alias("m")).union(small).distinct())
+        # done when every node hangs on one head that hangs on nothing
+        loose = small.limit(1).count() or new.join(new.select(group, F.col("n").alias("m")).distinct(), [group, "m"], "left_semi").limit(1).count()
+        held = new
+        if not loose:
+            heads = held.select(group, F.col("m").alias("spot"), F.col("m").alias("head")).distinct()
+            return held.toDF(group, "spot", "head").union(heads)
 
 
 def measures(labelled: DataFrame) -> DataFrame:
@@ -40,10 +59,35 @@ def measures(labelled: DataFrame) -> DataFrame:
     return m.withColumn("component", F.row_number().over(Window.partitionBy("image_id").orderBy("label"))).drop("label")
 
 
-def holes(px: DataFrame, ink) -> DataFrame:
-    """(image_id, holes): 4-connected regions without ink that do not touch the border."""
+def _inner(px: DataFrame, ink: Column) -> DataFrame:
+    """(image_id, y, x, label) of the 4-connected regions without ink that do not touch the border."""
     size = px.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     empty = components(px.where(~ink), diagonal=False).join(size, "image_id")
     edge = (F.col("y") == 0) | (F.col("x") == 0) | (F.col("y") == F.col("h")) | (F.col("x") == F.col("w"))
-    inner = empty.groupBy("image_id", "label").agg(F.max(edge).alias("edge")).groupBy("image_id").agg(F.count_if(~F.col("edge")).alias("holes"))
-    return size.select("image_id").join(inner, "image_id", "left").na.fill(0, ["holes"])
+    return empty.withColumn("edge", F.max(edge).over(Window.partitionBy("image_id", "label"))).where("NOT edge").select("image_id", "y", "x", "label")
+
+
+def holes(px: DataFrame, ink: Column) -> DataFrame:
+    """(image_id, holes): 4-connected regions without ink that do not touch the border."""
+    inner = _inner(px, ink).groupBy("image_id").agg(F.count_distinct("label").alias("holes"))
+    return px.select("image_id").distinct().join(inner, "image_id", "left").na.fill(0, ["holes"])
+
+
+def attributed_holes(px: DataFrame, ink: Column) -> DataFrame:
+    """(image_id, label, holes, hole_area) of the components of ink: a hole belongs to the ink beside its first pixel that has some, left, right, above, below."""
+    own = cut(components(px.where(ink)))
+    inner = _inner(px, ink).withColumnRenamed("label", "hole")
+    sides = F.array(*[F.struct(F.lit(k).alias("turn"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for k, (dy, dx) in enumerate(((0, -1), (0, 1), (-1, 0), (1, 0)))])
+    beside = inner.withColumn("s", F.explode(sides)).select("image_id", "hole", _spot(F.col("y"), F.col("x")).alias("at"), "s.turn", (F.col("y") + F.col("s.dy")).alias("y"), (F.col("x") + F.col("s.dx")).alias("x"))
+    owner = beside.join(own, ["image_id", "y", "x"]).groupBy("image_id", "hole").agg(F.min(F.struct("at", "turn", "label"))["label"].alias("label"))
+    area = inner.groupBy("image_id", "hole").agg(F.count("*").alias("area"))
+    found = owner.join(area, ["image_id", "hole"]).groupBy("image_id", "label").agg(F.count("*").alias("holes"), F.sum("area").alias("hole_area"))
+    return own.select("image_id", "label").distinct().join(found, ["image_id", "label"], "left").na.fill(0, ["holes", "hole_area"])
+
+
+def ellipse(measured: DataFrame) -> DataFrame:
+    """``measured`` with the semi-axes of the ellipse of its second moments, and their ratio as circularity."""
+    bend = F.sqrt(F.pow(F.col("mu20") - F.col("mu02"), F.lit(2)) + 4 * F.col("mu11") * F.col("mu11"))
+    axis = lambda v: F.sqrt(F.greatest(F.lit(1e-9), 2 * v))
+    out = measured.withColumn("major", axis(F.col("mu20") + F.col("mu02") + bend)).withColumn("minor", axis(F.col("mu20") + F.col("mu02") - bend))
+    return out.withColumn("circularity", F.col("minor") / F.col("major"))

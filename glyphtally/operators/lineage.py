@@ -1,20 +1,55 @@
-"""Cutting the lineage of iterative jobs by written tables in the shared checkpoint folder."""
+"""Cutting the lineage of iterative jobs by written tables in the shared checkpoint folder, and numbering rows at scale."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written once to the folder of spark.checkpoint.dir and read again; a folder is made only where none is set."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a local master may leave it unset: a temporary folder is one that all its threads see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    where = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    if base:
+        return base.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read again."""
+    where = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(where)
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
+
+
+def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with gapless numbers from 0 in a total order, sorted in range partitions: no task sees more than its range."""
+    placed = cut(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__held"))
+    before = F.coalesce(F.sum("__held").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("__part", before.alias("__before"))  # a row per partition
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(*order)) - 1
+    return placed.withColumn(name, inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col(name)).drop("__part", "__before")
+
+
+def order_statistics(df: DataFrame, group: str, value: str, pick: dict[str, Column]) -> DataFrame:
+    """(group, n, names): exact values at 0-based ranks, each an expression of ``n``, the group's count; null values are left out.
+
+    A sketch of each group cuts its values into some hundred ranges, whose counts tell where a rank falls; only those ranges are sorted, so
+    a group with a great part of the rows is spread over tasks too.
+    """
+    rows = df.select(group, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
+    cuts = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("__v", [k / 128 for k in range(1, 128)], F.lit(2000))).alias("__cuts"))
+    rows = rows.join(cuts, group).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).select(group, "n", "__v", "__bin")
+    held = rows.groupBy(group, "__bin").agg(F.first("n").alias("n"), F.count("*").alias("__held"))
+    held = held.withColumn("__before", F.coalesce(F.sum("__held").over(Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    asked = [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__held")) for r in pick.values()]
+    wanted = held.where(F.greatest(*asked, F.lit(False))).select(group, "__bin", "__before")
+    near = rows.join(wanted, [group, "__bin"])
+    near = near.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__bin").orderBy("__v")) - 1 + F.col("__before"))
+    return near.groupBy(group).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__k") == r, F.col("__v"))).alias(k) for k, r in pick.items()])

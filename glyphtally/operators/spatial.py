@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphtally import settings as S
 from glyphtally.functions.numeric import round_half_up
+from glyphtally.operators.lineage import order_statistics
 from glyphtally.operators.vectors import settle
 
 
@@ -41,9 +42,8 @@ def neighbour_spacing(points: DataFrame, group: str, least: int = 8) -> DataFram
     placed = points.join(box.select(group, side.alias("side")), group)
     pairs = near_pairs(placed, as_right(placed), group, F.col("side")).where("id <> rid")
     near = pairs.groupBy(group, "id").agg(F.min("distance").alias("d"))
-    ranked = near.select(group, "d", F.row_number().over(Window.partitionBy(group).orderBy("d")).alias("k"), F.count("*").over(Window.partitionBy(group)).alias("n"))
-    mid = ranked.groupBy(group).agg(F.max(F.when((F.col("k") == round_half_up(0.5 * (F.col("n") - 1)) + 1) & (F.col("n") >= least), F.col("d"))).alias("spacing"))
-    return points.select(group).distinct().join(mid, group, "left").na.fill(0.0, ["spacing"])
+    mid = order_statistics(near, group, "d", {"spacing": round_half_up(0.5 * (F.col("n") - 1))}).where(F.col("n") >= least)
+    return points.select(group).distinct().join(mid.select(group, "spacing"), group, "left").na.fill(0.0, ["spacing"])
 
 
 def snap(taps: DataFrame, points: DataFrame, group: str, reach: float) -> DataFrame:
@@ -70,19 +70,46 @@ def suppress(points: DataFrame, group: str, limit: float) -> DataFrame:
 
 def size_band(df: DataFrame, group: str, value: str) -> DataFrame:
     """Rows within SIZE_LOW to SIZE_HIGH times their group's upper median; all rows of small groups."""
-    w = Window.partitionBy(group)
-    ranked = df.select("*", F.row_number().over(w.orderBy(value)).alias("__k"), F.count("*").over(w).alias("__n"))
-    mid = F.max(F.when(F.col("__k") == F.floor(F.col("__n") / 2) + 1, F.col(value))).over(w)
-    out = ranked.withColumn("__mid", mid)
+    mid = order_statistics(df, group, value, {"__mid": F.floor(F.col("n") / 2)}).withColumnRenamed("n", "__n")
     keep = (F.col("__n") < S.SIZE_POPULATION) | (F.col("__mid") <= 0) | F.col(value).between(F.col("__mid") * S.SIZE_LOW, F.col("__mid") * S.SIZE_HIGH)
-    return out.where(keep).drop("__k", "__n", "__mid")
+    return df.join(mid, group).where(keep).drop("__n", "__mid")
 
 
 def outlier_fence(df: DataFrame, group: str, value: str) -> DataFrame:
     """(group, fence): third quartile plus three spreads, at least FENCE_DISTANCE; floor-indexed quartiles."""
-    w = Window.partitionBy(group)
-    ranked = df.select(group, F.col(value).alias("v"), (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    at = lambda p: F.max(F.when(F.col("k") == F.floor(p * (F.col("n") - 1)), F.col("v")))
-    q = ranked.groupBy(group).agg(F.max("n").alias("n"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    q = order_statistics(df, group, value, {"q1": F.floor(0.25 * (F.col("n") - 1)), "q3": F.floor(0.75 * (F.col("n") - 1))})
     fence = F.greatest(F.lit(S.FENCE_DISTANCE), F.col("q3") + S.FENCE_SPREAD * (F.col("q3") - F.col("q1")))
     return q.select(group, F.when(F.col("n") < S.FENCE_POPULATION, F.lit(S.FENCE_DISTANCE)).otherwise(fence).alias("fence"))
+
+
+def percentiles(df: DataFrame, group: str, value: str, at: tuple = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """(group, n, p5, p25, ...): values at floor(p (n - 1))."""
+    return order_statistics(df, group, value, {f"p{round(100 * p)}": F.floor(p * (F.col("n") - 1)) for p in at})
+
+
+def split_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
+    """``df`` with ``rejected``: whether the value lies beyond its group's fence."""
+    fence = outlier_fence(df, group, value)
+    return df.join(fence, group).withColumn("rejected", F.col(value) > F.col("fence")).drop("fence")
+
+
+def hit_test(taps: DataFrame, markers: DataFrame, group: str, tolerance: float, largest: float) -> DataFrame:
+    """(group, id, hit, distance): the nearest marker (group, id, x, y, radius) closer than HIT_FACTOR of its radius or the tolerance; radii up to ``largest``."""
+    reach = F.greatest(F.col("rradius") * S.HIT_FACTOR, F.lit(float(tolerance)))
+    pairs = near_pairs(taps, as_right(markers).withColumnRenamed("radius", "rradius"), group, F.lit(max(largest * S.HIT_FACTOR, float(tolerance)))).where(F.col("distance") < reach)
+    best = pairs.groupBy(group, "id").agg(F.min(F.struct("distance", "rid")).alias("b"))
+    return taps.select(group, "id").join(best, [group, "id"], "left").select(group, "id", F.col("b.rid").alias("hit"), F.col("b.distance").alias("distance"))
+
+
+def within(points: DataFrame, centres: DataFrame, group: str, reach: float) -> DataFrame:
+    """(group, id, rid, distance, place): the points up to ``reach`` from each centre, the nearest first."""
+    pairs = near_pairs(centres, as_right(points), group, F.lit(float(reach))).where(F.col("distance") <= reach)
+    return pairs.select(group, "id", "rid", "distance", F.row_number().over(Window.partitionBy(group, "id").orderBy("distance", "rid")).alias("place"))
+
+
+def recall(markers: DataFrame, truth: DataFrame, group: str, radius: float) -> DataFrame:
+    """(group, truth, found, recall): true points with a marker of theirs, the nearest closer than TRUTH_FACTOR radii being a marker's own."""
+    near = snap(markers, truth, group, S.TRUTH_FACTOR * radius).where("hit IS NOT NULL")
+    found = near.select(group, "hit").distinct().groupBy(group).agg(F.count("*").alias("found"))
+    out = truth.groupBy(group).agg(F.count("*").alias("truth")).join(found, group, "left").na.fill(0, ["found"])
+    return out.withColumn("recall", F.col("found") / F.col("truth"))

@@ -191,16 +191,13 @@ SIZE = 16
 
 
 def chamfer_distances(spark, sf_dir):
-    ink = mosaic(spark, sf_dir, 2).where("v <= 90").select("image_id", "y", "x")
-    return reading.chamfer(ink, reading.templates(spark, SIZE)).withColumn("distance", F.round("distance", 6))
+    px = mosaic(spark, sf_dir, 2)
+    return reading.chamfer(px.where("v <= 90").select("image_id", "y", "x"), reading.templates(spark, SIZE), SIZE, px).withColumn("distance", F.round("distance", 6))
 
 
 def digit_reading(spark, sf_dir):
-    px = mosaic(spark, sf_dir, 2)
-    ink = F.col("v") <= 90
-    distance = reading.chamfer(px.where(ink).select("image_id", "y", "x"), reading.templates(spark, SIZE))
-    scores = reading.similarity(distance, graph.holes(px, ink), reading.template_holes(spark, SIZE))
-    return reading.read(scores.withColumn("similarity", F.round("similarity", 9))).select("image_id", "digit", F.round("similarity", 6).alias("similarity"), F.round("confidence", 5).alias("confidence"))
+    out = reading.read_shapes(spark, mosaic(spark, sf_dir, 2), F.col("v") <= 90, SIZE)
+    return out.select("image_id", "digit", F.round("similarity", 6).alias("similarity"), F.round("confidence", 5).alias("confidence"))
 
 
 TEMPLATES = "tp(digit, ty, tx) AS (VALUES " + ", ".join(f"({d}, {y}, {x})" for d in range(10) for y, x in raster(d, SIZE)) + ")"
@@ -208,7 +205,7 @@ CHAMFER = f"""{_mosaic_sql(2)}, {TEMPLATES}, ik AS (SELECT image_id, y, x FROM p
 co AS (SELECT image_id, y, x, digit, ty, tx, 3 * greatest(abs(y - ty), abs(x - tx)) + least(abs(y - ty), abs(x - tx)) AS c FROM ik, tp),
 th AS (SELECT image_id, digit, avg(c) AS d FROM (SELECT image_id, digit, y, x, min(c) AS c FROM co GROUP BY ALL) GROUP BY ALL),
 bk AS (SELECT image_id, digit, avg(c) AS d FROM (SELECT image_id, digit, ty, tx, min(c) AS c FROM co GROUP BY ALL) GROUP BY ALL),
-dist AS (SELECT image_id, digit, (th.d / 3 + bk.d / 3) / 2 AS distance FROM th JOIN bk USING (image_id, digit))"""
+dist AS (SELECT i.image_id, i.digit, coalesce((th.d / 3 + bk.d / 3) / 2, 99e0) AS distance FROM (SELECT DISTINCT image_id, digit FROM px, (SELECT DISTINCT digit FROM tp)) i LEFT JOIN th USING (image_id, digit) LEFT JOIN bk USING (image_id, digit))"""
 
 LAGS = f"""{MOSAIC}, {_smooth('px', 'sm', 3)},
 fl AS (SELECT px.image_id, px.y, px.x, {CLAMP.format('px.v - sm.v + 128')} AS v FROM px JOIN sm USING (image_id, y, x)),

@@ -19,20 +19,14 @@ def table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 
 
-def _cells(spark, sf_dir) -> DataFrame:
-    return V.cells(table(spark, sf_dir), keep=("label",))
-
-
 def _by_label(spark, sf_dir):
-    cells = _cells(spark, sf_dir)
-    protos = V.averages(cells, "label")
-    return cells, protos
+    glyphs = V.glyphs(table(spark, sf_dir), keep=("label",))
+    return glyphs, V.averages(glyphs, "label")
 
 
 def _assigned(spark, sf_dir):
-    cells, protos = _by_label(spark, sf_dir)
-    protos = protos.withColumnRenamed("label", "number")
-    return V.nearest_two(V.distances(cells, protos, "vec_id", "number").withColumn("distance", F.round("distance", 9)), "vec_id", "number"), cells, protos
+    glyphs, protos = _by_label(spark, sf_dir)
+    return V.nearest(glyphs, protos.withColumnRenamed("label", "number"), "vec_id", "number", 9), glyphs, protos
 
 
 def glyph_assign_counts(spark, sf_dir):
@@ -45,18 +39,18 @@ def glyph_assign_counts(spark, sf_dir):
 
 
 def glyph_distances(spark, sf_dir):
-    cells, protos = _by_label(spark, sf_dir)
-    protos = protos.withColumnRenamed("label", "number")
-    return V.distances(cells, protos, "vec_id", "number").withColumn("distance", F.round("distance", 6))
+    glyphs, protos = _by_label(spark, sf_dir)
+    return V.distances(glyphs, protos.withColumnRenamed("label", "number"), "vec_id", "number", 6)
 
 
 def prototype_average(spark, sf_dir):
-    return _by_label(spark, sf_dir)[1].select("label", "pos", F.round("p", 9).alias("p"))
+    protos = _by_label(spark, sf_dir)[1].select("label", F.posexplode("glyph").alias("pos", "p"))
+    return protos.withColumn("p", F.round("p", 9))
 
 
 def prototype_spread(spark, sf_dir):
-    cells, protos = _by_label(spark, sf_dir)
-    out = V.spread(cells, protos, cells.select("vec_id", "label").distinct(), "vec_id", "label")
+    glyphs, protos = _by_label(spark, sf_dir)
+    out = V.spread(glyphs, protos, "label")
     return out.select("label", "members", F.round("spread", 6).alias("spread"), F.round("sharpness", 6).alias("sharpness"))
 
 
@@ -66,14 +60,10 @@ def membership_margin(spark, sf_dir):
 
 
 def refined_clusters(spark, sf_dir):
-    """Members after one rebuilding of the averages from the labels."""
-    cells = _cells(spark, sf_dir)
-    members = cells.select("vec_id", F.col("label").alias("number")).distinct()
-    protos = V.averages(cells.select("vec_id", "pos", "c").join(members, "vec_id"), "number")
-    first = V.nearest_two(V.distances(cells, protos, "vec_id", "number").withColumn("distance", F.round("distance", 9)), "vec_id", "number")
-    protos = V.averages(cells.select("vec_id", "pos", "c").join(first.select("vec_id", "number"), "vec_id"), "number")
-    again = V.nearest_two(V.distances(cells, protos, "vec_id", "number").withColumn("distance", F.round("distance", 9)), "vec_id", "number")
-    return again.groupBy("number").agg(F.count("*").alias("members"), F.round(F.avg("best"), 6).alias("spread"))
+    """Members after two rebuildings of the averages from the labels, none merged."""
+    glyphs, _ = _by_label(spark, sf_dir)
+    out = V.refine(glyphs.select("vec_id", "glyph"), glyphs.select("vec_id", F.col("label").alias("number")), "vec_id", "number", passes=2, limit=0.0, digits=9)
+    return out.groupBy("number").agg(F.count("*").alias("members"), F.round(F.avg("best"), 6).alias("spread"))
 
 
 def merged_prototypes(spark, sf_dir):
@@ -92,17 +82,15 @@ def example_matches(spark, sf_dir):
     df = table(spark, sf_dir)
     colour = [(128 + 256 * F.get("embedding", F.lit(k)).cast("double")).alias(c) for k, c in enumerate("rgb", 3)]
     first = df.groupBy("label").agg(F.slice(F.array_sort(F.collect_list("vec_id")), 1, 3).alias("ids")).select(F.explode("ids").alias("vec_id"))
-    examples = df.join(first, "vec_id").select(F.col("vec_id").alias("example_id"), F.col("label").alias("digit"), "embedding", *colour)
-    protos = V.cells(examples, "example_id").select("example_id", "pos", F.col("c").alias("p"))
-    dist = V.distances(V.cells(df), protos, "vec_id", "example_id")
-    colours = df.select("vec_id", *colour)
-    out = V.match_examples(dist, colours, examples.select("example_id", "digit", *[F.col(c).alias(f"e{c}") for c in "rgb"]), "vec_id")
+    coloured = V.glyphs(df.select("vec_id", "label", "embedding", *colour), keep=("label", "r", "g", "b"))
+    examples = coloured.join(first, "vec_id").select(F.col("vec_id").alias("example_id"), F.col("label").alias("digit"), "glyph", *[F.col(c).alias(f"e{c}") for c in "rgb"])
+    out = V.match_examples(coloured, examples, "vec_id")
     out = out.withColumn("band", match_band(F.col("digit"), F.round("best", 6), F.round("margin", 6)))
     return out.select("vec_id", "digit", F.round("best", 6).alias("distance"), F.round("margin", 6).alias("margin"), "band")
 
 
 def purity_naming(spark, sf_dir):
-    near, cells, _ = _assigned(spark, sf_dir)
+    near, *_ = _assigned(spark, sf_dir)
     met = near.join(table(spark, sf_dir).select("vec_id", F.col("label").cast("int").alias("truth")), "vec_id")
     return counting.purity(met.select(F.col("number").alias("group"), "truth"), "group", "truth").withColumn("purity", F.round("purity", 6))
 

@@ -3,7 +3,9 @@
 SUPPORTED_NUMBERS = range(1, 11)
 SAUVOLA_K, SAUVOLA_RANGE = 0.28, 128.0
 BLANK_DISTANCE = 1.0
-MERGE_DISTANCE = 0.22 * 0.8
+JOIN_DISTANCE = 0.22
+MERGE_DISTANCE = JOIN_DISTANCE * 0.8
+REFINE_PASSES = 3
 MIN_MEMBERS = 3
 SHARPNESS_SLOPE = 2.5
 COLOUR_WEIGHT, COLOUR_SCALE = 0.8, 60.0
@@ -13,3 +15,12 @@ SIZE_LOW, SIZE_HIGH, SIZE_POPULATION = 0.72, 1.4, 12
 FENCE_DISTANCE, FENCE_SPREAD, FENCE_POPULATION = 1.4, 3.0, 20
 STROKE_WIDTH, CHAMFER_SCALE, HOLE_PENALTIES = 0.14, 2.2, (1.0, 0.45, 0.18)
 SAVED_IMAGES = 8
+#: Bands of confidence: (review, medium) limits of sharpness and margin for groups, of distance and margin for examples.
+GROUP_BANDS, MATCH_BANDS = ((0.35, 0.6), (0.08, 0.2)), ((1.4, 0.9), (0.05, 0.15))
+NAME_SIMILARITY, RADIUS, SCORE_SCALE = 0.72, 0.46, 200.0
+GLYPH_HEIGHT, GLYPH_WIDE, GLYPH_FILL = (0.12, 0.8), 1.6, 0.12
+FACE_RADIUS, OUTER_RADIUS, FACE_SAMPLE, INK_CONTRAST, FACE_SLACK, FACE_WEIGHT = 0.22, 0.45, 8, 60.0, -6.0, 0.5
+PART_DISTANCE, PART_BOX = 0.3, 0.55
+GLYPH_SIZE, GLYPH_MARGIN = 32, 2
+EXAMPLE_DISTANCE, HIT_FACTOR, TRUTH_FACTOR = 8.0, 1.4, 1.2
+AMBIGUOUS_COUNT, AMBIGUOUS_SHARPNESS, PAGE_ROWS = 10, 0.6, 24

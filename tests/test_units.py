@@ -43,7 +43,7 @@ def test_template_holes(spark):
 def test_templates_read_themselves(spark):
     ink = reading.templates(spark, 32).toDF("image_id", "y", "x").withColumn("image_id", F.col("image_id").cast("long"))
     counters = spark.createDataFrame([(d, h) for d, h in HOLES.items()], "image_id long, holes long")
-    scores = reading.similarity(reading.chamfer(ink, reading.templates(spark, 32)), counters, reading.template_holes(spark, 32))
+    scores = reading.similarity(reading.chamfer(ink, reading.templates(spark, 32), 32), counters, reading.template_holes(spark, 32))
     for r in reading.read(scores).collect():
         assert r.digit == r.image_id and r.similarity >= 1.25 * (r.similarity * (1 - r.confidence))
 
@@ -155,13 +155,18 @@ def test_suppression(spark, pts):
 
 
 def test_blank_distance(spark):
-    df = spark.createDataFrame([(1, [0.0, -1.0]), (2, [0.5, 0.5])], "vec_id long, embedding array<float>")
-    cells = V.cells(df)
-    protos = spark.createDataFrame([(0, 0, 0.0), (0, 1, 0.0), (1, 0, 0.5), (1, 1, 0.5)], "n int, pos int, p double")
-    got = {(r.vec_id, r.n): r.distance for r in V.distances(cells, protos, "vec_id", "n").collect()}
+    df = spark.createDataFrame([(1, [0.0, -1.0]), (2, [0.5, 0.5]), (3, None)], "vec_id long, embedding array<float>")
+    protos = spark.createDataFrame([(0, [0.0, 0.0]), (1, [0.5, 0.5])], "n int, glyph array<double>")
+    got = {(r.vec_id, r.n): r.distance for r in V.distances(V.glyphs(df), protos, "vec_id", "n").collect()}
     assert got == {(1, 0): 1.0, (1, 1): 1.0, (2, 0): 1.0, (2, 1): 0.0}
 
 
+def test_blank_image_is_far_from_all(spark):
+    px = spark.createDataFrame([(0, y, x, 200) for y in range(8) for x in range(8)], "image_id long, y int, x int, v int")
+    far = reading.chamfer(px.where("v < 100").select("image_id", "y", "x"), reading.templates(spark, 8), 8, px).collect()
+    assert len(far) == 10 and {r.distance for r in far} == {reading.BLANK}
+
+
 def test_small_fences(spark):
     df = spark.createDataFrame([("a", float(i)) for i in range(25)] + [("b", 9.0)], "g string, d double")
     assert {r.g: r.fence for r in spatial.outlier_fence(df, "g", "d").collect()} == {"a": 18 + 3 * 12.0, "b": 1.4}
