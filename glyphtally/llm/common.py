@@ -144,7 +144,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def chunks(texts: list, size: int = 1 << 20, most: int = 4096):
+def chunks(texts: list, size: int = 1 << 18, most: int = 4096):
     """Index ranges of about ``size`` characters and at most ``most`` texts, so that numpy's temporaries stay small."""
     start, held = 0, 0
     for i, t in enumerate(texts):

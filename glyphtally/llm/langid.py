@@ -150,4 +150,4 @@ def language_of(model: LanguageCodes, text: Column | str) -> Column:
             yield pd.DataFrame({"lang": lang, "score": score, "ambiguous": vague, "rejected": far})
         give_back()
 
-    return predicted(text)
+    return predicted.asNondeterministic()(text)  # else a filter on the result would evaluate it twice
