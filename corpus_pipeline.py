@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from glyphtally.llm.common import Scratch, table, without_ids
 from glyphtally.llm.decontaminate import decontaminate
 from glyphtally.llm.langid import fit_languages, language_of
-from glyphtally.llm.mixture import mix_sources
+from glyphtally.llm.mixture import repeated
 from glyphtally.llm.ngram_join import ngram_jaccard_join
 from glyphtally.llm.shard_pack import pack_shards
 
@@ -48,12 +48,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The one document per source that the mix takes in part counts as taken where that part is at least half. Documents
     without words are not taken.
     """
-    plan = Scratch(spark, "mix").write(mix_sources(spark, docs).select(F.col("doc_id").alias("__id"), F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).otherwise(0).cast("int").alias("__times")), "plan")
-    none = plan.where("__times = 0").select("__id")
-    several = plan.where("__times > 1").select("__id", F.col("__times").alias("__more"))
-    kept = without_ids(docs, "doc_id", none, "__id")
-    joined = kept.join(several.dropDuplicates(["__id"]), kept["doc_id"] == several["__id"], "left")
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__more", F.lit(1))))).select(*docs.columns)
+    return repeated(spark, docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
