@@ -97,7 +97,7 @@ def evaluate(truth: DataFrame, counts: DataFrame, by: str) -> tuple[DataFrame, D
 
 def format_evaluation(rows: DataFrame, by: str) -> DataFrame:
     """(by, number, line): one padded line per number."""
-    line = F.format_string("    %2d: expected %4d detected %4d (%s, %.1f%%)", "number", "expected", "detected", F.concat(F.when(F.col("difference") >= 0, "+").otherwise(""), F.col("difference").cast("string")), F.col("accuracy") * 100)
+    line = F.format_string("    %2d: expected %4d detected %4d (%s, %.1f%%)", "number", "expected", "detected", F.concat(F.when(F.col("difference") >= 0, "+").otherwise(""), F.col("difference").cast("string")), F.round(F.col("accuracy") * 100, 1))
     return rows.select(by, "number", line.alias("line"))
 
 
@@ -134,15 +134,43 @@ def csv_lines(markers: DataFrame, keys: list[str]) -> DataFrame:
     return markers.select(*keys, F.concat_ws(",", *[csv_field(f) for f in fields]).alias("line"))
 
 
+def _sorted_counts(markers: DataFrame, by: str) -> DataFrame:
+    """(by, counts, total): the counts as a map by number, in the order of the numbers."""
+    in_order = F.array_sort(F.collect_list(F.struct("number", "count")))
+    entries = F.transform(in_order, lambda e: F.struct(e["number"].cast("string").alias("key"), e["count"].alias("value")))
+    return count_rows(markers, by).groupBy(by).agg(F.map_from_entries(entries).alias("counts"), F.sum("count").alias("total"))
+
+
 def json_documents(markers: DataFrame, by: str) -> DataFrame:
-    """(by, json): version, counts and the marker list of each image."""
-    listed = markers.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("marker_id", value().alias("number"), "x", "y", "radius", "confidence", "rejected"))).alias("markers"))
-    counts = count_rows(markers, by).groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("number").cast("string"), "count")))).alias("counts"))
-    met = listed.join(counts, by, "left")
-    return met.select(by, F.to_json(F.struct(F.lit(1).alias("version"), "counts", "markers")).alias("json"))
+    """(by, json): version, summary with counts, and the marker list of each image."""
+    row = F.struct(
+        F.col("marker_id").alias("__order"), F.col("marker_id").cast("string").alias("id"), "x", "y", "radius", value().alias("number"),
+        F.when(F.col("rejected"), "rejected").otherwise(F.col("confidence")).alias("confidence"), "method", "rejected")
+    listed = markers.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(row)), lambda m: m.dropFields("__order")).alias("markers"))
+    met = listed.join(_sorted_counts(markers, by).select(by, "counts"), by, "left").join(count_summary(markers, by), by)
+    empty = F.create_map().cast("map<string,bigint>")
+    summary = F.struct("total", F.coalesce("counts", empty).alias("counts"), "high", "medium", "review", "rejected")
+    return met.select(by, F.to_json(F.struct(F.lit(1).alias("version"), summary.alias("summary"), "markers")).alias("json"))
 
 
 def truth_documents(markers: DataFrame, by: str) -> DataFrame:
-    """(image, counts, total) rows that the truth reader reads back."""
-    rows = count_rows(markers, by).groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("number").cast("string"), "count")))).alias("counts"), F.sum("count").alias("total"))
-    return rows.withColumnRenamed(by, "image")
+    """(image, counts, total, notes) rows that the truth reader reads back; the counts stand in the order of the numbers."""
+    return _sorted_counts(markers, by).withColumnRenamed(by, "image").withColumn("notes", F.lit("Verified by hand."))
+
+
+def truth_text() -> Column:
+    """The file of a row of `truth_documents`."""
+    return F.to_json(F.struct(F.col("image").cast("string").alias("image"), "counts", "total", "notes"))
+
+
+def apply_corrections(markers: DataFrame, last: DataFrame) -> DataFrame:
+    """Markers with the last correction (image_id, marker_id, number, reject) of each: a rejection, or a number that also takes a rejection back."""
+    met = markers.join(last.select("image_id", "marker_id", F.col("number").alias("__number"), "reject"), ["image_id", "marker_id"], "left")
+    set_ = F.col("reject").isNotNull() & ~F.col("reject")
+    return met.withColumn("manual_number", F.when(set_, F.col("__number")).otherwise(F.col("manual_number"))).withColumn("rejected", F.coalesce("reject", "rejected")).drop("__number", "reject")
+
+
+def saved_for(images: DataFrame, saved: DataFrame, by: str, what: str) -> DataFrame:
+    """(by, saved): what is saved of each image, in order, an empty list where nothing is."""
+    lists = saved.groupBy(by).agg(F.array_sort(F.collect_list(what)).alias("saved"))
+    return images.join(lists, by, "left").withColumn("saved", F.coalesce("saved", F.array().cast(saved.select(F.array(what)).schema[0].dataType)))

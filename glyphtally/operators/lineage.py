@@ -40,11 +40,11 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
 def order_statistics(df: DataFrame, group: str, value: str, pick: dict[str, Column]) -> DataFrame:
     """(group, n, names): exact values at 0-based ranks, each an expression of ``n``, the group's count; null values are left out.
 
-    A sketch of each group cuts its values into some hundred ranges, whose counts tell where a rank falls; only those ranges are sorted, so
+    A sketch of each group cuts its values into ranges, whose counts tell where a rank falls; only those ranges are sorted, so
     a group with a great part of the rows is spread over tasks too.
     """
     rows = df.select(group, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    cuts = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("__v", [k / 128 for k in range(1, 128)], F.lit(2000))).alias("__cuts"))
+    cuts = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("__v", [k / 16 for k in range(1, 16)], F.lit(200))).alias("__cuts"))
     rows = rows.join(cuts, group).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).select(group, "n", "__v", "__bin")
     held = rows.groupBy(group, "__bin").agg(F.first("n").alias("n"), F.count("*").alias("__held"))
     held = held.withColumn("__before", F.coalesce(F.sum("__held").over(Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))

@@ -13,7 +13,6 @@ from glyphtally import settings as S
 from glyphtally.functions.numeric import clamp8
 
 
-
 def in_row():
     return Window.partitionBy("image_id", "y").orderBy("x")
 
@@ -88,6 +87,7 @@ def auto_contrast(px: DataFrame, clip_percent: float = 0.5) -> DataFrame:
         F.min(F.when(F.col("below") > clip, F.col("v"))).alias("lo"), F.max(F.when(F.col("total") - F.col("below") + F.col("n") > clip, F.col("v"))).alias("hi"))
     wide = F.col("hi") - F.col("lo")
     out = F.when(wide < 16, F.col("v")).otherwise(clamp8((F.col("v") - F.col("lo")) * 255 / F.greatest(F.lit(1), wide)))
+    ends = ends.withColumn("lo", F.coalesce("lo", F.lit(0))).withColumn("hi", F.coalesce("hi", F.lit(255)))  # nothing above the clip: the whole range
     return px.join(ends, "image_id").withColumn("v", out).drop("lo", "hi")
 
 
@@ -136,32 +136,95 @@ def downscale(px: DataFrame, factor: int) -> DataFrame:
     return px.groupBy("image_id", *cell).agg(clamp8(F.avg("v")).alias("v"))
 
 
-def crop_clamped(px: DataFrame, top: int, left: int, side: int) -> DataFrame:
-    """A side x side crop; beyond the border the nearest pixel repeats."""
-    size = px.groupBy("image_id").agg((F.max("y")).alias("h"), F.max("x").alias("w"))
-    grid = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("ox"))
-    grid = grid.withColumn("y", F.greatest(F.lit(0), F.least("h", F.col("oy") + top))).withColumn("x", F.greatest(F.lit(0), F.least("w", F.col("ox") + left)))
-    return grid.join(px, ["image_id", "y", "x"]).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
+def _size(px: DataFrame) -> DataFrame:
+    return px.groupBy("image_id").agg((F.max("y") + 1).alias("h"), (F.max("x") + 1).alias("w"))
 
 
-def upscale2(px: DataFrame) -> DataFrame:
-    """Twice the size by the Catmull-Rom cubic; taps beyond the border repeat the edge pixel."""
+def _covers(source: str, length: str, ratio: Column):
+    """Whether target line t covers the source line: from floor(t ratio) to before floor((t + 1) ratio), one line at least."""
+    return lambda t: (F.floor(t * ratio) <= F.col(source)) & (F.col(source) < F.least(F.col(length), F.greatest(F.floor(t * ratio) + 1, F.floor((t + 1) * ratio))))
 
-    def stretched(df: DataFrame, along: str, window) -> DataFrame:
-        taps = df.select("*", *[(F.lag("v", -k) if k < 0 else F.lead("v", k)).over(window).alias(f"t{k + 2}") if k else F.col("v").alias("t2") for k in range(-2, 3)])
-        taps = taps.withColumn("t1", F.coalesce("t1", "t2")).withColumn("t0", F.coalesce("t0", "t1")).withColumn("t3", F.coalesce("t3", "t2")).withColumn("t4", F.coalesce("t4", "t3"))
 
-        def cubic(p0, p1, p2, p3, t):
-            a, b, c = -0.5 * p0 + 1.5 * p1 - 1.5 * p2 + 0.5 * p3, p0 - 2.5 * p1 + 2 * p2 - 0.5 * p3, -0.5 * p0 + 0.5 * p2
-            return ((a * t + b) * t + c) * t + p1
+def downscale_by(px: DataFrame, scale: Column | float, values: tuple = ("v",)) -> DataFrame:
+    """Images shrunk by ``scale`` (a number, or an expression of height h and width w), each target pixel the mean of the source pixels under it; unchanged from 1 on.
 
-        t = [F.col(f"t{k}") for k in range(5)]
-        both = F.array(F.struct((2 * F.col(along)).alias("at"), cubic(t[0], t[1], t[2], t[3], 0.75).alias("v")), F.struct((2 * F.col(along) + 1).alias("at"), cubic(t[1], t[2], t[3], t[4], 0.25).alias("v")))
-        other = "y" if along == "x" else "x"
-        return taps.select("image_id", other, F.explode(both).alias("o")).select("image_id", other, F.col("o.at").alias(along), F.col("o.v").alias("v"))
+    A source line belongs to at most two target lines, as targets may overlap by rounding, so the means are a groupBy.
+    """
+    scale = F.lit(scale) if isinstance(scale, (int, float)) else scale
+    size = _size(px).withColumn("scale", F.least(F.lit(1.0), scale))
+    size = size.select("image_id", *[c for n, d in (("h", "dh"), ("w", "dw")) for c in (F.col(n), F.greatest(F.lit(1), F.floor(F.col(n) * F.col("scale") + 0.5)).alias(d))])
+    met = px.join(size, "image_id")
+    for source, n, d, out in (("y", "h", "dh", "ty"), ("x", "w", "dw", "tx")):
+        ratio = F.col(n) / F.col(d)
+        guess = F.floor((F.col(source) + 0.5) / ratio)
+        near = F.filter(F.sequence(F.greatest(F.lit(0), guess - 1), F.least(F.col(d) - 1, guess + 1)), _covers(source, n, ratio))
+        met = met.withColumn(out, F.explode(near)).withColumn(out, F.col(out).cast("int"))
+    return met.groupBy("image_id", F.col("ty").alias("y"), F.col("tx").alias("x")).agg(*[clamp8(F.avg(v)).alias(v) for v in values])
+
+
+def _cubic(p0: Column, p1: Column, p2: Column, p3: Column, t: Column) -> Column:
+    a, b, c = -0.5 * p0 + 1.5 * p1 - 1.5 * p2 + 0.5 * p3, p0 - 2.5 * p1 + 2 * p2 - 0.5 * p3, -0.5 * p0 + 0.5 * p2
+    return ((a * t + b) * t + c) * t + p1
+
+
+def upscale(px: DataFrame, height: int, width: int) -> DataFrame:
+    """height x width by the Catmull-Rom cubic, along rows and then columns; taps beyond the border repeat the edge pixel."""
+    size = _size(px)
+
+    def stretched(df: DataFrame, along: str, other: str, length: str, target: int) -> DataFrame:
+        lines = df.groupBy("image_id", other).agg(F.transform(F.array_sort(F.collect_list(F.struct(along, "v"))), lambda s: s["v"].cast("double")).alias("line"))
+        lines = lines.join(size.select("image_id", F.col(length).alias("n")), "image_id").withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(target - 1))))
+        at = (F.col("to") + 0.5) * (F.col("n") / target) - 0.5
+        lines = lines.withColumn("at", at).withColumn("from", F.floor("at").cast("int"))
+        tap = lambda k: F.element_at("line", F.greatest(F.lit(0), F.least(F.col("n") - 1, F.col("from") + k)).cast("int") + 1)
+        return lines.select("image_id", other, F.col("to").alias(along), _cubic(tap(-1), tap(0), tap(1), tap(2), F.col("at") - F.col("from")).alias("v"))
+
+    return stretched(stretched(px, "x", "y", "w", width), "y", "x", "h", height).withColumn("v", clamp8(F.col("v")))
+
+
+def resample(px: DataFrame, side: int) -> DataFrame:
+    """Square images as side x side: smaller ones through the cubic, larger ones through means."""
+    size = _size(px)
+    small = px.join(size.where(F.col("w") < side), "image_id", "left_semi")
+    return upscale(small, side, side).unionByName(downscale_by(px.join(size.where(F.col("w") >= side), "image_id", "left_semi"), F.lit(float(side)) / F.col("w")))
+
+
+def bilinear(px: DataFrame, points: DataFrame) -> DataFrame:
+    """(image_id, id, v) at points (image_id, id, y, x) between pixels: four clamped taps, weighted."""
+    at = points.join(_size(px), "image_id").withColumn("fy", F.col("y") - F.floor("y")).withColumn("fx", F.col("x") - F.floor("x"))
+    taps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)])
+    at = at.withColumn("t", F.explode(taps))
+    inside = lambda c, n, k: F.greatest(F.lit(0), F.least(F.col(n) - 1, F.floor(c).cast("int") + F.col(k)))
+    part = lambda f, k: F.when(F.col(k) == 1, F.col(f)).otherwise(1 - F.col(f))
+    at = at.select("image_id", "id", inside("y", "h", "t.a").alias("y"), inside("x", "w", "t.b").alias("x"), (part("fy", "t.a") * part("fx", "t.b")).alias("weight"))
+    return at.join(px, ["image_id", "y", "x"]).groupBy("image_id", "id").agg(F.sum(F.col("v") * F.col("weight")).alias("v"))
+
+
+def fingerprint(px: DataFrame) -> DataFrame:
+    """(image_id, signature): width, height and the 32-bit FNV-1a fold, in base 36, of a sparse grid of about 32 x 32 colour pixels (r, g, b)."""
+    step = lambda n: F.greatest(F.lit(1), F.floor(F.col(n) / 32))
+    grid = px.join(_size(px), "image_id").where((F.col("y") % step("h") == 0) & (F.col("x") % step("w") == 0))
+    code = F.col("r") + F.col("g") * 256 + F.col("b") * 65536
+    rows = grid.groupBy("image_id", "h", "w").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", code.cast("long").alias("c")))), lambda s: s["c"]).alias("codes"))
+    fold = F.aggregate("codes", F.lit(2166136261), lambda h, v: F.pmod(h.bitwiseXOR(v) * F.lit(16777619), F.lit(4294967296)))
+    return rows.select("image_id", F.concat(F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string"), F.lit("-"), F.lower(F.conv(fold.cast("string"), 10, 36))).alias("signature"))
+
+
+def disc_otsu(px: DataFrame, centres: DataFrame) -> DataFrame:
+    """(image_id, threshold) by the pixels within ``radius`` of a centre (image_id, cy, cx, radius) alone; 128 with 16 or fewer."""
+    met = px.join(centres, "image_id")
+    inside = met.where((F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")) + (F.col("y") - F.col("cy")) * (F.col("y") - F.col("cy")) <= F.col("radius") * F.col("radius"))
+    enough = inside.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 16").select("image_id")
+    found = otsu(inside.select("image_id", "y", "x", "v").join(enough, "image_id"))
+    return centres.select("image_id").join(found, "image_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(128)))
 
-    out = stretched(stretched(px, "x", in_row()), "y", in_column())
-    return out.withColumn("v", clamp8(F.col("v")))
+
+def crop_clamped(px: DataFrame, top: int, left: int, side: int) -> DataFrame:
+    """A side x side crop; beyond the border the nearest pixel repeats."""
+    size = px.groupBy("image_id").agg((F.max("y")).alias("h"), F.max("x").alias("w"))
+    grid = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("oy")).select("*", F.explode(F.sequence(F.lit(0), F.lit(side - 1))).alias("ox"))
+    grid = grid.withColumn("y", F.greatest(F.lit(0), F.least("h", F.col("oy") + top))).withColumn("x", F.greatest(F.lit(0), F.least("w", F.col("ox") + left)))
+    return grid.join(px, ["image_id", "y", "x"]).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
 
 
 def oriented(px: DataFrame) -> DataFrame:
@@ -189,17 +252,18 @@ def lag_scores(px: DataFrame, lags: range, radius: int) -> DataFrame:
 
 
 def pitch_peak(scores: DataFrame) -> DataFrame:
-    """(image_id, pitch): the earliest serious peak above the median score, placed by a parabola; 0 without one."""
+    """(image_id, pitch, strength): the earliest serious peak above the median score, placed by a parabola, and how far the strongest stands out; 0 without one."""
     w, all_ = Window.partitionBy("image_id").orderBy("lag"), Window.partitionBy("image_id")
     s = scores.select("*", F.lag("score").over(w).alias("a"), F.lead("score").over(w).alias("c"), F.row_number().over(Window.partitionBy("image_id").orderBy("score")).alias("k"), F.count("*").over(all_).alias("n"))
     s = s.withColumn("baseline", F.max(F.when(F.col("k") == F.floor(0.5 * (F.col("n") - 1) + 0.5) + 1, F.col("score"))).over(all_))
     peaks = s.where((F.col("score") > F.col("a")) & (F.col("score") >= F.col("c")) & (F.col("score") > F.col("baseline")))
     peaks = peaks.withColumn("top", F.max("score").over(all_)).where(F.col("score") >= 0.5 * F.col("top"))
-    first = peaks.groupBy("image_id").agg(F.min(F.struct("lag", "a", "score", "c")).alias("p")).select("image_id", "p.*")
+    first = peaks.groupBy("image_id").agg(F.min(F.struct("lag", "a", "score", "c", "top", "baseline")).alias("p")).select("image_id", "p.*")
     bend = F.col("a") - 2 * F.col("score") + F.col("c")
     shift = F.when(bend != 0, 0.5 * (F.col("a") - F.col("c")) / F.when(bend != 0, bend))
-    first = first.select("image_id", (F.col("lag") + F.when(F.abs(shift) < 1, shift).otherwise(0.0)).alias("pitch"))
-    return scores.select("image_id").distinct().join(first, "image_id", "left").withColumn("pitch", F.coalesce("pitch", F.lit(0.0)))
+    strength = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("top") - F.col("baseline")) / (F.abs("top") + 1e-6)))
+    first = first.select("image_id", (F.col("lag") + F.when(F.abs(shift) < 1, shift).otherwise(0.0)).alias("pitch"), strength.alias("strength"))
+    return scores.select("image_id").distinct().join(first, "image_id", "left").na.fill(0.0, ["pitch", "strength"])
 
 
 def rim_colour(px: DataFrame, centres: DataFrame, inner: float = S.RIM_INNER, outer: float = S.RIM_OUTER) -> DataFrame:

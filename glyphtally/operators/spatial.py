@@ -108,8 +108,9 @@ def within(points: DataFrame, centres: DataFrame, group: str, reach: float) -> D
 
 
 def recall(markers: DataFrame, truth: DataFrame, group: str, radius: float) -> DataFrame:
-    """(group, truth, found, recall): true points with a marker of theirs, the nearest closer than TRUTH_FACTOR radii being a marker's own."""
-    near = snap(markers, truth, group, S.TRUTH_FACTOR * radius).where("hit IS NOT NULL")
-    found = near.select(group, "hit").distinct().groupBy(group).agg(F.count("*").alias("found"))
-    out = truth.groupBy(group).agg(F.count("*").alias("truth")).join(found, group, "left").na.fill(0, ["found"])
-    return out.withColumn("recall", F.col("found") / F.col("truth"))
+    """(group, truth, markers, matched, recall): markers whose nearest true point lies within TRUTH_FACTOR radii, and markers per true point."""
+    reach = S.TRUTH_FACTOR * radius
+    near = near_pairs(markers.select(group, "id", "x", "y"), as_right(truth.select(group, "id", "x", "y")), group, F.lit(float(reach))).where(F.col("distance") <= reach)
+    matched = near.groupBy(group).agg(F.count_distinct("id").alias("matched"))
+    out = truth.groupBy(group).agg(F.count("*").alias("truth")).join(markers.groupBy(group).agg(F.count("*").alias("markers")), group, "left").join(matched, group, "left")
+    return out.na.fill(0, ["markers", "matched"]).withColumn("recall", F.col("markers") / F.col("truth"))

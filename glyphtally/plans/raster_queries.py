@@ -146,7 +146,7 @@ def downscale_area(spark, sf_dir):
 
 
 def upscale_cubic(spark, sf_dir):
-    return R.upscale2(single(spark, sf_dir))
+    return R.upscale(single(spark, sf_dir), 16, 16)
 
 
 def crop_clamped(spark, sf_dir):
@@ -163,7 +163,7 @@ def autocorrelation(spark, sf_dir):
 
 def pitch_peak(spark, sf_dir):
     scores = R.lag_scores(mosaic(spark, sf_dir), range(4, 11), 3).withColumn("score", F.round("score", 6))
-    return R.pitch_peak(scores).withColumn("pitch", F.round("pitch", 6))
+    return R.pitch_peak(scores).withColumn("pitch", F.round("pitch", 6)).withColumn("strength", F.round("strength", 6))
 
 
 def rim_colour(spark, sf_dir):
@@ -269,10 +269,11 @@ SELECT image_id, y, x, round(sqrt(gx * gx + gy * gy), 6) AS mag, CASE WHEN gx *
 CASE o WHEN 1 THEN x WHEN 2 THEN 7 - x WHEN 3 THEN 7 - x WHEN 4 THEN x WHEN 5 THEN y WHEN 6 THEN 7 - y WHEN 7 THEN 7 - y ELSE y END AS nx, v FROM px, range(1, 9) t(o)""",
     "autocorrelation": f"WITH {LAGS} SELECT * FROM sc",
     "pitch_peak": f"""WITH {LAGS}, w AS (SELECT *, lag(score) OVER o AS a, lead(score) OVER o AS c, list_sort(list(score) OVER (PARTITION BY image_id)) AS l FROM sc WINDOW o AS (PARTITION BY image_id ORDER BY lag)),
-pk AS (SELECT * FROM w WHERE score > a AND score >= c AND score > l[floor(0.5e0 * (len(l) - 1) + 0.5e0)::INT + 1]),
+pk AS (SELECT *, l[floor(0.5e0 * (len(l) - 1) + 0.5e0)::INT + 1] AS mid FROM w WHERE score > a AND score >= c AND score > l[floor(0.5e0 * (len(l) - 1) + 0.5e0)::INT + 1]),
 f AS (SELECT image_id, arg_min((lag, a, score, c), lag) AS p FROM pk WHERE score >= 0.5e0 * (SELECT max(score) FROM pk q WHERE q.image_id = pk.image_id) GROUP BY image_id),
-g AS (SELECT image_id, p[1] AS lag, p[2] AS a, p[3] AS b, p[4] AS c FROM f)
-SELECT i.image_id, coalesce(round(lag + CASE WHEN a - 2 * b + c <> 0 AND abs(0.5e0 * (a - c) / (a - 2 * b + c)) < 1 THEN 0.5e0 * (a - c) / (a - 2 * b + c) ELSE 0e0 END, 6), 0e0) AS pitch FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN g USING (image_id)""",
+st AS (SELECT image_id, greatest(0e0, least(1e0, (max(score) - max(mid)) / (abs(max(score)) + 1e-6))) AS strength FROM pk GROUP BY image_id),
+g AS (SELECT image_id, p[1] AS lag, p[2] AS a, p[3] AS b, p[4] AS c, strength FROM f JOIN st USING (image_id))
+SELECT i.image_id, coalesce(round(strength, 6), 0e0) AS strength, coalesce(round(lag + CASE WHEN a - 2 * b + c <> 0 AND abs(0.5e0 * (a - c) / (a - 2 * b + c)) < 1 THEN 0.5e0 * (a - c) / (a - 2 * b + c) ELSE 0e0 END, 6), 0e0) AS pitch FROM (SELECT DISTINCT image_id FROM px) i LEFT JOIN g USING (image_id)""",
     "rim_colour": f"""WITH {RGB}, ce AS (SELECT DISTINCT image_id, k::INT AS marker_id, 8 + 16 * (k // 2) AS cy, 8 + 16 * (k % 2) AS cx FROM px, range(0, 4) t(k))
 SELECT ce.image_id, marker_id, coalesce(round(avg(r), 6), 0e0) AS r, coalesce(round(avg(g), 6), 0e0) AS g, coalesce(round(avg(b), 6), 0e0) AS b FROM ce LEFT JOIN px ON px.image_id = ce.image_id
 AND (px.y - cy) * (px.y - cy) + (px.x - cx) * (px.x - cx) BETWEEN pow(16 * 0.18e0, 2) AND pow(16 * 0.26e0, 2) GROUP BY ALL""",

@@ -3,10 +3,11 @@
 import pytest
 
 from compare import DATA, database, same_rows
-from glyphtally.plans import raster_queries, table_queries, vector_queries
+from glyphtally.plans import detection_queries, marker_queries, raster_queries, table_queries, vector_queries
 
-QUERIES = vector_queries.QUERIES | raster_queries.QUERIES | table_queries.QUERIES
-ORACLES = vector_queries.ORACLES | raster_queries.ORACLES | table_queries.ORACLES
+PLANS = (vector_queries, raster_queries, table_queries, marker_queries, detection_queries)
+QUERIES = {name: query for plan in PLANS for name, query in plan.QUERIES.items()}
+ORACLES = {name: sql for plan in PLANS for name, sql in plan.ORACLES.items()}
 
 
 @pytest.fixture(scope="module")
@@ -19,8 +20,8 @@ def test_rows(spark, con, name):
     same_rows(QUERIES[name](spark, DATA), con, ORACLES[name])
 
 
-def test_all_but_readings_have_sql():
-    assert set(QUERIES) - set(ORACLES) == {"digit_reading"}
+def test_all_but_few_have_sql():
+    assert set(QUERIES) - set(ORACLES) == {"digit_reading", "detected_digits", "extracted_glyphs"} and not set(ORACLES) - set(QUERIES)
 
 
 def test_entry(spark):
