@@ -227,16 +227,27 @@ def crop_clamped(px: DataFrame, top: int, left: int, side: int) -> DataFrame:
     return grid.join(px, ["image_id", "y", "x"]).select("image_id", F.col("oy").alias("y"), F.col("ox").alias("x"), "v")
 
 
-def oriented(px: DataFrame) -> DataFrame:
-    """Every pixel at its place under each of the eight EXIF orientations: orientation, ny, nx."""
+def _placed(px: DataFrame) -> DataFrame:
+    """``px`` (with orientation) and the place ny, nx of every pixel when its image is set upright."""
     size = px.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
-    at = px.join(size, "image_id").withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(1, 9)])))
+    at = px.join(size, "image_id")
     x, y, rx, ry = F.col("x"), F.col("y"), F.col("w") - F.col("x"), F.col("h") - F.col("y")
     places = {1: (x, y), 2: (rx, y), 3: (rx, ry), 4: (x, ry), 5: (y, x), 6: (ry, x), 7: (ry, rx), 8: (y, rx)}
-    pick = lambda k: F.coalesce(*[F.when(F.col("orientation") == o, p[k]) for o, p in places.items()])
+    pick = lambda k: F.coalesce(*[F.when(F.col("orientation") == o, p[k]) for o, p in places.items()], places[1][k])
     return at.withColumn("nx", pick(0)).withColumn("ny", pick(1)).drop("h", "w")
 
 
+def oriented(px: DataFrame) -> DataFrame:
+    """Every pixel at its place under each of the eight EXIF orientations: orientation, ny, nx."""
+    return _placed(px.withColumn("orientation", F.explode(F.array(*[F.lit(k) for k in range(1, 9)]))))
+
+
+def upright(px: DataFrame, orientations: DataFrame) -> DataFrame:
+    """Images turned upright by their orientations (image_id, orientation); others than 2 to 8 change nothing."""
+    placed = _placed(px.join(orientations, "image_id", "left").withColumn("orientation", F.coalesce("orientation", F.lit(1))))
+    return placed.drop("orientation", "y", "x").withColumnsRenamed({"ny": "y", "nx": "x"})
+
+
 def lag_scores(px: DataFrame, lags: range, radius: int) -> DataFrame:
     """(image_id, lag, score): mean product of pixels a lag apart, on flattened images, every other row and column."""
     flat = flatten(px, radius)

@@ -165,7 +165,9 @@ inn AS (SELECT image_id, label FROM labg GROUP BY ALL HAVING max((y IN (0, 7) OR
 ow AS (SELECT c.image_id, c.label AS hole, arg_min(i.label, (c.y * 8 + c.x, CASE WHEN i.x < c.x THEN 0 WHEN i.x > c.x THEN 1 WHEN i.y < c.y THEN 2 ELSE 3 END)) AS label FROM cell c JOIN labi i ON i.image_id = c.image_id AND abs(i.y - c.y) + abs(i.x - c.x) = 1 GROUP BY ALL),
 ar AS (SELECT image_id, label AS hole, count(*) AS area FROM cell GROUP BY ALL), hs AS (SELECT image_id, label, count(*) AS holes, sum(area)::BIGINT AS hole_area FROM ow JOIN ar USING (image_id, hole) GROUP BY ALL)
 SELECT l.image_id, l.label::BIGINT AS label, coalesce(holes, 0) AS holes, coalesce(hole_area, 0) AS hole_area FROM (SELECT DISTINCT image_id, label FROM labi) l LEFT JOIN hs USING (image_id, label)""",
-    "downscaled": f"WITH {RQ.MOSAIC} {_shrunk('px', 32, 13)}",
+    "downscaled": f"""WITH {RQ.MOSAIC}, sz AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w, greatest(1, floor((max(y) + 1) * 0.4e0 + 0.5e0)) AS dh, greatest(1, floor((max(x) + 1) * 0.4e0 + 0.5e0)) AS dw FROM px GROUP BY image_id),
+ly AS (SELECT image_id, t, floor(t * (h / dh)) AS lo, least(h, greatest(floor(t * (h / dh)) + 1, floor((t + 1) * (h / dh)))) AS hi FROM sz, range(0, 32) r(t) WHERE t < dh), lx AS (SELECT image_id, t, floor(t * (w / dw)) AS lo, least(w, greatest(floor(t * (w / dw)) + 1, floor((t + 1) * (w / dw)))) AS hi FROM sz, range(0, 32) r(t) WHERE t < dw)
+SELECT px.image_id, ly.t::INT AS y, lx.t::INT AS x, {RQ.CLAMP.format('avg(v)')} AS v FROM px JOIN ly ON ly.image_id = px.image_id AND y >= ly.lo AND y < ly.hi JOIN lx ON lx.image_id = px.image_id AND x >= lx.lo AND x < lx.hi GROUP BY ALL""",
     "upscaled": f"WITH {RQ.SINGLE}, {_stretch('px', 'ac', 'x', 'y', 8, 13)}, {_stretch('ac', 'dn', 'y', 'x', 8, 19)} SELECT image_id, y, x, {RQ.CLAMP.format('v')} AS v FROM dn",
     "resampled": f"""WITH {RQ.SINGLE}, {RQ._mosaic_sql(4, 'mo')}, {_stretch('px', 'ac', 'x', 'y', 8, 12)}, {_stretch('ac', 'dn', 'y', 'x', 8, 12)} SELECT image_id, y, x, {RQ.CLAMP.format('v')} AS v FROM dn
 UNION ALL SELECT -image_id - 1, y, x, v FROM ({_shrunk('mo', 32, 12)})""",

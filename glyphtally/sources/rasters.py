@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphtally.functions.numeric import clamp8
+from glyphtally.operators.raster import downscale_by
 
 MAX_PIXELS = 24_000_000
 TRUTH_SCHEMA = "image string, counts map<string,long>, total long, notes string"
@@ -38,25 +39,70 @@ def image_files(spark: SparkSession, path: str) -> DataFrame:
     return images.select("image.origin", "image.height", "image.width", "image.nChannels", "image.data").toDF("path", "height", "width", "channels", "data")
 
 
-def file_pixels(images: DataFrame) -> DataFrame:
+def file_pixels(images: DataFrame, most: int = MAX_PIXELS) -> DataFrame:
     """(path, y, x, r, g, b) of decoded files; the reader stores blue first.
 
-    Pictures above MAX_PIXELS are thinned to every k-th row and column.
+    Pictures above ``most`` pixels are reduced to about so many, every pixel the mean of those it stands for.
     """
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("height").cast("double") * F.col("width") / MAX_PIXELS))).cast("int")
-    at = images.withColumn("step", step).withColumn("y", F.explode(F.sequence(F.lit(0), F.floor((F.col("height") - 1) / F.col("step")).cast("int"))))
-    row = F.substring(F.col("data"), F.col("y") * F.col("step") * F.col("width") * F.col("channels") + 1, F.col("width") * F.col("channels"))
-    at = at.select("path", "y", "width", "channels", "step", row.alias("row"))
-    at = at.withColumn("x", F.explode(F.sequence(F.lit(0), F.floor((F.col("width") - 1) / F.col("step")).cast("int"))))
+    pixels = F.col("height").cast("long") * F.col("width")
+    small, large = _all_pixels(images.where(pixels <= most)), _all_pixels(images.where(pixels > most))
+    reduced = downscale_by(large.withColumnRenamed("path", "image_id"), F.sqrt(F.lit(float(most)) / (F.col("h") * F.col("w"))), ("r", "g", "b"))
+    return small.unionByName(reduced.withColumnRenamed("image_id", "path"))
+
+
+def _all_pixels(images: DataFrame) -> DataFrame:
+    at = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("height") - 1)))
+    row = F.substring(F.col("data"), F.col("y") * F.col("width") * F.col("channels") + 1, F.col("width") * F.col("channels"))
+    at = at.select("path", "y", "width", "channels", row.alias("row")).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("width") - 1)))
 
     def channel(k: int) -> Column:
         k = F.when(F.col("channels") >= 3, k).otherwise(0)
-        return F.conv(F.hex(F.substring(F.col("row"), F.col("x") * F.col("step") * F.col("channels") + k + 1, F.lit(1))), 16, 10).cast("int")
+        return F.conv(F.hex(F.substring(F.col("row"), F.col("x") * F.col("channels") + k + 1, F.lit(1))), 16, 10).cast("int")
 
     return at.select("path", "y", "x", channel(2).alias("r"), channel(1).alias("g"), channel(0).alias("b"))
 
 
+def exif_orientation(content: bytes) -> int:
+    """The orientation tag of a JPEG file, in either byte order; 1 without one or in a broken file."""
+    try:
+        if content[:2] != b"\xff\xd8":
+            return 1
+        at = 2
+        while content[at] == 0xFF and content[at + 1] != 0xDA:
+            size = int.from_bytes(content[at + 2:at + 4], "big")
+            if content[at + 1] == 0xE1 and content[at + 4:at + 10] == b"Exif\0\0":
+                tiff = content[at + 10:at + 2 + size]
+                order = "little" if tiff[:2] == b"II" else "big"
+                first = int.from_bytes(tiff[4:8], order)
+                for k in range(int.from_bytes(tiff[first:first + 2], order)):
+                    entry = tiff[first + 2 + 12 * k:first + 14 + 12 * k]
+                    if int.from_bytes(entry[:2], order) == 0x0112:
+                        return int.from_bytes(entry[8:10], order)
+                return 1
+            at += 2 + size
+    except IndexError:
+        pass
+    return 1
+
+
+def orientations(spark: SparkSession, path: str) -> DataFrame:
+    """(path, orientation) of the JPEG and PNG files; the image reader itself drops the tag."""
+    tag = F.pandas_udf(lambda s: s.map(exif_orientation), "int")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{png,jpg,jpeg,PNG,JPG,JPEG}").load(path)
+    return files.select("path", tag("content").alias("orientation"))
+
+
+def base_name(path: Column) -> Column:
+    """The file's name without folders and extension."""
+    return F.regexp_replace(F.regexp_extract(path, r"([^/]*)$", 1), r"\.[^.]*$", "")
+
+
+def truth_for(images: DataFrame, truth: DataFrame) -> DataFrame:
+    """``images`` (path, ...) with the hand counts (file, number, expected) of the same base name; null where there are none."""
+    return images.withColumn("__name", base_name(F.col("path"))).join(truth.withColumn("__name", base_name(F.col("file"))).drop("file"), "__name", "left").drop("__name")
+
+
 def truth_files(spark: SparkSession, path: str) -> DataFrame:
-    """(image, number, expected) of hand counts kept as JSON."""
-    truth = spark.read.schema(TRUTH_SCHEMA).option("multiLine", True).json(path)
-    return truth.select("image", F.explode("counts").alias("number", "expected")).withColumn("number", F.col("number").cast("int"))
+    """(file, image, number, expected) of hand counts kept as JSON."""
+    truth = spark.read.schema(TRUTH_SCHEMA).option("multiLine", True).json(path).select("*", "_metadata.file_path")
+    return truth.select(F.col("file_path").alias("file"), "image", F.explode("counts").alias("number", "expected")).withColumn("number", F.col("number").cast("int"))

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from glyphtally.functions.digits import raster
 from glyphtally.functions.numeric import clamp8, csv_field, margin, plain_number, round_half_up
-from glyphtally.operators import counting as C, graph, raster as R, reading, spatial, vectors as V
+from glyphtally.operators import counting as C, detection as D, glyphs as G, graph, raster as R, reading, spatial, vectors as V
+from glyphtally.operators.lineage import numbered, order_statistics
 from glyphtally.sources import rasters
 
 # A 4x4 cell of the 32x32 digit is '#' where at least 22 % of it is ink.
@@ -119,10 +120,12 @@ def test_truth_round_trip(spark, tmp_path):
 
 
 def test_json_documents(spark):
-    m = spark.createDataFrame([(0, 1, 4, None, "high", False, 1.0, 2.0, 3.0)], MARKER + ", x double, y double, radius double")
-    got = json.loads(C.json_documents(m, "image_id").collect()[0].json)
-    assert got["version"] == 1 and got["counts"] == {"4": 1} and got["markers"][0]["number"] == 4
-    assert C.truth_documents(m, "image_id").collect()[0].counts == {"4": 1}
+    rows = [(0, k, n, None, "high", False, 1.0, 2.0, 3.0, "group") for k, n in enumerate((10, 4, 2, 10))]
+    m = spark.createDataFrame(rows, MARKER + ", x double, y double, radius double, method string")
+    text = C.json_documents(m, "image_id").collect()[0].json
+    got = json.loads(text)
+    assert got["version"] == 1 and list(got["summary"]["counts"].items()) == [("2", 1), ("4", 1), ("10", 2)] and [x["number"] for x in got["markers"]] == [10, 4, 2, 10]
+    assert '"2":1,"4":1,"10":2' in C.truth_documents(m, "image_id").select(C.truth_text()).collect()[0][0]
 
 
 def _png(path, rows):
@@ -139,6 +142,45 @@ def test_image_files(spark, tmp_path):
     assert got == {(y, x): rows[y][x] for y in range(2) for x in range(2)}
 
 
+def test_large_images_are_averaged(spark, tmp_path):
+    rows = [[(10 * y + x, 100, 2 * x) for x in range(8)] for y in range(6)]
+    _png(tmp_path / "a.png", rows)
+    got = {(r.y, r.x): (r.r, r.g, r.b) for r in rasters.file_pixels(rasters.image_files(spark, str(tmp_path)), most=12).collect()}
+    mean = lambda y, x, k: round(sum(rows[2 * y + j][2 * x + i][k] for j in (0, 1) for i in (0, 1)) / 4)  # noqa: E731  3 x 4 pixels of four each
+    assert got == {(y, x): tuple(mean(y, x, k) for k in range(3)) for y in range(3) for x in range(4)}
+
+
+@pytest.mark.parametrize("order", ["little", "big"])
+def test_exif(order):
+    n = lambda v, k: v.to_bytes(k, order)
+    entry = lambda tag, v: n(tag, 2) + n(3, 2) + n(1, 4) + n(v, 2) + b"\0\0"
+    tiff = (b"II" if order == "little" else b"MM") + n(42, 2) + n(8, 4) + n(2, 2) + entry(0x0100, 9) + entry(0x0112, 6) + n(0, 4)
+    part = b"Exif\0\0" + tiff
+    jpeg = b"\xff\xd8\xff\xe0\0\4ab\xff\xe1" + (len(part) + 2).to_bytes(2, "big") + part + b"\xff\xda"
+    assert rasters.exif_orientation(jpeg) == 6
+    assert [rasters.exif_orientation(x) for x in (b"", b"\xff\xd8", b"\x89PNG", jpeg[:20], b"\xff\xd8\xff\xda\0\0")] == [1] * 5
+
+
+def test_upright_and_orientations_of_files(spark, tmp_path):
+    _png(tmp_path / "a.png", [[(1, 1, 1)]])
+    assert [r.orientation for r in rasters.orientations(spark, str(tmp_path)).collect()] == [1]
+    px = _px(spark, [[1, 2, 3], [4, 5, 6]])
+    turned = R.upright(px, spark.createDataFrame([(0, 6)], "image_id long, orientation int"))
+    assert {(r.y, r.x): r.v for r in turned.collect()} == {(0, 0): 4, (0, 1): 1, (1, 0): 5, (1, 1): 2, (2, 0): 6, (2, 1): 3}
+
+
+def test_truth_by_base_name(spark, tmp_path):
+    (tmp_path / "one.json").write_text(json.dumps({"image": "x", "counts": {"2": 5}}))
+    images = spark.createDataFrame([("file:/a/b/one.v1.png",), ("file:/a/one.jpg",), ("file:/a/two.png",)], "path string")
+    got = {r.path[-7:]: r.expected for r in rasters.truth_for(images, rasters.truth_files(spark, str(tmp_path))).collect()}
+    assert got == {".v1.png": None, "one.jpg": 5, "two.png": None}
+
+
+def test_contrast_with_everything_clipped(spark):
+    got = [r.v for r in R.auto_contrast(_px(spark, [[3, 200], [90, 91]]), 100).orderBy("y", "x").collect()]
+    assert got == [3, 200, 90, 91]
+
+
 points = st.lists(st.tuples(st.integers(0, 60), st.integers(0, 60), st.integers(0, 9)), min_size=1, max_size=25)
 
 
@@ -182,3 +224,82 @@ def test_streamed_corrections(spark, tmp_path):
     last = spark.read.parquet(f"{kept}/version=1")
     m = spark.createDataFrame([(0, 1, 4, None, "high", False), (0, 2, 4, None, "high", False)], MARKER)
     assert {r.marker_id: r.manual_number for r in apply_corrections(m, last).collect()} == {1: 5, 2: None}
+
+
+def _blob(spark, at, height=8, width=3, page=80, level=30):
+    """A page of light paper with dark bars at the given corners."""
+    ink = {(y + j, x + i) for y, x in at for j in range(height) for i in range(width)}
+    return _px(spark, [[level if (y, x) in ink else 230 for x in range(page)] for y in range(page)])
+
+
+def test_detects_one_digit_per_marker(spark):
+    at = [(10, 10), (10, 40), (40, 12), (42, 60)]
+    got = D.detect(_blob(spark, at), 20.0).collect()
+    assert sorted((round(r.y), round(r.x)) for r in got) == sorted((y + 4, x + 1) for y, x in at)
+    assert all(r.score > 150 and not r.inverted and r.face_mean == 230 and r.glyph_mean == 30 for r in got)
+
+
+def test_light_digits_only_where_enough_dark_ones_are(spark):
+    dark = [(10, 10), (10, 40), (40, 10), (40, 40)]
+    px = _blob(spark, dark).withColumn("v", F.when(F.col("y").between(55, 78) & F.col("x").between(55, 78), F.when(F.col("y").between(63, 70) & F.col("x").between(65, 67), 240).otherwise(25)).otherwise(F.col("v")))
+    light = {(round(r.y), round(r.x), r.inverted) for r in D.detect_both(px, 20.0, least=4).collect()}
+    assert light == {(y + 4, x + 1, False) for y, x in dark} | {(66, 66, True)}
+    assert {r.inverted for r in D.detect_both(px, 20.0, least=8).collect()} == {False}
+    tap = spark.createDataFrame([(0, 1, 66.0, 66.0)], "image_id long, id long, x double, y double")
+    assert any(r.inverted for r in D.detect_for(px.join(spark.range(1).withColumnRenamed("id", "image_id"), "image_id"), 20.0, tap).collect()) is False  # fewer than eight
+
+
+parts = st.lists(st.tuples(st.integers(0, 40), st.integers(0, 40), st.integers(1, 5), st.integers(1, 5), st.integers(0, 9)), min_size=1, max_size=12)
+
+
+@settings(max_examples=4, deadline=None)
+@given(parts)
+def test_merging_parts(spark, boxes):
+    pitch = 20.0
+    items = [{"image_id": 0, "id": k, "x": x + (w - 1) / 2, "y": y + (h - 1) / 2, "min_x": x, "max_x": x + w - 1, "min_y": y, "max_y": y + h - 1, "score": float(s)} for k, (y, x, h, w, s) in enumerate(boxes)]
+    want, open_ = [], list(items)
+    while open_:
+        group, rest = [open_[0]], []
+        for r in open_[1:]:
+            near = any(math.hypot(g["x"] - r["x"], g["y"] - r["y"]) < 6 for g in group)
+            all_ = [*group, r]
+            fits = max(g["max_x"] for g in all_) - min(g["min_x"] for g in all_) <= 11 and max(g["max_y"] for g in all_) - min(g["min_y"] for g in all_) <= 11
+            (group if near and fits else rest).append(r)
+        want.append((min(g["min_x"] for g in group), max(g["max_x"] for g in group), min(g["min_y"] for g in group), max(g["max_y"] for g in group), max(g["score"] for g in group)))
+        open_ = rest
+    df = spark.createDataFrame([(0, (0, i["id"]), i["x"], i["y"], i["min_x"], i["max_x"], i["min_y"], i["max_y"], 0.0, 0.0, 0.0, 0.0, i["score"]) for i in items],
+                               "image_id long, id struct<image_id:long,number:long>, x double, y double, min_x int, max_x int, min_y int, max_y int, glyph_mean double, face_mean double, face_contrast double, roughness double, score double")
+    assert sorted((r.min_x, r.max_x, r.min_y, r.max_y, r.score) for r in D.merge_parts(df, pitch).collect()) == sorted(want)
+
+
+def test_extracted_digit_fills_its_raster(spark):
+    px = _blob(spark, [(10, 10)], height=14, width=7, page=40)
+    got = G.extract(px, D.detect(px, 24.0), 24.0).collect()[0]
+    assert (got.aspect, got.density) == (0.5, 1.0) and len(got.data) == 1024
+    rows = {k // 32 for k, v in enumerate(got.data) if v == 1.0}
+    columns = {k % 32 for k, v in enumerate(got.data) if v == 1.0}
+    assert rows == set(range(2, 30)) and columns == set(range(9, 23)) and abs(sum(got.glyph) - sum(got.data)) < 1e-6
+
+
+def test_average_of_glyphs(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0], 1.0, 0.5), (0, [0.0, 0.0, 0.0, 1.0], 3.0, 0.7)], "g int, data array<double>, aspect double, density double")
+    got = G.average_glyphs(df, "g", 2).collect()[0]
+    assert got.data == [0.5, 0.0, 0.0, 0.5] and (got.aspect, got.density) == (2.0, 0.6) and abs(sum(got.glyph) - 1) < 1e-9
+
+
+@settings(max_examples=4, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(-5, 30)), min_size=1, max_size=60))
+def test_order_statistics_and_numbers(spark, rows):
+    df = spark.createDataFrame([(g, float(v)) for g, v in rows], "g int, v double")
+    got = {r.g: (r.n, r.a, r.b) for r in order_statistics(df, "g", "v", {"a": F.floor(F.col("n") / 2), "b": F.floor(0.9 * (F.col("n") - 1))}).collect()}
+    by = {g: sorted(v for h, v in rows if h == g) for g, _ in rows}
+    assert got == {g: (len(s), s[len(s) // 2], s[math.floor(0.9 * (len(s) - 1))]) for g, s in by.items()}
+    placed = numbered(df, ["v", "g"], "k").collect()
+    assert sorted(r.k for r in placed) == list(range(len(rows))) and [(r.v, r.g) for r in sorted(placed, key=lambda r: r.k)] == sorted((float(v), g) for g, v in rows)
+
+
+def test_no_survivors_keeps_all(spark):
+    df = spark.createDataFrame([(k, k // 2) for k in range(6)], "id long, g int")
+    assert {r.g: r.rank for r in V.survivors(df, "g").collect()} == {0: 0, 1: 1, 2: 2}
+    glyphs = spark.createDataFrame([(k, [1.0, float(k)]) for k in range(6)], "id long, glyph array<double>")
+    assert {(r.id, r.g) for r in V.dissolve(glyphs, df, "id", "g").collect()} == {(k, k // 2) for k in range(6)}
