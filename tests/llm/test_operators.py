@@ -72,10 +72,8 @@ def small_blocks(monkeypatch):
         monkeypatch.setattr(ng, name, size)
 
 
-@pytest.mark.parametrize("small", [False, True])
-def test_ngram_join(spark, docs, rows, small, monkeypatch):
-    if small:
-        small_blocks(monkeypatch)
+def test_ngram_join(spark, docs, rows, monkeypatch):
+    small_blocks(monkeypatch)
     sets = {r[0]: shingles(r[1]) for r in rows}
     want = linked(sets)
     got = ng.ngram_jaccard_join(spark, docs).collect()
