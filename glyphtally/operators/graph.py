@@ -39,14 +39,15 @@ def connected(edges: DataFrame, group: str) -> DataFrame:
     while True:
         both = held.union(held.select(group, "m", "n")).toDF(group, "n", "m")
         least = both.groupBy(group, "n").agg(F.least(F.col("n"), F.min("m")).alias("head"))
-        large = cut(both.where("m > n").join(least, [group, "n"]).select(group, F.col("m").alias("n"), F.col("head").alias("m")).distinct())
-        least = large.groupBy(group, "n").agg(F.min("m").alias("head"))
-        small = large.join(least, [group, "n"]).where("m <> head").select(group, F.col("m").alias("n"), F.col("head").alias("m"))
-        new = cut(least.select(group, "n", F.col("head").alias("m")).union(small).distinct())
+        large = both.where("m > n").join(least, [group, "n"]).select(group, F.col("m").alias("n"), F.col("head").alias("m"))
+        least = large.groupBy(group, "n").agg(F.min("m").alias("head"), F.collect_set("m").alias("others"))
+        # a node's own edge, and those that hang its other neighbours on its head
+        ways = F.concat(F.array(F.struct(F.col("n").alias("n"), F.lit(False).alias("more"))), F.transform(F.array_remove("others", F.col("head")), lambda m: F.struct(m.alias("n"), F.lit(True).alias("more"))))
+        held = cut(least.select(group, "head", F.explode(ways).alias("w")).select(group, "w.n", F.col("head").alias("m"), "w.more").groupBy(group, "n", "m").agg(F.max("more").alias("more")))
+        loose = held.where("more").limit(1).count()
+        held = held.drop("more")
         # done when every node hangs on one head that hangs on nothing
-        loose = small.limit(1).count() or new.join(new.select(group, F.col("n").alias("m")).distinct(), [group, "m"], "left_semi").limit(1).count()
-        held = new
-        if not loose:
+        if not loose and not held.join(held.select(group, F.col("n").alias("m")).distinct(), [group, "m"], "left_semi").limit(1).count():
             heads = held.select(group, F.col("m").alias("spot"), F.col("m").alias("head")).distinct()
             return held.toDF(group, "spot", "head").union(heads)
 

@@ -7,6 +7,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -129,19 +131,28 @@ def settle(items: DataFrame, beats: DataFrame) -> DataFrame:
 def leaders(df: DataFrame, id_col: str, limit: float = S.JOIN_DISTANCE, batch: int = 512) -> DataFrame:
     """(id, leader): in order of id, a glyph joins the nearest leader before it that is closer than the limit, else it leads.
 
-    The first ``batch`` open glyphs are settled among themselves; what their leaders take is no longer open. So comparisons grow with the glyphs times the leaders.
+    The first ``batch`` open glyphs, and never more, are folded in one task; what their leaders take is no longer open. So comparisons grow with the
+    glyphs times the leaders, and rounds with the leaders over the batch.
     """
-    items = df.select(F.col(id_col).alias("id"), "glyph")
-    open_, found = cut(items), []
+    items = cut(df.select(F.col(id_col).alias("id"), "glyph"))
+    open_, found = items, []
+
+    def lead(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, kept = pdf.sort_values("id").reset_index(drop=True), []
+        x = np.stack(pdf["glyph"].to_numpy())
+        for k in range(len(x)):
+            most = np.maximum(x[kept], x[k]).sum(1)
+            near = np.where(most > 0, np.abs(x[kept] - x[k]).sum(1) / np.maximum(most, 1e-300), S.BLANK_DISTANCE)
+            if not (near < limit).any():
+                kept.append(k)
+        return pdf.loc[kept]
+
     while open_.limit(1).count():
         first = cut(open_.orderBy("id").limit(batch))
-        pairs = distances(first.withColumnRenamed("id", "b"), first.withColumnRenamed("id", "a"), "b", "a").where(f"a < b AND distance < {limit}")
-        heads = settle(first, pairs).where("id = kept_as").select("id")
-        heads = cut(first.join(heads, "id"))
+        heads = cut(first.groupBy().applyInPandas(lead, first.schema))
         found.append(heads)
-        near = nearest(open_, heads.withColumnRenamed("id", "head"), "id", "head")
-        taken = near.where(F.col("best") < limit).select("id").union(heads.select("id")).union(first.select("id")).distinct()
-        open_ = cut(open_.join(taken, "id", "left_anti"))
+        near = nearest(open_.join(first.select("id"), "id", "left_anti"), heads.withColumnRenamed("id", "head"), "id", "head")
+        open_ = cut(open_.join(near.where(F.col("best") >= limit).select("id"), "id"))
     if not found:
         return items.select(F.col("id").alias(id_col), F.col("id").alias("leader"))
     led = cut(reduce(DataFrame.union, found)).withColumnRenamed("id", "leader")

@@ -37,7 +37,7 @@ def _groups(spark, sf_dir) -> DataFrame:
 
 def leader_seeds(spark, sf_dir):
     """Vectors by the first one close enough before them."""
-    return V.leaders(_glyphs(spark, sf_dir), "vec_id", limit=0.7)
+    return V.leaders(_glyphs(spark, sf_dir), "vec_id", limit=0.8)
 
 
 def refined_and_merged(spark, sf_dir):
@@ -270,7 +270,7 @@ _D = VQ._D
 _LEAD = "coalesce(greatest(0e0, least(1e0, {b} * (0.3e0 + 0.7e0 * least(1e0, CASE WHEN {b} > 0 THEN greatest(0e0, ({b} - {s}) / {b}) END / 0.35e0)))), 0e0)"
 
 ORACLES = {
-    "leader_seeds": f"""WITH RECURSIVE {VQ.CELLS}, {PAIRS}, nb AS (SELECT * FROM pd WHERE d < 0.7e0), it AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
+    "leader_seeds": f"""WITH RECURSIVE {VQ.CELLS}, {PAIRS}, nb AS (SELECT * FROM pd WHERE d < 0.8e0), it AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) AS k FROM embeddings),
 f AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS kept, NULL::BIGINT AS vec_id, NULL::BIGINT AS leader UNION ALL
   SELECT it.k, CASE WHEN h.a IS NULL THEN list_append(f.kept, it.vec_id) ELSE f.kept END, it.vec_id, coalesce(h.a, it.vec_id) FROM f JOIN it ON it.k = f.k + 1
   LEFT JOIN nb h ON h.b = it.vec_id AND h.a = (SELECT arg_min(q.a, (q.d, q.a)) FROM nb q WHERE q.b = it.vec_id AND list_contains(f.kept, q.a)))
