@@ -32,6 +32,8 @@ SCALE = 0.6
 PROBES = 8
 #: Vectors of one cell that a task compares with those that ask.
 CELL_BLOCK = 2000
+#: Rows of cells that are compared many at a time; larger ones go through matrix products of their own.
+SMALL = 64
 
 
 def _roots() -> np.ndarray:
@@ -146,18 +148,44 @@ def _linked(limit: float):
                 out.append(np.stack([np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p])], 1)[first])
         return pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"]) if out else None
 
+    def small(g: pd.DataFrame, lo: np.ndarray, size: np.ndarray) -> pd.DataFrame:
+        """As ``pairs``, of many small cells (first row, rows) of ``g`` at once: each own row with every row of its cell."""
+        ids, own, cell = g["id"].to_numpy(), g["own"].to_numpy(), g["cell"].to_numpy()
+        x, keys = np.frombuffer(b"".join(g["unit"]), np.float64).reshape(len(g), -1), np.vstack(g["cells"].to_numpy())
+        start, count = np.zeros(len(g), np.int64), np.zeros(len(g), np.int64)
+        rows = np.repeat(lo, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        start[rows], count[rows] = np.repeat(lo, size), np.repeat(size, size)
+        mine, out = np.flatnonzero(own & (count > 1)), []
+        for part in np.array_split(mine, max(1, int(count[mine].sum()) >> 15)):
+            n = count[part]
+            p = np.repeat(part, n)
+            q = np.repeat(start[part], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            near = (ids[p] != ids[q]) & (np.einsum("ij,ij->i", x[p], x[q]) >= limit)
+            p, q = p[near], q[near]
+            met = keys[q] == keys[p]
+            first = ~met.any(1) | (keys[q, met.argmax(1)] == cell[p])
+            out.append(np.stack([np.minimum(ids[q], ids[p]), np.maximum(ids[q], ids[p])], 1)[first])
+        return pd.DataFrame(np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64), columns=["a", "b"])
+
+    def searched(pdf: pd.DataFrame, cuts: np.ndarray) -> Iterator[pd.DataFrame]:
+        lo, size = cuts[:-1], np.diff(cuts)
+        many = (size > 1) & (size <= SMALL) & (pdf["unit"].map(len).nunique() == 1)
+        if many.any():
+            yield small(pdf, lo[many], size[many])
+        for k in np.flatnonzero((size > 1) & ~many):
+            if (found := pairs(pdf.iloc[lo[k]:lo[k] + size[k]])) is not None:
+                yield found
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
         for pdf in batches:
             pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
             cell, block = pdf["cell"].to_numpy(), pdf["block"].to_numpy()
-            cuts = np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1
-            for lo, hi in zip(np.append(0, cuts[:-1]), cuts):
-                if hi - lo > 1 and (found := pairs(pdf.iloc[lo:hi])) is not None:
-                    yield found
-            rest = pdf.iloc[cuts[-1] if len(cuts) else 0:]
-        if rest is not None and len(rest) > 1 and (found := pairs(rest)) is not None:
-            yield found
+            cuts = np.append(0, np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1])) + 1)
+            yield from searched(pdf, cuts)
+            rest = pdf.iloc[cuts[-1]:].reset_index(drop=True)
+        if rest is not None and len(rest) > 1:
+            yield from searched(rest, np.array([0, len(rest)]))
 
     return run
 

@@ -50,6 +50,19 @@ def shingles(text):
     return {tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
+def reached(links):
+    """The smallest node that each reaches over symmetric links."""
+    out = {}
+    for k in sorted(links):
+        todo = [k] if k not in out else []
+        while todo:
+            j = todo.pop()
+            if j not in out:
+                out[j] = k
+                todo += links[j]
+    return out
+
+
 def linked(sets):
     root = {i: i for i in sets}
 
@@ -332,8 +345,10 @@ def unit(v):
     return v / np.linalg.norm(v)
 
 
-def test_lattice(spark, monkeypatch):
+@pytest.mark.parametrize("small", [lat.SMALL, 2])
+def test_lattice(spark, small, monkeypatch):
     monkeypatch.setattr(lat, "CELL_BLOCK", 5)
+    monkeypatch.setattr(lat, "SMALL", small)
     r = np.random.default_rng(1)
     base = [r.standard_normal(24) for _ in range(60)]
     vectors = [(k, [float(x) for x in v]) for k, v in enumerate(base)]
@@ -346,6 +361,8 @@ def test_lattice(spark, monkeypatch):
     found = sum(got[k].n_links for k in good)
     assert found >= 0.9 * sum(map(len, want.values())) and all(got[k].n_links <= len(want[k]) for k in good)
     assert all((got[k].n_links, got[k].component_id, got[k].kept) == (0, k, True) for k in got if k >= 300) and len(got) == len(vectors)
+    if found == sum(map(len, want.values())):
+        assert {k: got[k].component_id for k in good} == reached(want)
     assert lat.near_duplicate_vectors(spark, df.where("false")).count() == 0
 
 
