@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glyphtally.functions.numeric import group_band, hole_penalty, match_band, polarity_rank
-from glyphtally.operators import counting, spatial, vectors as V
-from glyphtally.settings import NMS_DISTANCE, SNAP_DISTANCE
+from glyphtally.operators import counting, graph, reading, spatial, vectors as V
+from glyphtally.settings import CHAMFER_SCALE, NMS_DISTANCE, SNAP_DISTANCE
+from glyphtally.sources.rasters import vector_pixels
 
 PITCH = 100.0
 
@@ -122,10 +123,13 @@ def suppressed_neighbours(spark, sf_dir):
 
 
 def hole_penalties(spark, sf_dir):
-    """Similarity of each vector's label to its nearest number, with counters as id and label suggest."""
+    """Similarity of each vector to its nearest number, by distance and by the holes of its image against those of the digit."""
     near, *_ = _assigned(spark, sf_dir)
-    sim = F.exp(-F.col("best") * 10 / 2.2) * hole_penalty(F.col("vec_id") % 4, F.col("number") % 3)
-    return near.select("vec_id", F.round(sim, 6).alias("similarity"))
+    px = vector_pixels(table(spark, sf_dir)).repartition("image_id")
+    own = graph.holes(px, F.col("v") <= 140).withColumnRenamed("image_id", "vec_id")
+    digits = reading.template_holes(spark, 32).select(F.col("digit").alias("number"), F.col("holes").alias("expected"))
+    met = near.join(own, "vec_id").join(F.broadcast(digits), "number")
+    return met.select("vec_id", "holes", F.round(F.exp(-F.col("best") * 10 / CHAMFER_SCALE) * hole_penalty(F.col("holes"), F.col("expected")), 6).alias("similarity"))
 
 
 QUERIES = {f.__name__: f for f in (
@@ -193,5 +197,9 @@ f AS (SELECT label, 1::BIGINT AS k, [{{'x': x, 'y': y}}] AS kept, id, true AS st
   SELECT r.label, r.k, CASE WHEN len(list_filter(f.kept, lambda o: sqrt((o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y)) < 0.55e0 * 100)) = 0 THEN list_append(f.kept, {{'x': r.x, 'y': r.y}}) ELSE f.kept END,
   r.id, len(list_filter(f.kept, lambda o: sqrt((o.x - r.x) * (o.x - r.x) + (o.y - r.y) * (o.y - r.y)) < 0.55e0 * 100)) = 0 FROM f JOIN r ON r.label = f.label AND r.k = f.k + 1)
 SELECT id, stands AS kept FROM f""",
-    "hole_penalties": f"WITH {ASSIGNED} SELECT vec_id, round(exp(-best * 10 / 2.2e0) * CASE abs(least(2, vec_id % 4) - number % 3) WHEN 0 THEN 1e0 WHEN 1 THEN 0.45e0 ELSE 0.18e0 END, 6) AS similarity FROM nr",
+    "hole_penalties": f"""WITH RECURSIVE {ASSIGNED}, gap AS (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x FROM embeddings, range(1, 65) t(i) WHERE round_even(128 + 256 * embedding[i]::DOUBLE, 0) > 140),
+sp AS (SELECT *, y * 8 + x AS spot FROM gap), nb AS (SELECT a.image_id, a.spot AS s, b.spot AS t FROM sp a JOIN sp b ON a.image_id = b.image_id AND abs(a.y - b.y) + abs(a.x - b.x) <= 1),
+re AS (SELECT image_id, s, t FROM nb UNION SELECT re.image_id, re.s, nb.t FROM re JOIN nb ON re.image_id = nb.image_id AND re.t = nb.s), lb AS (SELECT image_id, s, min(t) AS label FROM re GROUP BY ALL),
+rg AS (SELECT image_id, label FROM lb GROUP BY ALL HAVING max((s // 8 IN (0, 7) OR s % 8 IN (0, 7))::INT) = 0), ho AS (SELECT vec_id, count(rg.label) AS holes FROM embeddings LEFT JOIN rg ON image_id = vec_id GROUP BY vec_id)
+SELECT vec_id, holes, round(exp(-best * 10 / 2.2e0) * CASE abs(least(2, holes) - CASE WHEN number = 8 THEN 2 WHEN number IN (0, 4, 6, 9) THEN 1 ELSE 0 END) WHEN 0 THEN 1e0 WHEN 1 THEN 0.45e0 ELSE 0.18e0 END, 6) AS similarity FROM nr JOIN ho USING (vec_id)""",
 }
