@@ -43,7 +43,7 @@ def leader_seeds(spark, sf_dir):
 def refined_and_merged(spark, sf_dir):
     """Three passes over the labels as clusters: averages rebuilt, close ones merged, vectors assigned anew."""
     glyphs = _glyphs(spark, sf_dir)
-    out = V.refine(glyphs.select("vec_id", "glyph"), glyphs.select("vec_id", F.col("label").alias("number")), "vec_id", "number", limit=0.3, digits=9)
+    out = V.refine(glyphs.select("vec_id", "glyph"), glyphs.select("vec_id", F.col("label").alias("number")), "vec_id", "number", limit=0.2, digits=9)
     return out.groupBy("number").agg(F.count("*").alias("members"), F.round(F.avg("best"), 6).alias("spread"))
 
 
@@ -254,7 +254,7 @@ def _merge(protos: str, out: str, limit: str) -> str:
 
 def _pass(members: str, k: int) -> str:
     return f"""r{k} AS (SELECT number::BIGINT AS number, pos, avg(c) AS p FROM cl JOIN {members} USING (vec_id) GROUP BY ALL),
-{_merge(f'r{k}', f'm{k}', '0.3e0')}, {VQ._dist('cl', f'm{k}', f'd{k}')}, {VQ._near(f'd{k}', f'n{k}')}"""
+{_merge(f'r{k}', f'm{k}', '0.2e0')}, {VQ._dist('cl', f'm{k}', f'd{k}')}, {VQ._near(f'd{k}', f'n{k}')}"""
 
 
 GROUPS = f"""{VQ.ASSIGNED}, gp AS (SELECT number AS grp, pos, avg(c) AS p FROM cl JOIN nr USING (vec_id) GROUP BY ALL),

@@ -70,7 +70,7 @@ def refined_clusters(spark, sf_dir):
 def merged_prototypes(spark, sf_dir):
     """Averages of the labels merged where closer than a wide limit, in order."""
     _, protos = _by_label(spark, sf_dir)
-    return V.merge_close(protos, "label", limit=0.3)
+    return V.merge_close(protos, "label", limit=0.2)
 
 
 def surviving_clusters(spark, sf_dir):
@@ -169,7 +169,7 @@ SELECT label, count(*) AS members, round(avg(d), 6) AS spread, round(greatest(0e
     "refined_clusters": f"""WITH {ASSIGNED}, p2 AS (SELECT number, pos, avg(c) AS p FROM cl JOIN nr USING (vec_id) GROUP BY ALL), {_dist('cl', 'p2', 'd2')}, {_near('d2', 'n2')}
 SELECT number, count(*) AS members, round(avg(best), 6) AS spread FROM n2 GROUP BY number""",
     "merged_prototypes": f"""WITH RECURSIVE {PROTO}, nb AS (SELECT a.number AS a, b.number AS b FROM pt a JOIN pt b USING (pos) WHERE a.number < b.number GROUP BY ALL
-  HAVING CASE WHEN sum(greatest(a.p, b.p)) > 0 THEN sum(abs(a.p - b.p)) / sum(greatest(a.p, b.p)) ELSE 1e0 END < 0.3e0),
+  HAVING CASE WHEN sum(greatest(a.p, b.p)) > 0 THEN sum(abs(a.p - b.p)) / sum(greatest(a.p, b.p)) ELSE 1e0 END < 0.2e0),
 it AS (SELECT number, row_number() OVER (ORDER BY number) AS k FROM (SELECT DISTINCT number FROM pt)),
 f AS (SELECT 0::BIGINT AS k, []::INT[] AS kept, NULL::INT AS id, NULL::INT AS kept_as UNION ALL
   SELECT it.k, CASE WHEN h.a IS NULL THEN list_append(f.kept, it.number) ELSE f.kept END, it.number, coalesce(h.a, it.number) FROM f JOIN it ON it.k = f.k + 1
