@@ -10,11 +10,14 @@ from .decontaminate import contaminated
 from .html_main import main_text_of
 from .langid import fit_languages, language_of
 from .lattice_dedup import near_duplicate_vectors
+from .lexical_search import ORACLE as lexical_oracle
+from .lexical_search import lexical_search
 from .line_dedup import dedup_page_lines
 from .line_dedup import oracle as line_oracle
 from .mixture import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .shard_pack import pack_shards
+from .token_align import align_tokens
 from .token_order import materialise_training_order
 from .toxicity import fit_toxicity, toxicity_of
 
@@ -86,6 +89,17 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two public tokenizers on every document, and how common the links are."""
+    return align_tokens(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best documents of every benchmark item."""
+    found = lexical_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
 QUERIES = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -97,5 +111,7 @@ QUERIES = {
     "op8_html_main_text": op8_html_main_text,
     "op9_training_order": op9_training_order,
     "op10_source_mixture": op10_source_mixture,
+    "op11_token_alignment": op11_token_alignment,
+    "op13_lexical_search": op13_lexical_search,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle()}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle(), "op13_lexical_search": lexical_oracle}
