@@ -128,11 +128,12 @@ def connected(scratch: Scratch, edges: DataFrame, a: str, b: str, name: str) ->
 # --- hashing of words, in numpy over whole batches -------------------------------------------
 
 _rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+CASED = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BYTE = CASED.copy()
 _BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-_BYTE[_SPACE] = 0
+_BYTE[_SPACE] = CASED[_SPACE] = 0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -156,8 +157,8 @@ def chunks(texts: list, size: int = 1 << 18, most: int = 4096):
         yield start, len(texts)
 
 
-def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+``, A-Z lower-cased, and each text's word bounds."""
+def word_hashes(texts: list, bytes_as: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` and each text's word bounds. A-Z are lower-cased unless bytes are read as CASED."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
     ends = np.cumsum([len(r) + 1 for r in raw])
     buf = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
@@ -168,7 +169,7 @@ def word_hashes(texts: list) -> tuple[np.ndarray, np.ndarray]:
     spans = np.diff(np.append(starts, len(buf)))
     place = np.arange(len(buf) - starts[0]) - np.repeat(starts - starts[0], spans)
     powers = np.cumprod(np.full(int(spans.max()) + 1, _STEP | np.uint64(1), np.uint64))
-    h = mix64(np.add.reduceat(_BYTE[buf[starts[0]:]] * powers[place], starts - starts[0]))
+    h = mix64(np.add.reduceat(bytes_as[buf[starts[0]:]] * powers[place], starts - starts[0]))
     return h, np.concatenate(([0], np.searchsorted(starts, ends)))
 
 

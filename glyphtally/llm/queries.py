@@ -17,6 +17,8 @@ from .line_dedup import oracle as line_oracle
 from .mixture import mix_sources
 from .ngram_join import ngram_jaccard_join
 from .shard_pack import pack_shards
+from .substring_dedup import ORACLE as substring_oracle
+from .substring_dedup import dedup_substrings
 from .token_align import align_tokens
 from .token_order import materialise_training_order
 from .toxicity import fit_toxicity, toxicity_of
@@ -94,6 +96,12 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align_tokens(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every document keeps when passages of 50 words that a document before it has are removed."""
+    out = dedup_substrings(spark, table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 50 best documents of every benchmark item."""
     found = lexical_search(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -112,6 +120,7 @@ QUERIES = {
     "op9_training_order": op9_training_order,
     "op10_source_mixture": op10_source_mixture,
     "op11_token_alignment": op11_token_alignment,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_lexical_search": op13_lexical_search,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle(), "op13_lexical_search": lexical_oracle}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_oracle(), "op12_substring_dedup": substring_oracle, "op13_lexical_search": lexical_oracle}
