@@ -302,10 +302,12 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     # symbols of more than one document
     symbols = scratch.write(docs.where("NOT none AND text IS NOT NULL").select("id", "h", "text").mapInPandas(tidy(_symbols), "id long, h long, start int, name long, around long"), "symbols")
     names = symbols.where("name IS NOT NULL").groupBy("name").agg(F.min("id").alias("a"), F.max("id").alias("z"), (F.min("around") == F.max("around")).alias("alike"))
-    shared = scratch.write(symbols.join(names.where("a < z").drop("z"), "name"), "shared")
+    # written, so that the join is of two plain shuffles, whose large partitions adaptive execution splits; so with the joins below
+    names = scratch.write(names.where("a < z").drop("z"), "names")
+    shared = scratch.write(symbols.join(names, "name"), "shared")
     # what they decide: alike everywhere, or alike in a smaller document; else the windows are open
     same = shared.where("NOT alike").groupBy("name", "around").agg(F.min("id").alias("m"))
-    differ = shared.where("NOT alike").join(same, ["name", "around"])
+    differ = shared.where("NOT alike").join(scratch.write(same, "same"), ["name", "around"])
     coded = lambda d, state: d.select("id", "h", (F.col("start") * F.lit(4) + state).alias("state"))
     states = coded(shared.where("alike AND a < id"), F.lit(DECIDED)).unionByName(coded(differ, F.when(F.col("m") < F.col("id"), DECIDED).otherwise(OPEN)))
     states = states.unionByName(coded(symbols.where("name IS NULL"), F.lit(OPEN)))
@@ -323,7 +325,7 @@ def dedup_substrings(spark: SparkSession, df: DataFrame, id_col: str = "doc_id",
     # open windows, by their words
     windows = pending.select("id", "h", F.explode(F.arrays_zip("k1", "k2", "at")).alias("w")).select("id", "h", "w.k1", "w.k2", "w.at")
     owners = windows.groupBy("k1", "k2").agg(F.min("id").alias("o"), F.max("id").alias("z")).where("o < z").drop("z")
-    hits = windows.join(owners, ["k1", "k2"]).where("o < id").groupBy("id", "h").agg(F.collect_set("at").alias("more"))
+    hits = windows.join(scratch.write(owners, "owners"), ["k1", "k2"]).where("o < id").groupBy("id", "h").agg(F.collect_set("at").alias("more"))
     rest = pending.select("id", "none", "h", "text", "removed").join(hits, ["id", "h"], "left").select("id", "none", "text", "removed", "more")
     out = sure.unionByName(done.select("id", "none", "n_words", "n_removed", "removed", "kept")).unionByName(rest.mapInPandas(tidy(_finished), RESULT))
     return out.select(F.when(~F.col("none"), F.col("id")).alias(id_col), "n_words", "n_removed", "removed", "kept")
