@@ -37,19 +37,33 @@ def numbered(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
     return placed.withColumn(name, inside).join(F.broadcast(starts), "__part").withColumn(name, F.col("__before") + F.col(name)).drop("__part", "__before")
 
 
-def order_statistics(df: DataFrame, group: str, value: str, pick: dict[str, Column]) -> DataFrame:
+def order_statistics(df: DataFrame, group: str, value: str, pick: dict[str, Column], bins: int = 2048, few: int = 100_000) -> DataFrame:
     """(group, n, names): exact values at 0-based ranks, each an expression of ``n``, the group's count; null values are left out.
 
-    A sketch of each group cuts its values into ranges, whose counts tell where a rank falls; only those ranges are sorted, so
-    a group with a great part of the rows is spread over tasks too.
+    A rank lies in a range of its group's values. A range with more than ``few`` rows is counted in ``bins`` bins, its ends apart, and the rank goes on with the bin it falls
+    into, until its range holds one value, however often, or few enough rows to be sorted. So no task sorts more, and ties are counted, not sorted.
     """
     rows = df.select(group, F.col(value).cast("double").alias("__v")).where("__v IS NOT NULL")
-    cuts = rows.groupBy(group).agg(F.count("*").alias("n"), F.array_distinct(F.percentile_approx("__v", [k / 16 for k in range(1, 16)], F.lit(200))).alias("__cuts"))
-    rows = rows.join(cuts, group).withColumn("__bin", F.size(F.filter("__cuts", lambda c: c < F.col("__v")))).select(group, "n", "__v", "__bin")
-    held = rows.groupBy(group, "__bin").agg(F.first("n").alias("n"), F.count("*").alias("__held"))
-    held = held.withColumn("__before", F.coalesce(F.sum("__held").over(Window.partitionBy(group).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    asked = [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__held")) for r in pick.values()]
-    wanted = held.where(F.greatest(*asked, F.lit(False))).select(group, "__bin", "__before")
-    near = rows.join(wanted, [group, "__bin"])
-    near = near.withColumn("__k", F.row_number().over(Window.partitionBy(group, "__bin").orderBy("__v")) - 1 + F.col("__before"))
-    return near.groupBy(group).agg(F.first("n").alias("n"), *[F.max(F.when(F.col("__k") == r, F.col("__v"))).alias(k) for k, r in pick.items()])
+    asked = F.inline(F.array(*[F.struct(F.lit(k).alias("__k"), r.cast("long").alias("__rank")) for k, r in enumerate(pick.values())]))
+    ends = rows.groupBy(group).agg(F.count("*").alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    open_ = cut(ends.select(group, "n", "__lo", "__hi", F.lit(0).cast("long").alias("__before"), F.col("n").alias("__held"), asked))
+    many = (F.col("__lo") < F.col("__hi")) & (F.col("__held") > few)
+    span = [group, "__lo", "__hi", "__before"]
+    within = F.col("__v").between(F.col("__lo"), F.col("__hi"))
+    while open_.where(many).limit(1).count():
+        place = F.greatest(F.lit(0), F.least(F.lit(bins - 3), F.floor((F.col("__v") - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * (bins - 2)))) + 1
+        place = F.when(F.col("__v") == F.col("__lo"), 0).when(F.col("__v") == F.col("__hi"), bins - 1).otherwise(place)
+        met = rows.join(open_.where(many).select(*span).distinct(), group).where(within).withColumn("__bin", place)
+        counts = met.groupBy(*span, "__bin").agg(F.count("*").alias("__n"), F.min("__v").alias("__a"), F.max("__v").alias("__z"))
+        above = F.sum("__n").over(Window.partitionBy(*span).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")  # at most ``bins`` rows a range
+        counts = counts.withColumn("__from", F.col("__before") + above)
+        on = open_.where(many).join(counts, span).where((F.col("__rank") >= F.col("__from")) & (F.col("__rank") < F.col("__from") + F.col("__n")))
+        on = on.select(group, "n", F.col("__a").alias("__lo"), F.col("__z").alias("__hi"), F.col("__from").alias("__before"), F.col("__n").alias("__held"), "__k", "__rank")
+        open_ = cut(open_.where(~many).unionByName(on))
+    alike = open_.where("__lo = __hi AND __rank < __before + __held").select(group, "n", "__k", F.col("__lo").alias("__v"))
+    rest = open_.where("__lo < __hi")
+    met = rows.join(rest.groupBy(*span).agg(F.collect_list(F.struct("__k", "__rank")).alias("__asked"), F.first("n").alias("n")), group).where(within)
+    met = met.withColumn("__at", F.row_number().over(Window.partitionBy(*span).orderBy("__v")) - 1 + F.col("__before"))
+    met = met.select(group, "n", "__v", F.explode(F.filter("__asked", lambda a: a["__rank"] == F.col("__at"))).alias("__a")).select(group, "n", "__a.__k", "__v")
+    found = alike.unionByName(met).groupBy(group).agg(*[F.max(F.when(F.col("__k") == k, F.col("__v"))).alias(name) for k, name in enumerate(pick)])
+    return open_.select(group, "n").distinct().join(found, group, "left")

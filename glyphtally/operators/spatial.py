@@ -31,6 +31,15 @@ def near_pairs(left: DataFrame, right: DataFrame, group: str, size: Column) -> D
     return a.join(b, [group, "gx", "gy"]).withColumn("distance", d).drop("gx", "gy")
 
 
+def _length(x: Column | float) -> Column:
+    return x if isinstance(x, Column) else F.lit(float(x))
+
+
+def _kept(points: DataFrame) -> list[str]:
+    """Columns that a length may depend on."""
+    return [c for c in ("pitch",) if c in points.columns]
+
+
 def as_right(points: DataFrame) -> DataFrame:
     return points.withColumnsRenamed({"id": "rid", "x": "rx", "y": "ry"})
 
@@ -46,24 +55,25 @@ def neighbour_spacing(points: DataFrame, group: str, least: int = 8) -> DataFram
     return points.select(group).distinct().join(mid.select(group, "spacing"), group, "left").na.fill(0.0, ["spacing"])
 
 
-def snap(taps: DataFrame, points: DataFrame, group: str, reach: float) -> DataFrame:
-    """(group, id, hit, distance): the nearest point closer than ``reach`` to each tap; the first on ties."""
-    pairs = near_pairs(taps, as_right(points), group, F.lit(float(reach))).where(F.col("distance") < reach)
+def snap(taps: DataFrame, points: DataFrame, group: str, reach: Column | float) -> DataFrame:
+    """(group, id, hit, distance): the nearest point closer than ``reach`` to each tap; the first on ties. ``reach`` may be an expression of ``pitch``, which both sides have then."""
+    pairs = near_pairs(taps, as_right(points), group, _length(reach)).where(F.col("distance") < _length(reach))
     best = pairs.groupBy(group, "id").agg(F.min(F.struct("distance", "rid")).alias("b"))
     return taps.select(group, "id").join(best, [group, "id"], "left").select(group, "id", F.col("b.rid").alias("hit"), F.col("b.distance").alias("distance"))
 
 
-def far_from(points: DataFrame, others: DataFrame, group: str, reach: float) -> DataFrame:
-    """Points with no other point closer than ``reach``."""
-    near = near_pairs(points.select(group, "id", "x", "y"), as_right(others.select(group, "id", "x", "y")), group, F.lit(float(reach)))
-    return points.join(near.where(F.col("distance") < reach).select(group, "id").distinct(), [group, "id"], "left_anti")
+def far_from(points: DataFrame, others: DataFrame, group: str, reach: Column | float) -> DataFrame:
+    """Points with no other point closer than ``reach``, which may be an expression of ``pitch``."""
+    side = lambda df: df.select(group, "id", "x", "y", *_kept(df))
+    near = near_pairs(side(points), as_right(side(others)), group, _length(reach))
+    return points.join(near.where(F.col("distance") < _length(reach)).select(group, "id").distinct(), [group, "id"], "left_anti")
 
 
-def suppress(points: DataFrame, group: str, limit: float) -> DataFrame:
-    """(id, kept_as): greedy suppression by ``rank`` (high first, then id): an item stands if no standing one is closer than ``limit``."""
-    held = points.select(group, "id", "x", "y", "rank")
+def suppress(points: DataFrame, group: str, limit: Column | float) -> DataFrame:
+    """(id, kept_as): greedy suppression by ``rank`` (high first, then id): an item stands if no standing one is closer than ``limit``, which may be an expression of ``pitch``."""
+    held = points.select(group, "id", "x", "y", "rank", *_kept(points))
     other = as_right(held).withColumnRenamed("rank", "rrank")
-    pairs = near_pairs(held, other, group, F.lit(float(limit))).where((F.col("distance") < limit) & (F.col("id") != F.col("rid")))
+    pairs = near_pairs(held, other, group, _length(limit)).where((F.col("distance") < _length(limit)) & (F.col("id") != F.col("rid")))
     before = (F.col("rrank") > F.col("rank")) | ((F.col("rrank") == F.col("rank")) & (F.col("rid") < F.col("id")))
     return settle(held.select("id"), pairs.where(before).select(F.col("rid").alias("a"), F.col("id").alias("b")))
 
@@ -93,10 +103,11 @@ def split_outliers(df: DataFrame, group: str, value: str) -> DataFrame:
     return df.join(fence, group).withColumn("rejected", F.col(value) > F.col("fence")).drop("fence")
 
 
-def hit_test(taps: DataFrame, markers: DataFrame, group: str, tolerance: float, largest: float) -> DataFrame:
-    """(group, id, hit, distance): the nearest marker (group, id, x, y, radius) closer than HIT_FACTOR of its radius or the tolerance; radii up to ``largest``."""
+def hit_test(taps: DataFrame, markers: DataFrame, group: str, tolerance: float) -> DataFrame:
+    """(group, id, hit, distance): the nearest marker (group, id, x, y, radius) closer than HIT_FACTOR of its radius or the tolerance; cells are as large as the largest radius asks."""
+    largest = markers.agg(F.max("radius")).first()[0] or 0.0
     reach = F.greatest(F.col("rradius") * S.HIT_FACTOR, F.lit(float(tolerance)))
-    pairs = near_pairs(taps, as_right(markers).withColumnRenamed("radius", "rradius"), group, F.lit(max(largest * S.HIT_FACTOR, float(tolerance)))).where(F.col("distance") < reach)
+    pairs = near_pairs(taps, as_right(markers).withColumnRenamed("radius", "rradius"), group, F.lit(max(float(largest) * S.HIT_FACTOR, float(tolerance)))).where(F.col("distance") < reach)
     best = pairs.groupBy(group, "id").agg(F.min(F.struct("distance", "rid")).alias("b"))
     return taps.select(group, "id").join(best, [group, "id"], "left").select(group, "id", F.col("b.rid").alias("hit"), F.col("b.distance").alias("distance"))
 

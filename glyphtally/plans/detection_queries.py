@@ -20,7 +20,7 @@ def digit_candidates(spark, sf_dir):
 
 def faced_candidates(spark, sf_dir):
     px = RQ.single(spark, sf_dir)
-    out = D.face_test(px, D.candidates(px, PITCH), PITCH, CONTRAST)
+    out = D.face_test(px, D.candidates(px, PITCH), CONTRAST)
     return out.select("image_id", F.col("id.number").alias("component"), *[F.round(c, 5).alias(c) for c in ("face_mean", "face_contrast", "roughness", "score")])
 
 
@@ -33,7 +33,7 @@ def detected_digits(spark, sf_dir):
 def extracted_glyphs(spark, sf_dir):
     """The digits of the detections as rasters; tested against brute force."""
     px = RQ.mosaic(spark, sf_dir)
-    out = G.extract(px, D.detect(px, PITCH, CONTRAST), PITCH)
+    out = G.extract(px, D.detect(px, PITCH, CONTRAST))
     return out.select("id.image_id", F.col("id.number").alias("number"), F.round("aspect", 6).alias("aspect"), F.round("density", 6).alias("density"), F.size("glyph").alias("cells"))
 
 

@@ -145,7 +145,7 @@ def example_digits(spark, sf_dir):
 
 def hit_markers(spark, sf_dir):
     taps = VQ._points(spark, sf_dir, 2)
-    out = spatial.hit_test(taps, _marker_points(spark, sf_dir).select("label", "id", "x", "y", (F.col("radius") * 3).alias("radius")), "label", 40, 48)
+    out = spatial.hit_test(taps, _marker_points(spark, sf_dir).select("label", "id", "x", "y", (F.col("radius") * 3).alias("radius")), "label", 40)
     return out.select("label", "id", F.coalesce("hit", F.lit(-1)).alias("hit"), F.coalesce(F.round("distance", 6), F.lit(-1.0)).alias("distance"))
 
 

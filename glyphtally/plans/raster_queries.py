@@ -34,13 +34,13 @@ def rgb(spark, sf_dir) -> DataFrame:
     return R.by_image(px)
 
 
-SINGLE = """px AS (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
+SINGLE = """px AS MATERIALIZED (SELECT vec_id AS image_id, ((i - 1) // 8)::INT AS y, ((i - 1) % 8)::INT AS x,
   greatest(0, least(255, round_even(128 + 256 * embedding[i]::DOUBLE, 0)))::INT AS v FROM embeddings, range(1, 65) t(i))"""
 
 
 def _mosaic_sql(tiles: int, name: str = "px", value: str = "v", source: str = "embedding[i]") -> str:
     n = tiles * tiles
-    return f"""{name} AS (SELECT vec_id // {n} AS image_id, ((i - 1) // 8 + 8 * ((vec_id % {n}) // {tiles}))::INT AS y, ((i - 1) % 8 + 8 * (vec_id % {tiles}))::INT AS x,
+    return f"""{name} AS MATERIALIZED (SELECT vec_id // {n} AS image_id, ((i - 1) // 8 + 8 * ((vec_id % {n}) // {tiles}))::INT AS y, ((i - 1) % 8 + 8 * (vec_id % {tiles}))::INT AS x,
   greatest(0, least(255, round_even(128 + 256 * ({source})::DOUBLE, 0)))::INT AS {value} FROM embeddings, range(1, 65) t(i))"""
 
 

@@ -24,3 +24,10 @@ PART_DISTANCE, PART_BOX = 0.3, 0.55
 GLYPH_SIZE, GLYPH_MARGIN = 32, 2
 EXAMPLE_DISTANCE, HIT_FACTOR, TRUTH_FACTOR = 8.0, 1.4, 1.2
 AMBIGUOUS_COUNT, AMBIGUOUS_SHARPNESS, PAGE_ROWS = 10, 0.6, 24
+#: Spacing: longest edges that are searched, lags up to LEAST_RANGE or an eighth of the image, seeds as shares of its edge, and when a seed has settled.
+WORK_EDGE, PERIOD_EDGE, LEAST_RANGE, RANGE_SHARE = 1000, 900, 120, 8
+SEED_SHARES, SETTLED, SETTLE_ROUNDS, SETTLE_POPULATION, PERIOD_TRUST = (20, 40, 70), 0.06, 4, 8, 0.15
+#: A marker of the declared size takes this share of the spacing; below LEAST_PITCH nothing is looked for.
+MARKER_SHARE, LEAST_PITCH = 0.92, 4.0
+#: Half the members of a group make a cell part of its digit.
+STROKE_SHARE = 0.5

@@ -269,12 +269,12 @@ def test_merging_parts(spark, boxes):
         open_ = rest
     df = spark.createDataFrame([(0, (0, i["id"]), i["x"], i["y"], i["min_x"], i["max_x"], i["min_y"], i["max_y"], 0.0, 0.0, 0.0, 0.0, i["score"]) for i in items],
                                "image_id long, id struct<image_id:long,number:long>, x double, y double, min_x int, max_x int, min_y int, max_y int, glyph_mean double, face_mean double, face_contrast double, roughness double, score double")
-    assert sorted((r.min_x, r.max_x, r.min_y, r.max_y, r.score) for r in D.merge_parts(df, pitch).collect()) == sorted(want)
+    assert sorted((r.min_x, r.max_x, r.min_y, r.max_y, r.score) for r in D.merge_parts(df.withColumn("pitch", F.lit(float(pitch)))).collect()) == sorted(want)
 
 
 def test_extracted_digit_fills_its_raster(spark):
     px = _blob(spark, [(10, 10)], height=14, width=7, page=40)
-    got = G.extract(px, D.detect(px, 24.0), 24.0).collect()[0]
+    got = G.extract(px, D.detect(px, 24.0)).collect()[0]
     assert (got.aspect, got.density) == (0.5, 1.0) and len(got.data) == 1024
     rows = {k // 32 for k, v in enumerate(got.data) if v == 1.0}
     columns = {k % 32 for k, v in enumerate(got.data) if v == 1.0}
@@ -294,10 +294,22 @@ def test_order_statistics_and_numbers(spark, rows):
     got = {r.g: (r.n, r.a, r.b) for r in order_statistics(df, "g", "v", {"a": F.floor(F.col("n") / 2), "b": F.floor(0.9 * (F.col("n") - 1))}).collect()}
     by = {g: sorted(v for h, v in rows if h == g) for g, _ in rows}
     assert got == {g: (len(s), s[len(s) // 2], s[math.floor(0.9 * (len(s) - 1))]) for g, s in by.items()}
+    again = order_statistics(df, "g", "v", {"a": F.floor(F.col("n") / 2), "b": F.floor(0.9 * (F.col("n") - 1))}, bins=4, few=2)
+    assert {r.g: (r.n, r.a, r.b) for r in again.collect()} == got
     placed = numbered(df, ["v", "g"], "k").collect()
     assert sorted(r.k for r in placed) == list(range(len(rows))) and [(r.v, r.g) for r in sorted(placed, key=lambda r: r.k)] == sorted((float(v), g) for g, v in rows)
 
 
+def test_order_statistics_by_counts(spark):
+    """A group of ties, values over the whole range of doubles, nulls and ranks beyond the group, with ranges narrowed until two rows are left."""
+    values = [float("-inf"), -1e308, -5.0, -5.0, *[2.5] * 40, 2.5000001, 3.0, 1e-300, 0.0, 1e308, float("inf"), float("inf")]
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", 7.0)] * 30 + [("c", None), ("d", 1.0), ("d", None)], "g string, v double")
+    ranks = list(range(0, 55, 3))
+    got = {r.g: r for r in order_statistics(df, "g", "v", {f"k{k}": F.lit(k) for k in ranks}, bins=4, few=2).collect()}
+    assert [got["a"][f"k{k}"] for k in ranks] == [sorted(values)[k] if k < len(values) else None for k in ranks]
+    assert set(got) == {"a", "b", "d"} and got["b"].n == 30 and {got["b"][f"k{k}"] for k in ranks if k < 30} == {7.0} and (got["d"].k0, got["d"].k3) == (1.0, None)
+
+
 def test_no_survivors_keeps_all(spark):
     df = spark.createDataFrame([(k, k // 2) for k in range(6)], "id long, g int")
     assert {r.g: r.rank for r in V.survivors(df, "g").collect()} == {0: 0, 1: 1, 2: 2}
