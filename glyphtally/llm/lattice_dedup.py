@@ -9,7 +9,8 @@ Equal vectors are one class. Cells with many vectors are dealt out in blocks, an
 own cells of several tables is reported by the first.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing; so do
-vectors of different lengths with each other, and vectors without id, which leave other rows as they are. Repeated ids are separate vectors with one id. An empty table gives no rows.
+vectors of different lengths with each other, and vectors without id, which leave other rows as they are. Repeated ids are separate vectors with one id: classes are told apart by
+their content, and ids only name them. An empty table gives no rows.
 Ties: a cosine of exactly the limit links; of equal vectors, and in a component, the smallest id names it. Only the id and the vector are looked at.
 """
 
@@ -200,6 +201,10 @@ def near_duplicate_vectors(spark: SparkSession, df: DataFrame, id_col: str = "ve
     rows = df.select(key.alias("vid"), F.when(F.coalesce(sound, F.lit(False)) & key.isNotNull(), v).alias("v"))
     rows = rows.withColumn("ha", F.xxhash64("v")).withColumn("hb", F.hash("v"))
     classes = rows.where("v IS NOT NULL").groupBy("ha", "hb").agg(F.min("vid").alias("id"), F.count("*").alias("copies"), F.min("v").alias("v"))
+    # a class is known by its id, or, where different vectors share that, by its content
+    shared = classes.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("shared"))
+    node = F.when(F.col("shared"), F.xxhash64("ha", "hb", F.lit(1))).otherwise(F.col("name"))
+    classes = classes.join(shared, "id", "left").withColumnRenamed("id", "name").withColumn("id", node).drop("shared")
     classes = scratch.write(classes, "classes")
 
     dealt = classes.select("id", "v").repartition(F.col("id"))  # a small table in few files: let every core hash
@@ -215,13 +220,15 @@ def near_duplicate_vectors(spark: SparkSession, df: DataFrame, id_col: str = "ve
     links = split.select("cell", "block", "id", "own", "unit", "cells").mapInPandas(tidy(_linked(limit)), "a long, b long").distinct()
     links = scratch.write(links, "links")
 
-    comps = connected(scratch, links, "a", "b", "comp").toDF("id", "component")
+    comps = scratch.write(connected(scratch, links, "a", "b", "comp").toDF("id", "node"), "comps")
+    names = comps.join(classes.select("id", "name"), "id").groupBy("node").agg(F.min("name").alias("component"))
+    comps = comps.join(names, "node").select("id", "component")
     sizes = classes.select("id", "copies")
     ends = links.union(links.select("b", "a")).toDF("id", "other").join(sizes.toDF("other", "more"), "other")
     more = ends.groupBy("id").agg(F.sum("more").alias("more"))
-    out = classes.select("ha", "hb", "id", "copies").join(more, "id", "left").join(comps, "id", "left")
+    out = classes.select("ha", "hb", "id", "name", "copies").join(more, "id", "left").join(comps, "id", "left")
     out = rows.select("vid", F.when(F.col("v").isNotNull(), F.col("ha")).alias("ha"), "hb").join(out, ["ha", "hb"], "left")
-    component = F.coalesce("component", "id", "vid")
+    component = F.coalesce("component", "name", "vid")
     return out.select(
         F.col("vid").alias(id_col), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("more", F.lit(0))).cast("long").alias("n_links"),
         component.alias("component_id"), (F.col("vid") == component).alias("kept"))

@@ -50,19 +50,20 @@ def words_in(text: str):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
-def _order(key: Column, seed: int) -> Column:
-    return F.xxhash64(key, F.lit(seed))
+def _order(key: Column, text: Column, seed: int) -> Column:
+    """The place of a row in the seeded order: rows without id, or with equal ids, have places by their texts."""
+    return F.xxhash64(key, text, F.lit(seed))
 
 
 def mix_sources(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-                weights: tuple = (5, 2, 1), epochs: int = 3, seed: int = 17) -> DataFrame:
-    """(id, source, size, source_size, target, taken) of every row; ``weights`` repeat over the sources in order.
+                weights: tuple = (5, 2, 1), epochs: int = 3, seed: int = 17, orders: bool = False) -> DataFrame:
+    """(id, source, size, source_size, target, taken) of every row, with ``orders`` also its place in the order; ``weights`` repeat over the sources in order.
 
     The driver gathers one row per source, and broadcasts that plan only up to PLAN sources.
     """
     scratch = Scratch(spark, "mixture")
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"))
-    rows = scratch.write(rows.withColumn("order", _order(F.col("id"), seed)), "rows")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(text_col).alias("size"), _order(F.col(id_col), F.col(text_col), seed).alias("order"))
+    rows = scratch.write(rows, "rows")
     bits = max(BUCKETS, rows.count() // RUN).bit_length() - 1
     rows = rows.withColumn("bucket", F.shiftrightunsigned("order", 64 - bits))
     sums = scratch.write(rows.groupBy("source", "bucket").agg(F.sum("size").alias("size")), "sums")
@@ -92,7 +93,7 @@ def mix_sources(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text
     some = some.withColumn("more", F.greatest(F.lit(0), F.least("size", F.col("room") - F.col("ahead")))).drop("ahead")
     rest = both.where(~cut).withColumn("more", F.when(F.col("room") > 0, F.col("size")).otherwise(F.lit(0)))
     return rest.unionByName(some).select(
-        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"))
+        F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("more")).cast("long").alias("taken"), *["order"] * orders)
 
 
 def repeated(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -100,14 +101,14 @@ def repeated(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_co
     """``df`` with every row as often as the mix takes it; a row taken in part counts as taken from half of it on.
 
     A source's rows are taken some whole number of times, and once more up to a place in its seeded order. So a row per source tells all,
-    and the texts themselves are neither joined by id nor shuffled. Rows without words are not taken; rows with equal ids are taken alike.
+    and the texts themselves are neither joined by id nor shuffled. Rows without words are not taken; rows with equal ids and texts are taken alike.
     """
-    place = lambda key: _order(key, seed).bitwiseXOR(F.lit(-(1 << 63)))  # noqa: E731  signed comparison in unsigned order
-    plan = mix_sources(spark, df, id_col, text_col, source_col, weights, epochs, seed).where("size > 0")
-    plan = plan.select(F.col(source_col).alias("__source"), place(F.col(id_col)).alias("place"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("times"), F.floor(F.col("target") / F.col("source_size")).alias("whole"))
+    place = _order(F.col(id_col), F.col(text_col), seed).bitwiseXOR(F.lit(-(1 << 63)))  # signed comparison in unsigned order
+    plan = mix_sources(spark, df, id_col, text_col, source_col, weights, epochs, seed, orders=True).where("size > 0")
+    plan = plan.select(F.col(source_col).alias("__source"), F.col("order").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), F.floor(F.col("taken") / F.col("size") + 0.5).alias("times"), F.floor(F.col("target") / F.col("source_size")).alias("whole"))
     plan = Scratch(spark, "repeated").write(plan.groupBy("__source").agg(F.first("whole").alias("__whole"), F.max(F.when(F.col("times") > F.col("whole"), F.col("place"))).alias("__last")), "plan")
     held = plan.count()
     met = df.join(F.broadcast(plan) if held <= PLAN else plan, F.col(source_col).eqNullSafe(F.col("__source")))
-    times = F.col("__whole") + F.when(place(F.col(id_col)) <= F.col("__last"), 1).otherwise(0)
+    times = F.col("__whole") + F.when(place <= F.col("__last"), 1).otherwise(0)
     times = F.when(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), times).otherwise(0)
     return met.withColumn("__times", times.cast("int")).where("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).select(*df.columns)

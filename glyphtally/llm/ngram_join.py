@@ -22,7 +22,7 @@ weighs linked classes by their rows, so copies are not expanded into pairs. `ngr
 component's classes, as its links do.
 
 Nulls, empty texts: empty set, no links, a component of their own. Repeated rows: one result row
-each, and links with each other. Rows without id have their n_shingles, but no class, component or links, and leave other rows as they are. Ties: of equal
+each, and links with each other. Repeated ids with different texts are separate documents: rows are known by a hash of id and text throughout, and ids only name classes and components. Rows without id have their n_shingles, but no class, component or links, and leave other rows as they are. Ties: of equal
 sets, and in a component, the smallest id names it. Very long texts are read whole. An empty table gives no rows. Other columns of the input are not looked at.
 """
 
@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, connected, maybe_in, shingle_sets, tidy, without_ids
@@ -165,6 +165,7 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
             out = pd.DataFrame(rows, columns=["n", "fa", "fb", "counts", "excess", "prefix"])
             out.insert(0, "id", pdf["id"].to_numpy())
             out.insert(1, "none", pdf["none"].to_numpy())
+            out.insert(2, "name", pdf["name"].to_numpy())
             yield out
 
     return run
@@ -335,47 +336,58 @@ def _buckets(pct: int):
 def ngram_jaccard_links(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75) -> DataFrame:
     """All links between different sets, as pairs (a, b) of class ids with a < b."""
     join = _Join(spark, df, id_col, text_col, width, pct)
-    return join.within(join.components(), False)
+    links, names = join.within(join.components(), False), join.sizes.select("class_id", "class_name")
+    named = links.join(names.toDF("a", "x"), "a").join(names.toDF("b", "y"), "b")
+    return named.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
-def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75, count_links: bool = False) -> DataFrame:
+def ngram_jaccard_join(spark: SparkSession, df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, pct: int = 75, count_links: bool = False, row_keys: bool = False) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, class_id (smallest id with an equal set), component_id.
 
-    With ``count_links`` also n_links, the number of other rows whose set is similar or equal.
+    With ``count_links`` also n_links, the number of other rows whose set is similar or equal; with ``row_keys`` row_key, `row_key` of the row.
     """
     join = _Join(spark, df, id_col, text_col, width, pct)
     comps = join.components()
-    out = join.classes.join(comps.withColumnRenamed("node", "class_id"), "class_id", "left")
-    columns = [F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("component", "class_id", "id").alias("component_id")]
+    named = comps.join(join.sizes.select(F.col("class_id").alias("node"), "class_name"), "node")
+    named = named.groupBy("component").agg(F.min("class_name").alias("component_name"))
+    comp_names = comps.join(named, "component").select(F.col("node").alias("class_id"), "component_name")
+    out = join.classes.join(comp_names, "class_id", "left")
+    columns = [F.col("name").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("class_name", "name").alias("class_id"), F.coalesce("component_name", "class_name", "name").alias("component_id")]
     if count_links:
         far = join.within(comps, True).groupBy("id").agg(F.sum("far").alias("far")).withColumnRenamed("id", "class_id")
         near = join.sizes.where("members > 1").join(far, "class_id", "full").select("class_id", (F.coalesce(F.col("members") - 1, F.lit(0)) + F.coalesce("far", F.lit(0))).alias("near"))
         out = out.join(near, "class_id", "left")
         columns.append(F.coalesce("near", F.lit(0)).cast("long").alias("n_links"))
-    return out.select(*columns)
+    return out.select(*columns, *[F.col("id").alias("row_key")] * row_keys)
+
+
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a row is known by: a hash of its id and text."""
+    return F.xxhash64(F.col(id_col).cast("long"), F.col(text_col))
 
 
 class _Join:
-    """The steps of one join over written tables: `classes` (id, n, class_id) of the rows, `sizes` (class_id, members)."""
+    """The steps of one join over written tables: `classes` (id, name, n, class_id, class_name) of the rows, `sizes` (class_id, class_name, members); ids here are row keys, names ids of the input."""
 
     def __init__(self, spark: SparkSession, df: DataFrame, id_col: str, text_col: str, width: int, pct: int):
         bounded_batches(spark)
         self.spark, self.width, self.pct, self.scratch = spark, width, pct, Scratch(spark, "ngram-join")
         # a null id would turn the ids of its whole batch into floats, so it goes along as a mark
         key = F.col(id_col).cast("long")
-        docs = df.select(F.coalesce(key, F.lit(0)).alias("id"), key.isNull().alias("none"), F.col(text_col).alias("text"))
+        docs = df.select(row_key(id_col, text_col).alias("id"), key.isNull().alias("none"), F.coalesce(key, F.lit(0)).alias("name"), F.col(text_col).alias("text"))
         self.named = docs.where("NOT none").select("id", "text")
 
         counted = docs.select("text").mapInPandas(tidy(_frequent(width)), "token long, n long")
         often = counted.groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(FREQUENT)
         frequent = np.sort(often.select("token").toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
-        self.profiles = self.scratch.write(docs.mapInPandas(tidy(_profiles(width, pct, frequent)), "id long, none boolean, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
+        self.profiles = self.scratch.write(docs.mapInPandas(tidy(_profiles(width, pct, frequent)), "id long, none boolean, name long, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
         named = self.profiles.where("n > 0 AND NOT none")
-        classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"))
-        rows = self.profiles.select(F.when(~F.col("none"), F.col("id")).alias("id"), "n", "fa", "fb")
-        classes = rows.join(classes, ["fa", "fb", "n"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("class_id")).alias("class_id"))
+        classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"), F.min("name").alias("class_name"))
+        given = lambda c: F.when(~F.col("none"), F.col(c)).alias(c)
+        rows = self.profiles.select(given("id"), given("name"), "none", "n", "fa", "fb")
+        classes = rows.join(classes, ["fa", "fb", "n"], "left").select("id", "name", "n", given("class_id"), given("class_name"))
         self.classes = self.scratch.write(classes, "classes")
-        self.sizes = self.scratch.write(self.classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members"), F.first("n").alias("n")), "sizes")
+        self.sizes = self.scratch.write(self.classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members"), F.first("n").alias("n"), F.first("class_name").alias("class_name")), "sizes")
         self.held = named.select("id", "n", "counts", "excess")
 
     def sets(self, ids: DataFrame) -> DataFrame:
