@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before kept; its result is
 written as Parquet and read again. All but the last return the columns of ``documents``.
 
-Any column may hold nulls, and an empty table passes all stages as one. Texts of any length are read whole. Rows without doc_id pass the stages
-that tell documents by id (near copies, mixing) once each, and the others like any row. Columns of other names are carried along.
+Any column may hold nulls, and an empty table passes all stages as one. Texts of any length are read whole. Rows without doc_id pass the stage
+of near copies, which names groups by id, and the others like any row; rows with one id and different texts are told apart by their texts. Columns of other names are carried along.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from glyphtally.llm.common import Scratch, table, without_ids
 from glyphtally.llm.decontaminate import decontaminate
 from glyphtally.llm.langid import fit_languages, language_of
 from glyphtally.llm.mixture import repeated
-from glyphtally.llm.ngram_join import ngram_jaccard_join
+from glyphtally.llm.ngram_join import ngram_jaccard_join, row_key
 from glyphtally.llm.shard_pack import pack_shards
 
 
@@ -33,8 +33,9 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest doc_id of each group of near copies; of repeated rows with that id, all."""
     scratch = Scratch(spark, "near-copies")
-    groups = scratch.write(ngram_jaccard_join(spark, docs), "groups")
-    return without_ids(docs, "doc_id", groups.where("doc_id <> component_id"), "doc_id")
+    groups = scratch.write(ngram_jaccard_join(spark, docs, row_keys=True), "groups")
+    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
+    return without_ids(keyed, "__row", groups.where("doc_id <> component_id"), "row_key").drop("__row")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
