@@ -382,7 +382,8 @@ class _Join:
         frequent = np.sort(often.select("token").toPandas()["token"].to_numpy().astype(np.int64).view(np.uint64))
         self.profiles = self.scratch.write(docs.mapInPandas(tidy(_profiles(width, pct, frequent)), "id long, none boolean, name long, n long, fa long, fb long, counts binary, excess long, prefix array<long>"), "profiles")
         named = self.profiles.where("n > 0 AND NOT none")
-        classes = named.groupBy("fa", "fb", "n").agg(F.min("id").alias("class_id"), F.min("name").alias("class_name"))
+        classes = named.groupBy("fa", "fb", "n").agg(F.min(F.struct("name", "id")).alias("first"))
+        classes = classes.select("n", "fa", "fb", F.col("first.id").alias("class_id"), F.col("first.name").alias("class_name"))
         given = lambda c: F.when(~F.col("none"), F.col(c)).alias(c)
         rows = self.profiles.select(given("id"), given("name"), "none", "n", "fa", "fb")
         classes = rows.join(classes, ["fa", "fb", "n"], "left").select("id", "name", "n", given("class_id"), given("class_name"))
@@ -417,14 +418,15 @@ class _Join:
         scratch = self.scratch
         # (token, class, first class of the token's bucket), for tokens of more than one class
         copies = self.classes.where("class_id <> id").select("id")
-        rows = without_ids(self.profiles.where("n > 0 AND NOT none").select("id", "prefix"), "id", copies, "id")
-        rows = rows.select(F.explode("prefix").alias("token"), "id").repartition("token")
-        buckets = rows.groupBy("token").agg(F.min("id").alias("lead"), F.max("id").alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
-        rows = scratch.write(rows.join(buckets.drop("last"), "token"), "rows")
+        rows = without_ids(self.profiles.where("n > 0 AND NOT none").select("id", "name", "prefix"), "id", copies, "id")
+        rows = rows.select(F.explode("prefix").alias("token"), "id", "name").repartition("token")
+        buckets = rows.groupBy("token").agg(F.min(F.struct("name", "id")).alias("lead"), F.max(F.struct("name", "id")).alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
+        buckets = buckets.select("token", "held", "members", F.col("lead.id").alias("lead"), F.col("lead.name").alias("lead_name"))
+        rows = scratch.write(rows.drop("name").join(buckets, "token"), "rows")
 
         # each class with the first class of its buckets: that of most of them, then those of other components
-        leads = scratch.write(rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("often")), "leads")
-        best = leads.groupBy("id").agg(F.max_by("lead", F.struct("often", -F.col("lead"))).alias("a")).select("a", F.col("id").alias("b"))
+        leads = scratch.write(rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("often"), F.first("lead_name").alias("lead_name")), "leads")
+        best = leads.groupBy("id").agg(F.max_by("lead", F.struct("often", -F.col("lead_name"), "lead")).alias("a")).select("a", F.col("id").alias("b"))
         comps = connected(scratch, self.verified(self.bounded(best, "best"), "best"), "a", "b", "best-comp")
         comps = scratch.write(comps, "best-comps")
         rest = leads.select(F.col("lead").alias("a"), F.col("id").alias("b"))
