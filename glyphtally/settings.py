@@ -31,3 +31,20 @@ SEED_SHARES, SETTLED, SETTLE_ROUNDS, SETTLE_POPULATION, PERIOD_TRUST = (20, 40,
 MARKER_SHARE, LEAST_PITCH = 0.92, 4.0
 #: Half the members of a group make a cell part of its digit.
 STROKE_SHARE = 0.5
+#: Tiles of markers: edge in radii of the marker, edge after resampling, clip of contrast in percent and amount of sharpening.
+TILE_FACTOR, TILE_SIZE, TILE_LEAST, TILE_CLIP, TILE_SHARPEN = 2.7, 192, 8, 1.0, 0.9
+#: Spokes from a tile's middle: how many, how many must meet the ring, the drop that is a ring, and in shares of the ring's radius the stretch of light, the stretch searched,
+#: the radius without a ring, the least and the greatest one. Spokes agree within SPOKE_AGREE of the median; the centre ends at SPOKE_STOP of it.
+SPOKES, SPOKES_MET, SPOKE_DROP = 24, 12, 45
+SPOKE_LIGHT, SPOKE_SEARCH, NO_RING, CENTRE_RANGE = (0.15, 0.4), (0.4, 1.6), 0.62, (0.4, 0.85)
+SPOKE_AGREE, SPOKE_STOP = 0.2, 0.9
+#: Discs tried for a tile's digits beside the measured one, in shares of the ring's radius; pixels a disc needs.
+DISC_SHARES, DISC_PIXELS = (0.5, 0.72, 0.85), 32
+#: A digit in a disc: share of the disc's area, how near to the middle and how far out it comes, height and width in radii.
+DISC_AREA, DISC_NEAR, DISC_FAR, DISC_HEIGHT, DISC_WIDTH = (0.012, 0.75), 0.55, 0.99, (0.35, 2.1), 1.8
+#: Worth of a disc's digits: one or two of them, then for likely and unlikely height and fill each.
+DISC_WORTH, TALL, TALL_WORTH, FULL, FULL_WORTH = (1.0, 0.8), (0.5, 1.7), (0.5, -0.4), (0.15, 0.85), (0.3, -0.2)
+#: Ink of a cell of a tile's digit, and what agreement of two readings is worth.
+CELL_SHARE, AGREEMENT = 0.4, 1.15
+#: Radial symmetry: votes a place can count with (of radius 1, of others), and blur as a share of the radius.
+VOTE_CAPS, VOTE_BLUR, PERCENTILE_BINS = (8.0, 9.9), 0.35, 2048
