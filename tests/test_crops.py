@@ -31,7 +31,8 @@ def pixels(spark, pages):
 
 
 def markers(spark, places):
-    rows = [(image, 100 * image + n, float(x), float(y), float(r)) for image, held in places.items() for n, (_, x, y, r) in enumerate(held)]
+    """The drawn markers; tiles expect the ring twice as far out as the radius given."""
+    rows = [(image, 100 * image + n, float(x), float(y), r / 2) for image, held in places.items() for n, (_, x, y, r) in enumerate(held)]
     return spark.createDataFrame(rows, "image_id long, id long, x double, y double, radius double")
 
 
@@ -43,13 +44,13 @@ def test_markers_are_read(spark):
     places = PLACES | {3: [(None, 60, 60, 40)]}
     px = pixels(spark, {k: page(held, seed=k) for k, held in places.items()})
     asked = markers(spark, places | {9: [(5, 20, 20, 10)]})
-    got = {r.id: r for r in C.read_markers(px, asked, size=96).collect()}
+    got = {r.id: r for r in C.read_markers(px, asked).collect()}
     assert {i: r.value for i, r in got.items()} == {100 * k + n: value if k != 9 else None for k, held in (places | {9: [(None, 0, 0, 0)]}).items() for n, (value, *_) in enumerate(held)}
     assert all((r.confidence > 0) == (r.value is not None) for r in got.values()) and got[900].radius is None
     # the ring's inner edge lies at .66 of the radius and the tile's ring at 1 / 2.7 of its edge
-    scale = 96 / 2.7 / 2
+    scale = 192 / 2.7
     assert all(abs(r.radius - 0.9 * 0.66 * scale) < 0.12 * scale for r in got.values() if r.met)
-    few = {r.id: r.value for r in C.read_markers(px, asked.where("id = 103"), allowed=[1, 2, 7], size=96).collect()}
+    few = {r.id: r.value for r in C.read_markers(px, asked.where("id = 103"), allowed=[1, 2, 7]).collect()}
     assert few == {103: 1}  # no tens in the picture: the left digit
 
 
@@ -62,7 +63,7 @@ def test_empty_tables(spark):
 
 def test_tiles_repeat_edges(spark):
     p = page([], side=20)
-    got = {(r.y, r.x): r.v for r in C.tiles(pixels(spark, {4: p}), markers(spark, {4: [(1, 1, 18, 2)]})).collect()}
+    got = {(r.y, r.x): r.v for r in C.tiles(pixels(spark, {4: p}), markers(spark, {4: [(1, 1, 18, 4)]})).collect()}
     side = 11
     assert got == {(y, x): int(p[min(19, 13 + y), max(0, -4 + x)]) for y in range(side) for x in range(side)}
 
