@@ -6,7 +6,9 @@ out (has-sidebar, no-ads, ad-free) do not count, and what is left out by class o
 element where no other is left, or more than half of the points of the page (comment threads: nine tenths). Every paragraph
 passes points for its length and commas to its parent, half to the next ancestor and a third to the one
 above. A container's points are discounted by its link density; the best container is kept, together with
-siblings that score near it or are plain paragraphs. If it stands in an <article> or <main>, that whole element is kept.
+siblings that score near it or are plain paragraphs. If it stands in an <article> or <main>, that whole element is kept, with the articles beside it that hold
+a fifth as many points at least; an article inside another stands for the outer one where that has text of its own. Scripts, styles and the like end at their
+end tags alone, whatever their own tag ends with. Labels stay inside paragraphs, formulas everywhere.
 
 A class or id leaves an element out only if all words of the name are such words (share-buttons, not share-price), never for a
 part of it. Quotes hide a tag's end only as values after an equals sign; tags that never end are text.
@@ -35,9 +37,11 @@ _OPEN = re.compile(r"<!--|<!\[CDATA\[|<[!?]|</?[a-zA-Z]")
 #: What ends a tag or begins a quoted value in it: quotes count after an equals sign alone.
 _STOP = re.compile(r">|=\s*([\"'])")
 _NAME = re.compile(r"[^\s/>]*")
-_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "math", "xmp")}
+_RAW = {t: re.compile(rf"</{t}\b", re.I) for t in ("script", "style", "noscript", "template", "textarea", "iframe", "svg", "select", "title", "xmp")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_DROP = frozenset("nav footer aside form button menu dialog object canvas video audio head label fieldset datalist".split())
+_DROP = frozenset("nav footer aside form button menu dialog object canvas video audio head label fieldset datalist annotation annotation-xml".split())
+#: Elements in which a label is part of the text.
+_PROSE = ("p", "li", "td", "dd", "blockquote", "figcaption")
 _BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr caption blockquote pre figure figcaption address "
     "header footer nav aside form hr fieldset details summary center hgroup".split())
@@ -48,18 +52,18 @@ _ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 #: A class or id is that of a menu, advert, notice and so on if all its words are of the two lists, and one of the first.
 _AWAY = frozenset((
     "ad ads adbox adsense adslot advert adverts advertisement advertisements advertising advertorial sponsor sponsors sponsored promo promos promotion promotions banner banners "
-    "comment comments commentlist disqus replies respond sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs footer cookie cookies cookiebar consent gdpr notice notices "
+    "comment comments commentlist disqus replies respond responses discussion discussions talkback outbrain taboola promoted sidebar sidebars menu menus navbar navigation nav breadcrumb breadcrumbs footer cookie cookies cookiebar consent gdpr notice notices "
     "popup popups modal overlay newsletter newsletters subscribe subscription signup login share sharing social related recommend recommended recommendations widget widgets "
     "toolbar pager pagination skip skiplink alert alerts masthead search paywall tags siteheader pageheader topbar").split())
 _NEUTRAL = frozenset((
     "box list bar left right top bottom block container wrapper wrap item items link links button buttons area section post posts thread group panel form field inner outer "
-    "row col column slot unit zone main global site page reader user header head icons icon title heading body count tools by line").split())
+    "row col column slot unit zone main global site page reader user header head icons icon title heading body count tools by line google dfp x article articles stories").split())
 _SIDE = frozenset("header side aside meta".split())
 _COMMENTS = frozenset(("comment", "comments"))
 #: Names that say what an element has or lacks, not what it is.
 _LAYOUT = re.compile(r"(?:(?<=[\s_-])|^)(?:has|with|without|no)[_-]\S+|[^\s_-]+[_-]free(?=[\s_-]|$)", re.I)
 #: A thread of comments may be longer than its article, so it must hold nearly all points to be taken for a wrapper.
-_THREAD = re.compile(r"comment|disqus|repl|respond", re.I)
+_THREAD = re.compile(r"comment|disq|discuss|talkback|repl|respon", re.I)
 _GOOD = re.compile(r"article|content|main|story|entry|post|body|text", re.I)
 _ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 _NONE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -146,6 +150,7 @@ def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
     words: list[str] = []
     doubted: dict[int, float] = {}  # elements unwanted for their class or id: share of the points beyond which they stay
     articled: list[int] = []  # article and main elements that are wanted
+    endless: set[str] = set()  # raw elements without a further end tag
     links = away = articles = texts = 0  # away: node whose subtree is left out
 
     def flush() -> None:
@@ -209,8 +214,12 @@ def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
                 if tags[stack[depth]] in ("table", "article") and tag in ("p", "b", "i", "a", "span", "li"):
                     break
             continue
-        if tag in _RAW and not attrs.rstrip().endswith("/"):
-            stop = _RAW[tag].search(html, at)
+        if tag in _RAW and not (tag == "svg" and attrs.rstrip().endswith("/")):
+            stop = _RAW[tag].search(html, at) if tag not in endless else None
+            if not stop:
+                endless.add(tag)
+            if not stop and attrs.rstrip().endswith("/"):  # no end tag follows: the tag closes itself
+                continue
             at = html.find(">", stop.end()) + 1 if stop else 0
             at = at or size
             continue
@@ -235,7 +244,7 @@ def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
         opened[tag] += 1
         texts += tag in ("article", "main")
         articles += tag == "article"
-        if not away:
+        if not away and not (tag == "label" and any(opened[t] > 0 for t in _PROSE)):
             n, unwanted = len(tags) - 1, _unwanted(tag, attrs, articles > 0, texts > (tag in ("article", "main")))
             if unwanted == 1:
                 doubted[n] = 0.9 if _THREAD.search(attrs) else 0.5
@@ -270,7 +279,15 @@ def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
     while n > 0 and tags[n] not in ("article", "main"):
         n = parent[n]
     if n > 0:
+        worths, own = _article_worths(tags, parent, blocks)
+        up = parent[n]
+        while up > 0:  # the outer article, if it is more than a frame around this one
+            if tags[up] == "article" and own[up] >= 2.0:
+                n = up
+            up = parent[up]
         kept[n] = True
+        for k in range(1, count) if tags[n] == "article" else ():
+            kept[k] = kept[k] or (tags[k] == "article" and parent[k] == parent[n] and worths[k] >= max(2.0, 0.2 * worths[n]))
     elif best == 0:
         kept[0] = True
     else:
@@ -285,6 +302,18 @@ def _read(html: str, spared: frozenset, trial: bool) -> tuple[str, frozenset]:
     return "\n\n".join(text for owner, text, _ in blocks if kept[owner]), frozenset(doubted)
 
 
+def _article_worths(tags: list[str], parent: list[int], blocks: list[tuple[int, str, int]]) -> tuple[list[float], list[float]]:
+    """By element: the points of the paragraphs in it, and of those that lie in no article inside it."""
+    worths = [0.0] * len(tags)
+    for owner, text, in_links in blocks:
+        worths[owner] += _worth(text, in_links)
+    own = worths.copy()
+    for n in range(len(tags) - 1, 0, -1):
+        worths[parent[n]] += worths[n]
+        own[parent[n]] += 0.0 if tags[n] == "article" else own[n]
+    return worths, own
+
+
 def _worth(text: str, in_links: int) -> float:
     return (1 + text.count(",") + min(len(text) / 100, 3.0)) * (1 - in_links / len(text))
 
