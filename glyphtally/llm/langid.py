@@ -6,7 +6,10 @@ on. Decoding sums, per codeword, the logistic losses of the bits, weighted by ho
 training holds that bit's sides; the codeword with the least loss wins. The n-gram counts per language are
 counted by Spark over all training rows.
 
-A text is rejected if it is `und`, or if its bits speak as much against the nearest codeword as for it (a loss of ln 2 or more, that of no evidence).
+A text is rejected if it is `und`, if its bits speak as much against the nearest codeword as for it (a loss of ln 2 or more, that of no evidence), or if its n-grams are
+not those of the language found: their mean log probability in it falls short of the language's own mean by FAR standard deviations of a single n-gram, and by SHORT more of them
+over the root of their number, since few n-grams vary more. So foreign scripts, other alphabets' languages, noise and encoded data go; program code in
+English words mostly stays.
 
 Nulls, empty texts and texts without letters: `und`, score 0, not ambiguous, rejected. Rows whose label is
 null teach nothing. With no training rows at all, as in an empty table, every text is `und`. Ties in decoding go to the first
@@ -29,6 +32,8 @@ from .common import bounded_batches, chunks, give_back, tidy
 CELLS = 1 << 13
 #: Share of the loss by which the second codeword must be worse, else the text is ambiguous.
 CLEAR = 0.1
+#: Standard deviations of an n-gram's log probability by which a text may be less likely than its language, and the part for its length.
+FAR, SHORT = 1.4, 4.0
 _LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[[b for b in range(128) if not chr(b).isalpha()]] = 32
@@ -90,18 +95,29 @@ class LanguageCodes:
         self.scale = np.array([np.abs(expected[:, b] - self.middle[b]).min() for b in range(bits)]) + 1e-9
         self.loss_weight = self.scale / self.scale.sum() if bits else self.scale
         self.weights = self.weights.astype(np.float32)
+        logs = np.log(share)
+        self.typical = (share * logs).sum(1)
+        self.spread = np.sqrt(np.maximum((share * logs * logs).sum(1) - self.typical ** 2, 0))
+        self.logs = logs.astype(np.float32)
+
+    def unlike(self, counts: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Whether the n-grams of each text are too unlikely in its language."""
+        n = np.maximum(counts.sum(1), 1)
+        mean = (counts * self.logs[language]).sum(1, dtype=np.float64) / n
+        return self.typical[language] - mean >= self.spread[language] * (FAR + SHORT / np.sqrt(n))
 
     def decode(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Indices of languages, scores, ambiguity and rejection of texts with these counts."""
         if len(self.languages) == 1:
-            return np.zeros(len(counts), int), np.ones(len(counts)), np.zeros(len(counts), bool), np.zeros(len(counts), bool)
+            only = np.zeros(len(counts), int)
+            return only, np.ones(len(counts)), np.zeros(len(counts), bool), self.unlike(counts, only)
         mean = (counts.astype(np.float32) @ self.weights) / np.maximum(counts.sum(1, keepdims=True), 1)
         margin = np.clip((mean - self.middle) / self.scale, -4, 4)
         loss = np.einsum("tlb,b->tl", np.logaddexp(0, -2 * margin[:, None, :] * self.code[None]), self.loss_weight)
         best = loss.argmin(1)
         ordered = np.sort(loss, 1)
         weight = np.exp(-8 * (loss - ordered[:, :1]))
-        return best, 1 / weight.sum(1), ordered[:, 1] - ordered[:, 0] < CLEAR * ordered[:, 1], ordered[:, 0] >= np.log(2)
+        return best, 1 / weight.sum(1), ordered[:, 1] - ordered[:, 0] < CLEAR * ordered[:, 1], (ordered[:, 0] >= np.log(2)) | self.unlike(counts, best)
 
 
 def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
