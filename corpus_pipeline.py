@@ -23,7 +23,8 @@ from glyphtally.llm.shard_pack import pack_shards
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the language codes reject, and gives those without ``lang`` the language found.
 
-    Rejected are texts without letters, null and empty ones among them, and texts whose nearest codeword has as much against it as for it.
+    Rejected are texts without letters, null and empty ones among them, texts whose nearest codeword has as much against it as for it, and texts whose
+    n-grams are far from those of every language of the table: foreign scripts, noise, encoded data.
     """
     model = fit_languages(docs)
     said = docs.withColumn("__language", language_of(model, "text")).where(~F.col("__language")["rejected"])
