@@ -111,9 +111,9 @@ md AS (SELECT image_id, list_sort(list(hit)) AS h FROM hi GROUP BY image_id),
 ag AS (SELECT image_id, h, list_filter(h, lambda r: abs(r - h[floor(0.5e0 * (len(h) - 1) + 0.5e0)::INT + 1]) <= 0.2e0 * h[floor(0.5e0 * (len(h) - 1) + 0.5e0)::INT + 1]) AS a FROM md)
 SELECT image_id, CASE WHEN len(h) >= 12 AND len(a) >= 12 THEN len(a) ELSE 0 END::INT AS met,
 round(CASE WHEN len(h) >= 12 AND len(a) >= 12 THEN greatest(ring * 0.4e0, least(ring * 0.85e0, 0.9e0 * a[floor(0.5e0 * (len(a) - 1) + 0.5e0)::INT + 1])) ELSE ring * 0.62e0 END, 6) AS radius FROM mx LEFT JOIN ag USING (image_id)""",
-    "voted_readings": """WITH at AS (SELECT vec_id AS image_id, t::INT AS turn, nullif(floor(abs(embedding[t + 1]::DOUBLE) * 1000)::INT % 4, 0) AS value, round(abs(embedding[t + 9]::DOUBLE) * 4, 3) AS confidence FROM embeddings, range(0, 3) r(t)),
-be AS (SELECT image_id, arg_max((confidence, value), (confidence, -turn)) FILTER (value IS NOT NULL AND confidence > 0) AS b FROM at GROUP BY image_id),
-ag AS (SELECT image_id, b[1] AS confidence, b[2] AS value, count(at.value) FILTER (at.value = b[2]) AS n FROM be JOIN at USING (image_id) GROUP BY ALL)
+    "voted_readings": """WITH rd AS (SELECT vec_id AS image_id, t::INT AS turn, nullif(floor(abs(embedding[t + 1]::DOUBLE) * 1000)::INT % 4, 0) AS value, round(abs(embedding[t + 9]::DOUBLE) * 4, 3) AS confidence FROM embeddings, range(0, 3) r(t)),
+be AS (SELECT image_id, arg_max((confidence, value), (confidence, -turn)) FILTER (value IS NOT NULL AND confidence > 0) AS b FROM rd GROUP BY image_id),
+ag AS (SELECT image_id, b[1] AS confidence, b[2] AS value, count(rd.value) FILTER (rd.value = b[2]) AS n FROM be JOIN rd USING (image_id) GROUP BY ALL)
 SELECT image_id, value::INT AS value, round(least(1e0, coalesce(confidence, 0e0) * CASE WHEN n >= 2 THEN 1.15e0 ELSE 1e0 END), 6) AS confidence, n::INT AS agreeing FROM ag""",
     "symmetry_maps": f"""WITH {MAGNITUDES}, {_map(2, 1)}, {_map(3, 1)}, {_map(5, 2)}
 SELECT image_id, y, x, round((m2.v + m3.v + m5.v) / 3, 4) AS v FROM m2 JOIN m3 USING (image_id, y, x) JOIN m5 USING (image_id, y, x)""",
