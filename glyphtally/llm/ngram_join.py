@@ -392,9 +392,9 @@ class _Join:
         self.held = named.select("id", "n", "counts", "excess")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, tokens) of the documents with these ids, from their texts."""
-        asked = maybe_in(self.named, "id", ids, "id").join(ids, "id")
-        return asked.mapInPandas(tidy(_sets(self.width)), "id long, tokens binary").dropDuplicates(["id"])
+        """(id, tokens) of the documents with these ids, from their texts; repeated rows go while the texts still lie by id, so that no set is shuffled for it."""
+        asked = maybe_in(self.named, "id", ids, "id").join(ids, "id").dropDuplicates(["id"])
+        return asked.mapInPandas(tidy(_sets(self.width)), "id long, tokens binary")
 
     def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs whose count vectors allow a link."""
