@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: Number of cells of an id filter. Its broadcast has at most so many longs, whatever the input.
 FILTER_CELLS = 1 << 20
 #: Bytes of one Arrow batch of texts, about.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 class Scratch:
