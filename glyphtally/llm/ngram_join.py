@@ -13,8 +13,9 @@ first n - ceil(t n) + 1 tokens in any common order have one in common, so no lin
 tokens come last in that order. Copies (equal sets) are one class throughout.
 
 Components come first: each class is compared with the first class of its buckets, which joins large groups of near copies by
-a number of comparisons in proportion to their tokens; then the R-trees of the buckets that still hold several components are
-searched for pairs across them. Every pair that the bounds let through is verified on the whole sets.
+a number of comparisons in proportion to their tokens; then buckets whose other classes still lie in several components are
+searched for pairs across them. Those with the same first class are laid together, each class once, and go through one R-tree, so that two
+classes do not meet again for every token they share; where that would compare more than the single buckets do, these stay single. Every pair that the bounds let through is verified on the whole sets.
 
 All links lie inside components, so links are counted there (``count_links``): a component's classes are dealt out in
 blocks, an R-tree over each block finds the pairs of blocks that may be similar, and the whole sets decide. A class's count
@@ -32,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_batches, connected, maybe_in, shingle_sets, tidy, without_ids
@@ -296,7 +297,7 @@ def _within(pct: int, counted: bool):
 
 
 def _buckets(pct: int):
-    """Pairs across components in the buckets of a sorted partition, each bucket through its own R-tree."""
+    """Pairs across components in the buckets of a partition sorted by (lead, token, bi, bj), each bucket through its own R-tree."""
 
     def pairs(lo: int, hi: int, points, counts, sizes, excess, ids, comps, block, bi, bj) -> np.ndarray:
         left = right = np.arange(lo, hi)
@@ -322,7 +323,7 @@ def _buckets(pct: int):
     kept: list = [None]
 
     def searched(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
-        key = pdf[["token", "bi", "bj"]].to_numpy()
+        key = pdf[["lead", "token", "bi", "bj"]].to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)] if last else [])).astype(int)
         columns = [_points(pdf["counts"]), *(pdf[c].to_numpy() for c in ("counts", "n", "excess", "id", "component", "block", "bi", "bj"))]
         out = [pairs(lo, hi, *columns) for lo, hi in zip(cuts[:-1], cuts[1:])]
@@ -397,9 +398,14 @@ class _Join:
         return asked.mapInPandas(tidy(_sets(self.width)), "id long, tokens binary")
 
     def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs whose count vectors allow a link."""
-        wide = (pairs.distinct().join(self.held.toDF("a", "na", "ca", "xa").dropDuplicates(["a"]), "a").join(self.held.toDF("b", "nb", "cb", "xb").dropDuplicates(["b"]), "b")
-                .where(f"100 * na >= {self.pct} * nb AND 100 * nb >= {self.pct} * na"))
+        """The pairs of classes whose sizes and count vectors allow a link; the sizes decide first, as vectors are long."""
+        pairs = pairs.distinct()
+        for end in ("a", "b"):
+            pairs = pairs.join(self.sizes.select(F.col("class_id").alias(end), F.col("n").alias(f"n{end}")), end)
+        pairs = pairs.where(f"100 * na >= {self.pct} * nb AND 100 * nb >= {self.pct} * na")
+        for end in ("a", "b"):
+            pairs = pairs.join(self.held.select(F.col("id").alias(end), F.col("counts").alias(f"c{end}"), F.col("excess").alias(f"x{end}")).dropDuplicates([end]), end)
+        wide = pairs.select("a", "na", "ca", "xa", "b", "nb", "cb", "xb")
         return self.scratch.write(wide.mapInPandas(tidy(_bounded(self.pct)), "a long, b long"), f"{name}-bounded")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
@@ -420,9 +426,9 @@ class _Join:
         copies = self.classes.where("class_id <> id").select("id")
         rows = without_ids(self.profiles.where("n > 0 AND NOT none").select("id", "name", "prefix"), "id", copies, "id")
         rows = rows.select(F.explode("prefix").alias("token"), "id", "name").repartition("token")
-        buckets = rows.groupBy("token").agg(F.min(F.struct("name", "id")).alias("lead"), F.max(F.struct("name", "id")).alias("last"), F.count("*").alias("held"), F.expr("bit_xor(xxhash64(id))").alias("members")).where("lead < last")
-        buckets = buckets.select("token", "held", "members", F.col("lead.id").alias("lead"), F.col("lead.name").alias("lead_name"))
-        rows = scratch.write(rows.drop("name").join(buckets, "token"), "rows")
+        bucket, one = Window.partitionBy("token"), F.struct("name", "id")  # a window, as a groupBy and a join shuffle all tokens twice
+        rows = rows.select("token", "id", F.min(one).over(bucket).alias("lead"), F.max(one).over(bucket).alias("last")).where("lead < last")
+        rows = scratch.write(rows.select("token", "id", F.col("lead.id").alias("lead"), F.col("lead.name").alias("lead_name")), "rows")
 
         # each class with the first class of its buckets: that of most of them, then those of other components
         leads = scratch.write(rows.where("id <> lead").groupBy("id", "lead").agg(F.count("*").alias("often"), F.first("lead_name").alias("lead_name")), "leads")
@@ -436,18 +442,19 @@ class _Join:
         links = self.verified(self.bounded(rest, "leads"), "leads")
         comps = connected(scratch, comps.toDF("a", "b").union(links), "a", "b", "leads-comp")
 
-        # all pairs across components that the trees of the buckets with several components find
+        # all pairs across components that trees find; each class has met the first one of its buckets, which needs no place in them
         comps = scratch.write(comps, "leads-comps")
-        placed = rows.select("token", "id", "held", "members").join(comps.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        placed = scratch.write(placed, "placed")
-        several = placed.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1")
-        placed = scratch.write(placed.join(several, "token"), "mixed")
-        once = placed.groupBy("held", "members", "c0", "c1").agg(F.min("token").alias("token")).select("token")  # buckets of the same classes: one
-        blocks = F.ceil(F.col("held") / F.lit(BLOCK)).cast("int")
-        placed = placed.join(once, "token").withColumn("block", F.pmod(F.hash("id"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        placed = rows.where("id <> lead").select("token", "lead", "id").join(comps.toDF("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = placed.select("*", F.min("component").over(bucket).alias("c0"), F.max("component").over(bucket).alias("c1"), F.count("*").over(bucket).alias("held"))
+        placed = scratch.write(placed.where("c0 < c1").select("token", "lead", "id", "component", "held"), "mixed")
+        joint = placed.groupBy("lead").agg(F.countDistinct("id").alias("ids"), F.sum("held").alias("apart")).select("lead", F.expr(f"ids <= {BLOCK} OR ids * ids <= apart").alias("joint"))
+        placed = placed.join(joint, "lead").select("lead", F.when(F.col("joint"), F.lit(0)).otherwise(F.col("token")).alias("token"), "id", "component").distinct()
+        blocks = F.ceil(F.count("*").over(Window.partitionBy("lead", "token")) / F.lit(BLOCK)).cast("int")
+        placed = scratch.write(placed.withColumn("blocks", blocks), "placed")
+        placed = placed.withColumn("block", F.pmod(F.hash("id"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         placed = placed.withColumn("bi", F.least("block", "other")).withColumn("bj", F.greatest("block", "other"))
-        dealt = placed.join(self.held, "id").select("token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
-        found = dealt.repartition("token", "bi", "bj").sortWithinPartitions("token", "bi", "bj").mapInPandas(tidy(_buckets(self.pct)), "a long, b long")
+        dealt = placed.join(self.held.dropDuplicates(["id"]), "id").select("lead", "token", "id", "component", "block", "bi", "bj", "n", "counts", "excess")
+        found = dealt.repartition("lead", "token", "bi", "bj").sortWithinPartitions("lead", "token", "bi", "bj").mapInPandas(tidy(_buckets(self.pct)), "a long, b long")
         links = self.verified(scratch.write(found.distinct(), "found"), "trees")
         return scratch.write(connected(scratch, comps.toDF("a", "b").union(links), "a", "b", "all-comp"), "comps")
 
