@@ -10,6 +10,10 @@ link is best if no other partner of its B token has a higher count.
 Distinct pairs are bounded by the product of the vocabularies, far beyond what a task should hold. Up to BROADCAST pairs go to all tasks as
 arrays; beyond that, each text's distinct pairs are joined with the counts and summed by text.
 
+Tokens of neither tokenizer go on over a space after a character that is no white space: A cuts there before it merges, and no piece of B holds
+a space behind another character (looked up in the vocabulary; with other pieces texts are read in one). Texts are therefore cut there into words,
+and a task reads equal words once, as far as it keeps them; where most words are new to it, it reads texts in one. A text's tokens are those of its words, one after the other. Texts with a word whose tokens do not give back its bytes are read in one.
+
 Nulls: documents whose text is null or empty, or whose tokens do not give back its bytes, have zeros and an empty digest; a null id stays null.
 Repeated rows have rows of their own and weigh as often as they stand. Ties: all partners with the highest count are best. Very long texts
 are read whole. An empty table gives no rows. Only the id and the text are looked at, so other columns may have any names.
@@ -21,6 +25,8 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from itertools import chain, compress, repeat
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -28,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bounded_batches, tidy
+from .common import Scratch, bounded_batches, chunks, tidy
 from .token_order import PATTERN
 
 A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,29 +42,27 @@ A_FILE, B_FILE = "/opt/tokenizers/byte_bpe_50k.json", "/opt/tokenizers/piece_bpe
 BROADCAST = 4_000_000
 #: A run of so many characters without white space, or of white space, is merged by the encoder whose time does not grow with its square.
 LONG_RUN = re.compile(r"\S{2000}|\s{2000}")
+#: From a space to the next that follows a character other than white space; white space at the text's end stays with what is before it.
+WORD = re.compile(r" \s*\S*(?:[^\S ]\s*\S+)*(?:\s+\Z)?")
+#: Characters of the words that a task keeps, about.
+KEPT = 3 << 20
 
 
-class Aligned:
-    """One text's tokens of A and B: numbers, groups and links."""
+class Aligned(NamedTuple):
+    """Tokens of A and B in a text or a word."""
+
+    n_a: int
+    n_b: int
+    #: groups as ``a1,a2|b1;a3|b2,b3``
+    groups: str
+    #: a long per link, of A's id and B's
+    links: bytes
 
-    def __init__(self, a: list[int], b: list[int], ends_a: np.ndarray, ends_b: np.ndarray):
-        self.a, self.b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-        # every token has a byte at least, so no two tokens of a side end together: a common end is one link
-        self.common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        self.links = np.stack([self.a[at_a], self.b[at_b]])
-        self.group_a, self.group_b = np.searchsorted(self.common, ends_a), np.searchsorted(self.common, ends_b)
-        self.last_a, self.last_b = np.zeros(len(a), bool), np.zeros(len(b), bool)
-        self.last_a[at_a] = self.last_b[at_b] = True
-
-    def digest(self) -> str:
-        """SHA-256 of the groups as ``a1,a2|b1;a3|b2,b3``."""
-        n = len(self.common)
-        before_b = np.concatenate(([0], np.cumsum(np.bincount(self.group_b, minlength=n))))
-        upto_a = np.cumsum(np.bincount(self.group_a, minlength=n))
-        codes = np.empty(len(self.a) + len(self.b), np.int64)
-        codes[np.arange(len(self.a)) + before_b[self.group_a]] = 3 * self.a + self.last_a
-        codes[np.arange(len(self.b)) + upto_a[self.group_b]] = 3 * self.b + 2 * self.last_b
-        return hashlib.sha256("".join(f"{c // 3}{',|;'[c % 3]}" for c in codes.tolist())[:-1].encode()).hexdigest()
+
+def joined(parts: list[Aligned]) -> Aligned:
+    """The parts, one after the other."""
+    n_a, n_b, groups, links = zip(*parts)
+    return Aligned(sum(n_a), sum(n_b), ";".join(groups), b"".join(links))
 
 
 class Tokenizers:
@@ -81,18 +85,68 @@ class Tokenizers:
         self.bytes_b = [bytes([int(p[3:5], 16)]) if self.piece.is_byte(i) else p.replace("▁", " ").encode() for i, p in ((i, self.piece.id_to_piece(i)) for i in range(self.piece.get_piece_size()))]
         # this vocabulary's ids are in the order of its merges, which another encoder takes as ranks
         self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={}).encode_ordinary
-
-    def align(self, text: str | None) -> Aligned | None:
-        """None if the text has no tokens."""
-        if not text:
-            return None
-        read = " " + text
-        a = self.hub.encode(read, add_special_tokens=False).ids if LONG_RUN.search(read) else self.fast(read)
-        b, raw = self.piece.encode(text, num_threads=1), read.encode()
-        own_a, own_b = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b]
-        if b"".join(own_a) != raw or b"".join(own_b) != raw:
-            return None
-        return Aligned(a, b, *(np.cumsum(np.fromiter(map(len, own), np.int64, len(own))) for own in (own_a, own_b)))
+        self.cuts = not any("▁" in self.piece.id_to_piece(i).lstrip("▁") for i in range(self.piece.get_piece_size()))
+        most_a = 1 + max(self.bytes_a)
+        self.length_a = np.fromiter((len(self.bytes_a.get(i, b"")) for i in range(most_a)), np.int64, most_a)
+        self.length_b = np.fromiter(map(len, self.bytes_b), np.int64, len(self.bytes_b))
+        self.shown = [f"{i}{mark}" for i in range(max(most_a, len(self.bytes_b))) for mark in ",|;\n"]
+        self.known: dict[str, Aligned | None] = {}
+        self.held = 0
+
+    def words(self, text: str) -> list[str]:
+        """A space and the text, cut where tokens of both end."""
+        return WORD.findall(" " + text) if self.cuts else [" " + text]
+
+    def read(self, words: list[str]) -> list[Aligned | None]:
+        """What each word gives that begins with a space: None if its tokens do not give back its bytes."""
+        all_a = [self.hub.encode(w, add_special_tokens=False).ids if LONG_RUN.search(w) else self.fast(w) for w in words]
+        all_b = self.piece.encode([w[1:] for w in words], num_threads=1)
+        own_a, own_b, kept = self.bytes_a.get, self.bytes_b.__getitem__, []
+        for w, a, b in zip(words, all_a, all_b):
+            kept.append(b"".join(map(own_a, a, repeat(b""))) == (raw := w.encode()) and b"".join(map(own_b, b)) == raw)
+        made = self._aligned(list(compress(all_a, kept)), list(compress(all_b, kept)))
+        return [next(made) if k else None for k in kept]
+
+    def _aligned(self, all_a: list[list[int]], all_b: list[list[int]]) -> Iterator[Aligned]:
+        """Groups and links of words whose tokens of A and B have the same bytes."""
+        if not all_a:
+            return
+        (a, sizes_a), (b, sizes_b) = ((np.fromiter(chain.from_iterable(ids), np.int64), np.fromiter(map(len, ids), np.int64)) for ids in (all_a, all_b))
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        # every token has a byte at least, so no two tokens of a side end together: a common end is one link
+        in_a, in_b = np.zeros(ends_a[-1] + 1, bool), np.zeros(ends_b[-1] + 1, bool)
+        in_a[ends_a] = in_b[ends_b] = True
+        last_a, last_b = in_b[ends_a], in_a[ends_b]
+        links = (a[last_a] << 32 | b[last_b]).tobytes()
+        upto_a, upto_b = np.flatnonzero(last_a) + 1, np.flatnonzero(last_b) + 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + np.append(0, upto_b)[np.cumsum(last_a) - last_a]] = 4 * a + last_a
+        final = np.cumsum(sizes_b) - 1
+        marks = 2 * last_b
+        marks[final] = 3
+        codes[np.arange(len(b)) + upto_a[np.cumsum(last_b) - last_b]] = 4 * b + marks
+        groups = "".join(map(self.shown.__getitem__, codes.tolist())).split("\n")
+        before = np.append(0, 8 * np.cumsum(last_b)[final]).tolist()
+        for n_a, n_b, own, lo, hi in zip(sizes_a.tolist(), sizes_b.tolist(), groups, before, before[1:]):
+            yield Aligned(n_a, n_b, own, links[lo:hi])
+
+    def align(self, texts: list[str | None]) -> Iterator[Aligned | None]:
+        """What each text gives: None if it has no tokens."""
+        for lo, hi in chunks(texts, 1 << 20):
+            cut = [self.words(t) if t else [] for t in texts[lo:hi]]
+            if self.held > KEPT:
+                self.known.clear()
+                self.held = 0
+            new = [w for w in set().union(*cut) if w not in self.known]
+            if 2 * len(new) > sum(map(len, cut)):  # words that hardly come again cost more than they save
+                whole = iter(self.read([" " + t for t in texts[lo:hi] if t]))
+                yield from (next(whole) if t else None for t in texts[lo:hi])
+                continue
+            self.known.update(zip(new, self.read(new)))
+            self.held += sum(map(len, new))
+            for text, words in zip(texts[lo:hi], cut):
+                parts = [self.known[w] for w in words]
+                yield self.read([" " + text])[0] if None in parts else joined(parts) if parts else None
 
 
 _LOADED: dict[tuple[str, str], Tokenizers] = {}
@@ -115,14 +169,15 @@ def _aligned(a_file: str, b_file: str):
         squeeze = zstandard.ZstdCompressor(level=1)
         for pdf in batches:
             both, rows = tokenizers(a_file, b_file), []
-            for text in pdf["text"]:
-                found = both.align(text)
+            for found in both.align(pdf["text"].tolist()):
                 if found is None:
                     rows.append((0, 0, 0, 0, "", b"", b""))
                     continue
-                pairs, times = np.unique(found.links[0] << 32 | found.links[1], return_counts=True)
+                links = np.frombuffer(found.links, np.int64)
+                pairs, times = np.unique(links, return_counts=True)
                 packed = (squeeze.compress(pairs.tobytes()), squeeze.compress(times.astype(np.int64).tobytes()))
-                rows.append((len(found.a), len(found.b), len(found.common), found.links.shape[1], found.digest(), *packed))
+                digest = hashlib.sha256(found.groups.encode()).hexdigest()
+                rows.append((found.n_a, found.n_b, len(links), len(links), digest, *packed))  # each group ends in a link
             out = pd.DataFrame(rows, columns=["n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times"])
             yield pd.concat([pdf[["h1", "h2", "copies"]].reset_index(drop=True), out], axis=1)
 

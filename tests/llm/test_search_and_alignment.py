@@ -2,11 +2,14 @@
 
 import hashlib
 import math
+import random
 import re
 from collections import Counter
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from sentencepiece import SentencePieceProcessor
 
 from compare import database, same_rows
 from glyphtally.llm import lexical_search as ls, token_align as ta
@@ -138,3 +141,34 @@ def test_pairs_count_copies(spark):
     df = spark.createDataFrame([(1, "same text"), (2, "same text"), (3, "text")], "doc_id long, text string")
     pairs = ta.token_pairs(spark, df)
     assert pairs.agg(F.sum("n")).first()[0] == ta.align_tokens(spark, df).agg(F.sum("n_links")).first()[0] and pairs.where("best").count() == pairs.select("b").distinct().count()
+
+
+ODD = [" ", "  ", "\n", "\t", "\r", "\x1c", "\x85", "\xa0", " ", "　", "​", "a", "the", " bar", "'s", "12", "é", "é", "日本", "🙂", "▁", "<s>", "<|endoftext|>", ".", "});\r", "/**\r", "\x00", "ﬁ"]
+
+
+def test_words_give_what_whole_texts_give(monkeypatch):
+    both, some = ta.Tokenizers(ta.A_FILE, ta.B_FILE), random.Random(3)
+    texts = ["".join(some.choices(ODD + 5 * [" ", "a", "\n"], k=some.randint(1, 25))) for _ in range(1500)]
+    texts += [None, "", " ", "  ", "\n ", "a ", "a  ", "a \n", " a", "z" * 2500 + " end", "a" + " " * 2500 + "b", "a\n" * 40 + " " * 30, "y " * 300]
+    assert all("".join(both.words(t)) == " " + t for t in texts if t) and max(len(both.words(t)) for t in texts if t) == 300
+    want = [(m[0], m[1], m[2], m[3], m[6]) for m in measures(texts, both)]
+    texts, want = 3 * texts, 3 * want  # so that words come again
+    seen = lambda: [(f.n_a, f.n_b, len(f.links) // 8, len(f.links) // 8, hashlib.sha256(f.groups.encode()).hexdigest()) if f else (0, 0, 0, 0, "") for f in both.align(texts)]
+    assert seen() == seen() == want and both.known
+    monkeypatch.setattr(ta, "KEPT", 0)  # words are forgotten again
+    assert seen() == want
+    both.cuts = False
+    assert seen() == want
+    texts = [f"{k} {k}, a{k}\n" if k % 7 else "" for k in range(100, 300)]
+    both = ta.Tokenizers(ta.A_FILE, ta.B_FILE)
+    assert seen() == [(m[0], m[1], m[2], m[3], m[6]) for m in measures(texts, both)] and not both.known  # words that do not: whole texts
+
+
+def test_a_task_reads_equal_words_once(monkeypatch):
+    read, encode = [], SentencePieceProcessor.encode
+    monkeypatch.setattr(SentencePieceProcessor, "encode", lambda self, x, **k: read.append(sum(map(len, [x] if isinstance(x, str) else x))) or encode(self, x, **k))
+    words = [f"word{k}," for k in range(40)]
+    texts = [" ".join(random.Random(k).choices(words, k=100)) for k in range(50)]
+    out = pd.concat(ta._aligned(ta.A_FILE, ta.B_FILE)(iter([pd.DataFrame({"h1": 1, "h2": 2, "copies": 1, "text": texts})] * 2)))
+    assert len(out) == 100 and (out.n_a > 200).all()
+    assert 0 < sum(read) < sum(map(len, texts)) / 20
