@@ -29,6 +29,7 @@ sets, and in a component, the smallest id names it. Very long texts are read who
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,8 @@ PARTNERS = 256
 BLOCK_SETS, BLOCK_TOKENS = 256, 1 << 20
 #: Tokens of the texts in which `_frequent` looks for recurring ones at once.
 COUNTED = 1 << 20
+#: Bits of a token that name its bucket. Tokens that agree in these share a bucket, which only brings pairs that the bounds turn down; the others are zeros, which cost a shuffle nothing.
+KEY = np.uint64(0xFFFFFFFFFF << 24)
 
 
 def needed(a, b, pct: int):
@@ -162,7 +165,7 @@ def _profiles(width: int, pct: int, frequent: np.ndarray):
                     common[at] = frequent[k] == s[at]
                 first = np.concatenate((s[~common], s[common]))[: n - -(-pct * n // 100) + 1 if n else 0]
                 m = s * np.uint64(0xD6E8FEB86659FD93)
-                rows.append((n, _signed(s.sum(keepdims=True))[0], _signed(np.bitwise_xor.reduce(m ^ (m >> np.uint64(32)), keepdims=True))[0] if n else 0, cut.tobytes(), int(counts.sum() - cut.sum()), _signed(first)))
+                rows.append((n, _signed(s.sum(keepdims=True))[0], _signed(np.bitwise_xor.reduce(m ^ (m >> np.uint64(32)), keepdims=True))[0] if n else 0, zlib.compress(cut.tobytes(), 1), int(counts.sum() - cut.sum()), _signed(first & KEY)))
             out = pd.DataFrame(rows, columns=["n", "fa", "fb", "counts", "excess", "prefix"])
             out.insert(0, "id", pdf["id"].to_numpy())
             out.insert(1, "none", pdf["none"].to_numpy())
@@ -185,7 +188,7 @@ def groups_for(n: int) -> int:
     return max(GROUPS, 1 << max(0, (n // 4).bit_length()))
 
 
-def _points(counts: pd.Series) -> np.ndarray:
+def _points(counts: list) -> np.ndarray:
     """Count vectors with finer groups summed to GROUPS."""
     out = np.empty((len(counts), GROUPS), np.uint32)
     for i, c in enumerate(counts):
@@ -206,7 +209,7 @@ def _bounded(pct: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             if len(pdf):
-                shared = np.array([fine_minima(a, b) for a, b in zip(pdf["ca"], pdf["cb"])]) + np.minimum(pdf["xa"], pdf["xb"])
+                shared = np.array([fine_minima(zlib.decompress(a), zlib.decompress(b)) for a, b in zip(pdf["ca"], pdf["cb"])]) + np.minimum(pdf["xa"], pdf["xb"])
                 yield pdf.loc[shared >= needed(pdf["na"], pdf["nb"], pct), ["a", "b"]]
 
     return run
@@ -218,17 +221,17 @@ def _similar(x: np.ndarray, y: np.ndarray, pct: int) -> bool:
     return 100 * i >= pct * (len(x) + len(y) - i)
 
 
-def _verified(pct: int):
-    """Pairs that link, of partitions sorted by (a, part, first) in which a's set comes before those of its partners b."""
+def _verified(width: int, pct: int):
+    """Pairs that link, of partitions sorted by (a, part, kind) in which a's text comes before those of its partners b."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = None
         for pdf in batches:
             links = []
-            for a, b, first, tokens in zip(pdf["a"], pdf["b"], pdf["kind"] == 0, pdf["tokens"]):
+            for a, b, first, tokens in zip(pdf["a"], pdf["b"], pdf["kind"] == 0, shingle_sets(pdf["text"].tolist(), width)):
                 if first:
-                    own = np.frombuffer(tokens, np.uint64)
-                elif _similar(own, np.frombuffer(tokens, np.uint64), pct):
+                    own = tokens
+                elif _similar(own, tokens, pct):
                     links.append((a, b))
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
@@ -325,7 +328,8 @@ def _buckets(pct: int):
     def searched(pdf: pd.DataFrame, last: bool) -> Iterator[pd.DataFrame]:
         key = pdf[["lead", "token", "bi", "bj"]].to_numpy()
         cuts = np.concatenate(([0], np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1, [len(pdf)] if last else [])).astype(int)
-        columns = [_points(pdf["counts"]), *(pdf[c].to_numpy() for c in ("counts", "n", "excess", "id", "component", "block", "bi", "bj"))]
+        counts = [zlib.decompress(c) for c in pdf["counts"]]
+        columns = [_points(counts), counts, *(pdf[c].to_numpy() for c in ("n", "excess", "id", "component", "block", "bi", "bj"))]
         out = [pairs(lo, hi, *columns) for lo, hi in zip(cuts[:-1], cuts[1:])]
         kept[0] = pdf.iloc[cuts[-1]:]
         if out:
@@ -392,10 +396,13 @@ class _Join:
         self.sizes = self.scratch.write(self.classes.where("class_id IS NOT NULL").groupBy("class_id").agg(F.count("*").alias("members"), F.first("n").alias("n"), F.first("class_name").alias("class_name")), "sizes")
         self.held = named.select("id", "n", "counts", "excess")
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(id, text) of the documents with these ids, once each, lying by id."""
+        return maybe_in(self.named, "id", ids, "id").join(ids, "id").dropDuplicates(["id"])
+
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, tokens) of the documents with these ids, from their texts; repeated rows go while the texts still lie by id, so that no set is shuffled for it."""
-        asked = maybe_in(self.named, "id", ids, "id").join(ids, "id").dropDuplicates(["id"])
-        return asked.mapInPandas(tidy(_sets(self.width)), "id long, tokens binary")
+        """(id, tokens) of the documents with these ids, from their texts."""
+        return self.texts(ids).mapInPandas(tidy(_sets(self.width)), "id long, tokens binary")
 
     def bounded(self, pairs: DataFrame, name: str) -> DataFrame:
         """The pairs of classes whose sizes and count vectors allow a link; the sizes decide first, as vectors are long."""
@@ -409,14 +416,14 @@ class _Join:
         return self.scratch.write(wide.mapInPandas(tidy(_bounded(self.pct)), "a long, b long"), f"{name}-bounded")
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs that link. The set of b comes with each pair, that of a once for PARTNERS pairs, so no task holds more than one set."""
+        """The pairs that link. The text of b comes with each pair, that of a once for PARTNERS pairs, so no task holds more than one set. Texts are shuffled and not sets, whose hashes are longer and do not compress."""
         parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("parts"))
         placed = pairs.join(parts, "a").select("a", "b", F.pmod(F.hash("b"), "parts").alias("part"))
         placed = self.scratch.write(placed, f"{name}-placed")
         roles = placed.select("a", "part", F.lit(1).alias("kind"), "b", F.col("b").alias("id")).unionByName(
             placed.select("a", "part", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("b"), F.col("a").alias("id")).distinct())
-        both = roles.join(self.sets(roles.select("id").distinct()), "id").drop("id")
-        links = both.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInPandas(tidy(_verified(self.pct)), "a long, b long")
+        both = roles.join(self.texts(roles.select("id").distinct()), "id").drop("id")
+        links = both.repartition("a", "part").sortWithinPartitions("a", "part", "kind").mapInPandas(tidy(_verified(self.width, self.pct)), "a long, b long")
         return self.scratch.write(links, f"{name}-links")
 
     def components(self) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from glyphtally.llm import ngram_join as ng
@@ -51,3 +53,26 @@ def test_links_between_texts_whose_first_class_is_another(spark, monkeypatch, ma
     got = {r.doc_id: (r.component_id, r.n_links) for r in ng.ngram_jaccard_join(spark, spark.createDataFrame(rows, "doc_id long, text string"), count_links=True).collect()}
     assert got == {i: ((i - 100 if i > 100 else i), int(i > 0)) for i, _ in rows}
     assert made.value > 0
+
+
+def test_what_the_join_shuffles(spark):
+    """Texts are shuffled to be verified and not their sets; count vectors are compressed, bucket keys have 40 bits."""
+    rng = random.Random(5)
+    rows, heard = [], spark.sparkContext._jsc.sc().statusStore()
+    for g in range(100):
+        words = [f"w{rng.randrange(3000)}" for _ in range(600)]
+        for c in range(4):
+            at = rng.randrange(590)
+            rows.append((4 * g + c, " ".join(words[:at] + [f"x{g}_{c}"] + words[at + 1:])))
+
+    def written() -> int:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = heard.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    before = written()
+    got = {r.doc_id: r.component_id for r in ng.ngram_jaccard_join(spark, docs).collect()}
+    moved = written() - before
+    assert got == {i: i - i % 4 for i, _ in rows}
+    assert moved < 5.6 * sum(len(t) for _, t in rows), moved / sum(len(t) for _, t in rows)
