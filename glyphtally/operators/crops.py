@@ -22,11 +22,12 @@ DIRECTIONS = [(round(math.cos(2 * math.pi * k / S.SPOKES), 12), round(math.sin(2
 
 
 def tiles(px: DataFrame, markers: DataFrame) -> DataFrame:
-    """(image_id, y, x, v) of the square around each marker (image_id, id, x, y, radius), edges repeated; image_id is then the marker's id.
+    """(image_id, y, x, v) of the square around each marker (image_id, id, x, y, radius), edges repeated; image_id is then the marker's id. Where the image lacks a pixel
+    of its rectangle, v is null.
 
     Images meet markers line by line, and each marker takes its stretch of the line.
     """
-    lines = px.groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v")))["v"].alias("line"))
+    lines = R.whole(px).groupBy("image_id", "y").agg(F.array_sort(F.collect_list(F.struct("x", "v")))["v"].alias("line"))
     size = px.groupBy("image_id").agg(F.max("y").alias("h"), F.max("x").alias("w"))
     side = round_half_up(F.greatest(F.lit(float(S.TILE_LEAST)), F.col("radius") * 2 * S.TILE_FACTOR)).cast("int")
     box = markers.join(size, "image_id").withColumn("side", side)

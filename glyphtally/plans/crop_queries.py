@@ -23,8 +23,8 @@ def _markers(spark, sf_dir):
 
 
 def marker_tiles(spark, sf_dir):
-    """The square around every marker, edges repeated."""
-    return C.tiles(RQ.mosaic(spark, sf_dir), _markers(spark, sf_dir))
+    """The square around every marker, edges repeated; places without a vector have no pixels."""
+    return C.tiles(RQ.mosaic(spark, sf_dir), _markers(spark, sf_dir)).where("v IS NOT NULL")
 
 
 def spoke_radii(spark, sf_dir):

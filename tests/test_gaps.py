@@ -17,6 +17,6 @@ def gaps(spark, tmp_path_factory):
     return folder
 
 
-@pytest.mark.parametrize("name", ["resampled", "varied_blur", "varied_ink"])
+@pytest.mark.parametrize("name", ["resampled", "varied_blur", "varied_ink", "marker_tiles"])
 def test_mosaics_with_gaps(spark, gaps, name):
     same_rows(QUERIES[name](spark, gaps), database(gaps), ORACLES[name])
